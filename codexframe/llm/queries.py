@@ -7,18 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexframe.llm import linededup, mixing, packing, quality, simhash
+from codexframe.llm import ann, langid, linededup, mixing, packing, pii, quality, simhash, toxicity, urlfilter
+from codexframe.llm.common import materialize
+from codexframe.llm.oracles import ORACLES
+
+#: The URL query's rules.
+URL_RULES = [
+    urlfilter.parse_rule("block", "com/en/"),
+    urlfilter.parse_rule("allow", "example.com/en/7"),
+    urlfilter.parse_rule("allow", "net/de/"),
+    urlfilter.parse_rule("block", "example.net/de/8"),
+    urlfilter.parse_rule("block", "org/es/"),
+]
+#: The PII query's key; a real corpus takes its own from a secret store.
+PII_KEY = b"codexframe demonstration key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(by: int, id_col: str = "doc_id"):
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % by
+
+
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all."""
+    found = ann.nearest(_table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in sequences of at most 1024."""
     return packing.pack_documents(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the labelled ones."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _remainder(4) == 2)
+    profiles = materialize(langid.learn(docs.where("not held_out")), "profiles")
+    return langid.identify(docs, profiles).select(
+        F.col("id").alias("doc_id"), (_remainder(4, "id") == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     scored = quality.score(_table(spark, sf_dir, "documents"))
@@ -27,6 +59,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page."""
+    judged = urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how much of it there was."""
+    done = pii.pseudonymize(_table(spark, sf_dir, "documents"), PII_KEY)
+    return done.select(F.col("id").alias("doc_id"), "text", F.size("spans").cast("long").alias("n_replaced"))
+
+
+def op7_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_remainder(5) != 0)
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        (_remainder(5, "id") == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_sentences",
+        F.size("offending").cast("long").alias("n_offending"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     classes = simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
@@ -55,8 +115,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_learned_partitions": op1_learned_partitions,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_rank_order_language": op3_rank_order_language,
         "op4_quality_rules": op4_quality_rules,
+        "op5_redirect_equivalence": op5_redirect_equivalence,
+        "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
+        "op7_instance_toxicity": op7_instance_toxicity,
         "op8_simhash": op8_simhash,
         "op9_line_dedup": op9_line_dedup,
         "op10_curriculum_mix": op10_curriculum_mix,
@@ -65,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
