@@ -82,3 +82,10 @@ def table_bytes(df: DataFrame) -> int:
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     return int(where.getFileSystem(conf).getContentSummary(where).getLength())
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python process, also where this package travels by value."""
+    import sys
+
+    return sys.__dict__.setdefault("_codexframe_cache", {})

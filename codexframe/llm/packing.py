@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import discard, materialize, slices
+from codexframe.llm.common import discard, materialize, slices, worker_cache
 
 #: Rows that one range of a sweep should hold.
 ROWS_PER_RANGE = 100_000
@@ -42,19 +42,27 @@ def encoder(stem: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(f"{stem}.json")
-    exact.encode_special_tokens = True
-    with open(f"{stem}.tiktoken", "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    held = worker_cache()
+    if ("fast", stem) not in held:
+        with open(f"{stem}.tiktoken", "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        held["fast", stem] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = held["fast", stem]
+
+    def exact(text: str) -> list[int]:
+        if ("exact", stem) not in held:
+            from tokenizers import Tokenizer
+
+            held["exact", stem] = Tokenizer.from_file(f"{stem}.json")
+            held["exact", stem].encode_special_tokens = True
+        return held["exact", stem].encode(text, add_special_tokens=False).ids
 
     def encode(text: str) -> list[int]:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return exact.encode(text, add_special_tokens=False).ids
+            return exact(text)
         return fast.encode_ordinary(text)
 
     return encode
