@@ -203,7 +203,8 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     Size classes go from large to small. In a class, each gap offers as many equal slots as surely hold
     the class's largest item (one, of the gap's own size, if it is shorter than two of them), so a wide
     gap takes many small items in one round. Rounds repeat until no gap fits, then the rest of the class
-    opens bins, as many to a bin as surely fit. An empty input gives an empty result.
+    opens bins, as many to a bin as surely fit. Of the gaps that hold any item of the class only the
+    tightest are offered, as many as give every item a slot. An empty input gives an empty result.
     """
     spark = items.sparkSession
     items = materialize(items.select("item", "size"), "items")
@@ -220,9 +221,16 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         while n_todo:
             n_gaps = 0
             if gaps is not None:
-                m = F.greatest(F.lit(1), F.floor(F.col("gap") / F.lit(hi)))
-                fitting = gaps.where(F.col("gap") >= lo).withColumn("m", m.cast("int"))
-                n_gaps = int(fitting.agg(F.sum("m")).first()[0] or 0)
+                by_size = gaps.where(F.col("gap") >= lo).groupBy("gap").agg(F.count(F.lit(1)).alias("n")).orderBy("gap").collect()
+                widest, wide_slots = 0, 0  # <= capacity rows; wider gaps than needed for every item stay out
+                for r in by_size:
+                    if wide_slots >= n_todo:
+                        break
+                    m = max(1, r["gap"] // hi)
+                    widest, n_gaps = r["gap"], n_gaps + r["n"] * m
+                    wide_slots += r["n"] * m * (r["gap"] >= hi)
+                m = F.greatest(F.lit(1), F.floor(F.col("gap") / F.lit(hi))).cast("int")
+                fitting = gaps.where(F.col("gap").between(lo, widest)).withColumn("m", m)
             offered = todo.select(F.lit(False).alias("is_gap"), F.col("item").alias("id"), "size")
             if n_gaps:
                 slots = fitting.select("bin", F.floor(F.col("gap") / F.col("m")).alias("size"), F.explode(F.sequence(F.lit(1), "m")))
