@@ -154,11 +154,11 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch([None] * len(bin_), bin_, size, np.arange(len(bin_)))
 
 
-def _levels(capacity: int) -> list[tuple[int, int, int]]:
-    """``(lo, hi, n)``: sizes lo..hi, of which n fit into one sequence whatever they are."""
-    fits = [k for k in (1, 2, 3, 4, 5, 6, 8, 12, 16, 32, 64) if k < capacity] + [capacity]
-    bounds = [(capacity // more + 1, capacity // k, k) for k, more in zip(fits, fits[1:])]
-    return [x for x in bounds if x[0] <= x[1]] + [(1, 1, capacity)]
+def _levels(capacity: int) -> list[tuple[int, int]]:
+    """Size classes ``lo..hi``, large to small: of the first ones as many items fit as the number of the class."""
+    fits = [k for k in (1, 2, 3, 4, 5, 6, 8, 12, 16, 32, 64) if k < capacity] + [capacity + 1]
+    bounds = [(capacity // more + 1, capacity // k) for k, more in zip(fits, fits[1:])]
+    return [x for x in bounds if x[0] <= x[1]]
 
 
 def _resolve(counts: dict[int, tuple[int, int]]) -> tuple[list[tuple], list[tuple], int]:
@@ -202,8 +202,9 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
 
     Size classes go from large to small. In a class, each gap offers as many equal slots as surely hold
     the class's largest item (one, of the gap's own size, if it is shorter than two of them), so a wide
-    gap takes many small items in one round. Rounds repeat until no gap fits, then the rest of the class
-    opens bins, as many to a bin as surely fit. Of the gaps that hold any item of the class only the
+    gap takes many small items in one round. Rounds repeat until no gap fits, then what is left of the class
+    opens bins: as many as hold it by the number of items that surely fit or, where more may fit, as its
+    total size needs at least, and the remainder goes round again. Of the gaps that hold any item of the class only the
     tightest are offered, as many as give every item a slot. An empty input gives an empty result.
     """
     spark = items.sparkSession
@@ -212,10 +213,12 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     placed: list[DataFrame] = []
     gaps: DataFrame | None = None
     next_bin = 0
-    for lo, hi, per_bin in _levels(capacity):
-        n_todo = sum(n for s, n in sizes.items() if lo <= s <= hi)
-        if not n_todo:
+    for lowest, highest in _levels(capacity):
+        mine = [s for s in sizes if lowest <= s <= highest]
+        if not mine:
             continue
+        lo, hi, n_todo = min(mine), max(mine), sum(sizes[s] for s in mine)
+        per_bin = capacity // hi
         todo = items.where(F.col("size").between(lo, hi))
         smaller = min(sizes)
         while n_todo:
@@ -272,17 +275,21 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
                     taken = sum(stop - first for p, first, stop, _ in for_items if p == part)
                     firsts.append((part, taken, counts[part][0], total - taken))
                     total += counts[part][0] - taken
-                opened = _numbered(rest, firsts, 1).select(
-                    "item", "size", (F.floor(F.col("no") / F.lit(per_bin)) + F.lit(next_bin)).cast("long").alias("bin")
-                )
+                n_open = math.ceil(n_left / per_bin)
+                if (per_bin + 1) * lo <= capacity:  # a bin may take more than surely fit: open no more than are needed
+                    n_open = min(n_open, math.ceil(rest.agg(F.sum("size")).first()[0] / capacity))
+                ranked = _numbered(rest, firsts, 1).withColumn("bin", F.floor(F.col("no") / F.lit(per_bin)).cast("long"))
+                if n_open * per_bin < n_left:
+                    ranked = materialize(ranked, "ranked")
+                opened = ranked.where(F.col("bin") < n_open).select("item", "size", (F.col("bin") + F.lit(next_bin)).alias("bin"))
                 opened = materialize(opened, "placed")
                 placed.append(opened)
                 fresh = opened.groupBy("bin").agg((F.lit(capacity) - F.sum("size")).alias("gap")).where(F.col("gap") >= smaller)
                 before, gaps = gaps, materialize(fresh if gaps is None else gaps.unionByName(fresh), "gaps")
                 discard(before)
-                next_bin += math.ceil(n_left / per_bin)
-                n_left = 0
-            elif n_left:
+                next_bin += n_open
+                rest, n_left = ranked.where(F.col("bin") >= n_open), max(0, n_left - n_open * per_bin)
+            if n_left:
                 rest = materialize(rest.select("item", "size"), "items")
             discard(swept, None if todo is items else todo)
             todo, n_todo = rest, n_left
