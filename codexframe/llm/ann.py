@@ -106,7 +106,7 @@ def balanced_parts(graph: np.ndarray, x: np.ndarray, parts: int, rounds: int = 3
 
 def train_router(x: np.ndarray, parts: int, degree: int = DEGREE, hidden: int = 128, epochs: int = 40, seed: int = 7) -> Router:
     """Fit the classifier on a sample: targets are the shares of a row's neighbours, itself included, by part."""
-    scale = float(np.sqrt((x * x).sum(1).mean() / x.shape[1])) or 1.0
+    scale = float(np.sqrt((x * x).sum() / max(1, x.size))) or 1.0
     if parts == 1 or len(x) < 2:
         d = x.shape[1]
         return Router(scale, np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
@@ -176,10 +176,9 @@ def _route(rows: DataFrame, router: Router, cover: float | None) -> DataFrame:
 
 def _tiles(mine: dict[int, int], other: dict[int, int], own: str, replicated: str) -> tuple:
     """Expressions for a row's own block of its part, by hash, and for all blocks of the other side."""
-    counts = F.create_map(*[F.lit(x) for part, n in mine.items() for x in (part, max(1, -(-n // BLOCK)))]) if mine else None
-    others = F.create_map(*[F.lit(x) for part, n in other.items() for x in (part, max(1, -(-n // BLOCK)))]) if other else None
-    one = F.pmod(F.xxhash64("id"), F.coalesce(counts[F.col("part")], F.lit(1))).cast("int").alias(own)
-    every = F.explode(F.sequence(F.lit(0), F.coalesce(others[F.col("part")], F.lit(1)) - 1)).alias(replicated)
+    blocks = lambda rows: F.create_map(*[F.lit(x) for part, n in ({-1: 0} | rows).items() for x in (part, max(1, -(-n // BLOCK)))])
+    one = F.pmod(F.xxhash64("id"), F.coalesce(blocks(mine)[F.col("part")], F.lit(1))).cast("int").alias(own)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(blocks(other)[F.col("part")], F.lit(1)) - 1)).alias(replicated)
     return one, every
 
 
@@ -227,8 +226,8 @@ def nearest(
     sent = materialize(_route(queries, router, cover if parts > 1 else 1.0), "queries")
     size = lambda rows: {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # noqa: E731  parts rows
     n_rows, n_sent = size(dealt), size(sent)
-    left = sent.select("*", *_tiles(n_sent, n_rows, "qb", "bb")[:1]).select("*", _tiles(n_sent, n_rows, "qb", "bb")[1])
-    right = dealt.select("*", *_tiles(n_rows, n_sent, "bb", "qb")[:1]).select("*", _tiles(n_rows, n_sent, "bb", "qb")[1])
+    left = sent.select("*", *_tiles(n_sent, n_rows, "qb", "bb"))
+    right = dealt.select("*", *_tiles(n_rows, n_sent, "bb", "qb"))
     want = k + 1
 
     def compare(q: pa.Table, b: pa.Table) -> pa.Table:

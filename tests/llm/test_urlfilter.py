@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from codexframe.llm import urlfilter
+from codexframe.llm.queries import URL_RULES
+
+
+def plain_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
+    host, rest = rest[:end], rest[end:]
+    stop = min([i for i in (rest.find(c) for c in "?#") if i >= 0], default=len(rest))
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), rest[:stop]
+
+
+def plain_rule(host, path):
+    fits = [r for r in URL_RULES if host and (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits, key=lambda r: (len(r.name), len(r.host)), default=None)
+
+
+def plain_node(url):
+    if url is None or "://" not in url:
+        return None
+    host, _ = plain_parts(url)
+    rest = url.split("://", 1)[1]
+    end = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
+    rest = rest[end:].split("#", 1)[0]
+    return host + (rest if rest.startswith("/") else "/" + rest)
+
+
+URLS = [
+    None, "", "no scheme", "http://A.Example.COM/en/1?q#f", "https://example.com/en/77", "ftp://x.net/de/1", "http://example.net/de/8",
+    "http://example.net?x=/de/8", "http://k.org/es/", "http://org/es/z", "http://notorg/es/", "a://b://c/en/", "http://u@h:80/p", "http://#x", "://only/",
+]
+
+
+def test_parts_and_rules(spark):
+    rows = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    for r in urlfilter.judge(rows, URL_RULES, html_col=None).collect():
+        host, path = plain_parts(URLS[r.id])
+        rule = plain_rule(host, path)
+        assert (r.host, r.path, r.rule) == (host, path, rule and rule.name), URLS[r.id]
+        assert r.verdict == (rule.verdict if rule else "allow")
+
+
+def test_components_against_brute_force(spark):
+    rng = random.Random(13)
+    pool = [f"http://s{i % 30}.{('example.com/en/7', 'bad.com/en/', 'ok.io/', 'k.org/es/', 'm.net/de/')[rng.randrange(5)]}{i}" for i in range(150)]
+    rows, edges = [], []
+    for i, url in enumerate(pool):
+        html = ""
+        if rng.random() < 0.5:
+            to = rng.choice(pool)
+            html = rng.choice(
+                [f'<link rel="canonical" href="{to}">', f"<LINK href='{to}' REL=canonical />", f'<meta http-equiv="refresh" content="5; URL={to}">']
+            )
+            edges.append((url, to))
+        rows.append((i, url, f"<html><head>{html}</head></html>"))
+    more = [(rng.choice(pool), f"http://other{i}.com/en/{i}") for i in range(10)]
+    parent = {}
+
+    def top(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges + more:
+        parent[top(plain_node(a))] = top(plain_node(b))
+    members = {}
+    for n in list(parent):
+        members.setdefault(top(n), []).append(n)
+    decided = {}
+    for root, nodes in members.items():
+        verdicts = set()
+        for n in nodes:
+            host, _, path = n.partition("/")
+            rule = plain_rule(host, "/" + path.split("?")[0])
+            verdicts |= {rule.verdict} if rule else set()
+        decided[root] = "block" if "block" in verdicts and "allow" not in verdicts else "allow"
+    got = urlfilter.judge(
+        spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES, redirects=spark.createDataFrame(more, "src string, dst string")
+    ).collect()
+    assert any(r.propagated for r in got)
+    for r in got:
+        rule = plain_rule(*plain_parts(pool[r.id]))
+        node = plain_node(pool[r.id])
+        assert r.verdict == (rule.verdict if rule else decided[top(node)] if node in parent else "allow")
+
+
+def test_relative_targets(spark):
+    rows = [
+        (1, "http://a.io/x/y?q", '<link rel=canonical href="/z">'),
+        (2, "https://a.io", "<link rel='canonical' href='//b.io/k'>"),
+        (3, "http://a.io/x/y", '<link rel="canonical" href="w.html">'),
+        (4, "http://a.io/", '<meta http-equiv=refresh content="0;url=http://c.io/?a=1&amp;b=2">'),
+        (5, "http://a.io/", '<link rel="canonical" href="mailto:x@y.z">'),
+    ]
+    edges = urlfilter.link_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.dst for r in edges) == ["http://a.io/x/w.html", "http://a.io/z", "http://c.io/?a=1&b=2", "https://b.io/k"]
+
+
+def test_native(spark, sf):
+    df = urlfilter.judge(spark.read.parquet(f"{sf}/pages.parquet"), URL_RULES)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_odd_pages(spark, empty):
+    schema = "page_id long, url string, html string, host string, path string, rule string, node string, best string, label string, alias string"
+    rows = [] if empty else [(1, None, None, *"abcdefg"), (1, None, None, *"abcdefg"), (None, "http://k.org/es/1", "", *"abcdefg"), (2, "http://a.b", "<link rel=canonical href=''>", *"abcdefg")]
+    got = urlfilter.judge(spark.createDataFrame(rows, schema), URL_RULES).collect()
+    assert len(got) == len(rows)
+    assert urlfilter.judge(spark.createDataFrame(rows, schema), []).where("verdict = 'block'").count() == 0
