@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,8 +113,6 @@ def analyze(documents: DataFrame, chat, id_col: str = "document_id", text_col: s
     ``id, analysis, violations, error``; a failed call or an invalid reply is a row with its reason and
     leaves the document READY.
     """
-    import pandas as pd
-
     from codexframe.functions.replies import analysis_violations, json_object
     from codexframe.functions.text import distinct_trimmed
 

