@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexframe.llm.common import materialize, slices
@@ -75,6 +75,19 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _first_shared(k: str, a: str, b: str) -> str:
+    """SQL condition: ``k`` is the first variant that fingerprints ``a`` and ``b``, which share it, have in common."""
+    masks = [_signed(((1 << width) - 1) << first) for first, width in SEGMENTS]
+    firsts = [sum(w for _, w in SEGMENTS[:n]) for n in range(3)]
+    d = [f"bit_count(({a} ^ {b}) & {m}L)" for m in masks]
+    v = f"shiftright({k}, 22)"
+    own = [f"({v} = {firsts[n]} or (({a} ^ {b}) & {masks[n]}L) != 0)" for n in range(3)]
+    return (
+        f"case when {v} < {firsts[1]} then {own[0]} when {v} < {firsts[2]} then {d[0]} > 1 and {own[1]} "
+        f"else {d[0]} > 1 and {d[1]} > 1 and {own[2]} end"
+    )
+
+
 def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """All pairs ``a < b`` of distinct values ``fp`` that differ in at most ``max_bits`` bits, each once.
 
@@ -85,17 +98,7 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         raise ValueError(f"max_bits must lie in 0..{MOST_BITS}")
     index = fps.select("fp").distinct().select("fp", F.explode(F.expr(_variants())).alias("k"))
     left, right = index.select("k", F.col("fp").alias("a")), index.select(F.col("k").alias("k2"), F.col("fp").alias("b"))
-    masks = [_signed(((1 << width) - 1) << first) for first, width in SEGMENTS]
-    firsts = [sum(w for _, w in SEGMENTS[:n]) for n in range(3)]
-    d = [f"bit_count((a ^ b) & {m}L)" for m in masks]
-    v = "shiftright(k, 22)"
-    own = lambda n: f"(({v} = {firsts[n]}) or ((a ^ b) & {masks[n]}L) != 0)"
-    first_shared = (
-        f"case when {v} < {firsts[1]} then {own(0)} "
-        f"when {v} < {firsts[2]} then {d[0]} > 1 and {own(1)} "
-        f"else {d[0]} > 1 and {d[1]} > 1 and {own(2)} end"
-    )
-    return left.join(right, F.expr(f"k = k2 and a < b and bit_count(a ^ b) <= {max_bits} and {first_shared}")).select("a", "b")
+    return left.join(right, F.expr(f"k = k2 and a < b and bit_count(a ^ b) <= {max_bits} and {_first_shared('k', 'a', 'b')}")).select("a", "b")
 
 
 def simhash_components(
@@ -120,34 +123,64 @@ def simhash_components(
     return rows.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-#: Candidates for word-set similarity: fingerprints of single words within this distance, and
-#: fingerprints of the shingles within the other, which at similarity 0.8 lie 9.7 bits apart (deviation 2.9).
-WORD_BITS, SHINGLE_BITS = 5, 16
-#: Leaders that a row is compared with before all pairs are formed.
-LEADERS = 3
+#: Fingerprints of the single words of two candidates differ in so many bits at most.
+WORD_BITS = 5
+#: Longs in a sketch of a text's shingles: one bit of each of 64 minima per long.
+SKETCH_LONGS = 4
+#: Leaders that a text is verified against before all candidates are formed, and how many of the texts
+#: that share a segment of the fingerprint lead it, about.
+NEAREST, LEADERS = 6, 48
+
+
+def sketch_bits(similarity: float) -> int:
+    """Bits in which sketches of sets of this similarity differ at most, but for about one pair in 250.
+
+    Minima agree with probability ``similarity`` and so their bits differ with half the rest.
+    """
+    bits, share = 64 * SKETCH_LONGS, (1 - similarity) / 2
+    return int(bits * share + 2.65 * (bits * share * (1 - share)) ** 0.5 + 0.5)
+
+
+def sketch(shingle_hashes, count: int = SKETCH_LONGS):
+    """One bit of the minimum of each of ``64 * count`` hash functions over a set of 32-bit hashes."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)  # fixed: the same functions in every task
+    odd = (rng.integers(1, 2**32, 64 * count, dtype=np.uint64) | 1).astype(np.uint32)
+    mask = rng.integers(0, 2**32, 64 * count, dtype=np.uint64).astype(np.uint32)
+    least = np.full(64 * count, 2**32 - 1, np.uint32)
+    for at in range(0, len(shingle_hashes), 2048):
+        x = (shingle_hashes[at : at + 2048, None] ^ mask) * odd
+        x ^= x >> np.uint32(15)
+        np.minimum(least, x.min(0), out=least)
+    return np.packbits((least & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+_SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 
 
 def _profiles(rows: DataFrame, shingle_words: int) -> DataFrame:
-    """``uid, key, fp, fp_shingle, n`` of rows ``uid, text``; ``key`` is 128 bits of the lower-cased words."""
+    """``uid, key, fp, n, s0..`` of rows ``uid, text``: ``key`` is 128 bits of the lower-cased words, ``n`` the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         import xxhash
 
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]),
-                    pa.array([fingerprint(t, 1) for t in texts], pa.int64()),
-                    pa.array([fingerprint(t, shingle_words) for t in texts], pa.int64()),
-                    pa.array([max(len(w) - shingle_words + 1, min(1, len(w))) for w in words], pa.int64()),
-                ],
-                names=["uid", "key", "fp", "fp_shingle", "n"],
-            )
-
-    return rows.mapInArrow(run, "uid long, key string, fp long, fp_shingle long, n long")
+            keys, fps, counts, sketches = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                k = min(shingle_words, len(words))
+                shingles = {xxhash.xxh32_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)} if words else ()
+                keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                fps.append(fingerprint(text, 1))
+                counts.append(len(shingles))
+                sketches.append(sketch(np.fromiter(shingles, np.uint32, len(shingles))))
+            columns = [batch.column(0), pa.array(keys, pa.string()), pa.array(fps, pa.int64()), pa.array(counts, pa.int32())]
+            columns += [pa.array(x) for x in np.array(sketches, np.int64).reshape(-1, SKETCH_LONGS).T]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "key", "fp", "n", *_SKETCH])
+
+    return rows.mapInArrow(run, "uid long, key string, fp long, n int, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
@@ -177,35 +210,40 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, shingle_words: int
     """Near-duplicate class of rows ``uid`` (unique long), ``text``: ``uid, label``, one row each.
 
     Rows of one lower-cased word sequence form one text. Texts are candidates by the deletion-variant
-    index over fingerprints of their words, narrowed inside the join by shingle count and by the
-    fingerprint of their shingles, and linked if the Jaccard similarity of their shingle sets, worked
-    out from whole texts, is at least ``similarity``. Classes are the connected components.
-
-    A dense group is not compared pair by pair. First each text meets the leaders of its index buckets,
-    the closest few only; what verifies makes clusters. Then all candidates of different clusters are
-    verified, so no link is lost but those inside a cluster, which can't change a class.
+    index over fingerprints of their words, narrowed inside the join by shingle count and by a sketch of
+    their shingles, and linked if the Jaccard similarity of their shingle sets, worked out from whole
+    texts, is at least ``similarity``. Classes are the connected components.
+
+    A dense group is not compared pair by pair. First each text is verified against its nearest leaders,
+    a hashed choice of about ``LEADERS`` of the texts that share a whole segment with it; what verifies
+    makes clusters. Then all candidates of different clusters are verified, so no link is left out but
+    those inside a cluster, which can't change a class.
     """
     profiles = materialize(_profiles(rows, shingle_words), "profiles")
-    texts = materialize(profiles.groupBy("key").agg(F.min(F.struct("uid", "fp", "fp_shingle", "n")).alias("r")).select("key", "r.*"), "texts")
+    first_of = F.min(F.struct("uid", "fp", "n", *_SKETCH)).alias("r")
+    texts = materialize(profiles.groupBy("key").agg(first_of).select("key", "r.*"), "texts")
     bodies = rows.join(texts.select("uid"), "uid", "left_semi").select("uid", "text")
-    index = texts.select("uid", "fp", "fp_shingle", "n", F.explode(F.expr(_variants())).alias("k"))
+    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _SKETCH)
     close = (
-        f"bit_count(x.fp ^ y.fp) <= {WORD_BITS} and bit_count(x.fp_shingle ^ y.fp_shingle) <= {SHINGLE_BITS} "
+        f"bit_count(x.fp ^ y.fp) <= {WORD_BITS} and {apart} <= {sketch_bits(similarity)} "
         f"and least(x.n, y.n) >= {similarity} * greatest(x.n, y.n)"
     )
-    leader = index.groupBy("k").agg(F.min(F.struct(F.xxhash64("uid"), "uid", "fp", "fp_shingle", "n")).alias("r")).select("k", "r.*")
-    led = index.alias("x").join(leader.alias("y"), F.expr(f"x.k = y.k and x.uid != y.uid and {close}"))
-    led = led.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"), F.expr("bit_count(x.fp_shingle ^ y.fp_shingle)").alias("d"))
-    from pyspark.sql import Window
-
+    parts = [f"struct({i} as s, shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L as x)" for i, (at, width) in enumerate(SEGMENTS)]
+    shared = texts.select("uid", "fp", "n", *_SKETCH, F.explode(F.expr(f"array({', '.join(parts)})")).alias("part"))
+    crowds = shared.groupBy("part").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    dice = F.pmod(F.xxhash64(F.lit("leader"), "uid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    leaders = shared.join(crowds, "part").where(dice * F.col("crowd") < LEADERS).drop("crowd")
+    led = shared.alias("x").join(leaders.alias("y"), F.expr(f"x.part = y.part and x.uid != y.uid and {close}"))
+    led = led.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"), F.expr(apart).alias("d")).distinct()
     nearest = Window.partitionBy("a").orderBy("d", "b")
-    led = led.distinct().withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= LEADERS).select("a", "b")
+    led = led.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= NEAREST).select("a", "b")
     first = materialize(_verified(led, bodies, similarity, shingle_words), "links")
     clusters = materialize(connected_components(first), "clusters")
     clustered = texts.join(clusters.withColumnRenamed("node", "uid"), "uid", "left").withColumn("c", F.coalesce("label", "uid"))
-    again = clustered.select("uid", "fp", "fp_shingle", "n", "c", F.explode(F.expr(_variants())).alias("k"))
-    rest = again.alias("x").join(again.alias("y"), F.expr(f"x.k = y.k and x.uid < y.uid and x.c != y.c and {close}"))
-    rest = rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    index = clustered.select("uid", "fp", "n", "c", *_SKETCH, F.explode(F.expr(_variants())).alias("k"))
+    once = _first_shared("x.k", "x.fp", "y.fp")
+    rest = index.alias("x").join(index.alias("y"), F.expr(f"x.k = y.k and x.uid < y.uid and x.c != y.c and {close} and {once}"))
+    rest = rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
     second = _verified(rest, bodies, similarity, shingle_words)
     labels = connected_components(first.unionByName(second))
     named = texts.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("key", F.coalesce("label", "uid").alias("label"))
