@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(smallest.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        after = materialize(small, "edges")
+        after = materialize(small, "edges", None if seen is None else int(seen[0]))  # rounds never add edges
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(current)
         current = after

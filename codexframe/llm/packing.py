@@ -242,7 +242,7 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
             ranges = max(1, math.ceil((n_todo + n_gaps) / ROWS_PER_RANGE))
             dealt = offered.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
             swept = dealt.select("is_gap", "id", "size").mapInArrow(_sweep, "item long, bin long, size long, ord long")
-            swept = materialize(swept.withColumn("part", F.spark_partition_id()), "sweep")
+            swept = materialize(swept.withColumn("part", F.spark_partition_id()), "sweep", n_todo + n_gaps)
             left_items, left_gaps = swept.where("bin is null"), swept.where("item is null")
             found = swept.where("ord is null")
             counts = {
@@ -262,11 +262,11 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
             now = found.select("item", "size", "bin").unionByName(cross.select("item", "size", "bin"))
             rest = settled.where("no is null").select("item", "size", "part", "ord")
             if n_matched:
-                now = materialize(now, "placed")
+                now = materialize(now, "placed", n_matched)
                 placed.append(now)
                 used = now.groupBy("bin").agg(F.sum("size").alias("used"))
                 after = gaps.join(used, "bin", "left").select("bin", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-                before, gaps = gaps, materialize(after.where(F.col("gap") >= smaller), "gaps")
+                before, gaps = gaps, materialize(after.where(F.col("gap") >= smaller), "gaps", next_bin)
                 discard(before)
             if n_left and not n_matched:
                 # rank over all ranges: the rows before this range, then the place in it
@@ -280,17 +280,17 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
                     n_open = min(n_open, math.ceil(rest.agg(F.sum("size")).first()[0] / capacity))
                 ranked = _numbered(rest, firsts, 1).withColumn("bin", F.floor(F.col("no") / F.lit(per_bin)).cast("long"))
                 if n_open * per_bin < n_left:
-                    ranked = materialize(ranked, "ranked")
+                    ranked = materialize(ranked, "ranked", n_left)
                 opened = ranked.where(F.col("bin") < n_open).select("item", "size", (F.col("bin") + F.lit(next_bin)).alias("bin"))
-                opened = materialize(opened, "placed")
+                opened = materialize(opened, "placed", n_left)
                 placed.append(opened)
                 fresh = opened.groupBy("bin").agg((F.lit(capacity) - F.sum("size")).alias("gap")).where(F.col("gap") >= smaller)
-                before, gaps = gaps, materialize(fresh if gaps is None else gaps.unionByName(fresh), "gaps")
+                before, gaps = gaps, materialize(fresh if gaps is None else gaps.unionByName(fresh), "gaps", next_bin + n_open)
                 discard(before)
                 next_bin += n_open
                 rest, n_left = ranked.where(F.col("bin") >= n_open), max(0, n_left - n_open * per_bin)
             if n_left:
-                rest = materialize(rest.select("item", "size"), "items")
+                rest = materialize(rest.select("item", "size"), "items", n_left)
             discard(swept, None if todo is items else todo)
             todo, n_todo = rest, n_left
     if not placed:
