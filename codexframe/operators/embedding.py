@@ -86,3 +86,20 @@ def project_text(title: Column, description: Column, keywords: Column) -> Column
     """Title, description and keywords on lines of their own, without empty ones."""
     joined = F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), ", ")
     return F.concat_ws("\n", *[F.when(F.coalesce(c, F.lit("")) != "", c) for c in (title, description, joined)])
+
+
+def health(embedder: Embedder, name: str, dim: int) -> dict:
+    """Whether the model answers: ``status, model, dimensions, max_texts``."""
+    try:
+        checked(embedder, dim)(["ok"])
+        status = "ready"
+    except Exception as problem:  # whatever it is, the probe reports it
+        status = f"failed: {problem}"
+    return {"status": status, "model": name, "dimensions": dim, "max_texts": MOST_TEXTS}
+
+
+def embed_tags(tags: DataFrame, embedder: Embedder, dim: int, ids: list | None = None) -> DataFrame:
+    """``tags`` with fresh vectors of their texts: all of them, or those with the given ids."""
+    chosen = F.lit(True) if ids is None else F.col("id").isin(ids)
+    fresh = embed_column(embedder, dim)(F.when(chosen, tag_text(F.col("name"), F.col("description"))))
+    return tags.withColumn("embedding", F.coalesce(fresh, F.col("embedding")))

@@ -156,3 +156,19 @@ def review_outcome(reviews: DataFrame, tags: DataFrame, action: str) -> DataFram
     return pending.join(own, ["user_id", "candidate_normalized_name"], "left").select(
         "id", "document_id", "tag_id", F.lit(1.0).alias("confidence"), F.lit("AI").alias("source"), F.lit(None).cast("string").alias("alias"), F.lit("REJECTED").alias("status")
     )
+
+
+def name_conflicts(names: DataFrame, tags: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Names (``owner, name``) that a new or renamed tag may not take: canonical names and aliases in use.
+
+    ``tag_id`` tells whose it is; renaming a tag to its own name is no conflict for the caller.
+    """
+    return resolve_exact(names, tags, aliases).where("tag_id is not null")
+
+
+def copy_candidate_vectors(tags: DataFrame, outcome: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``tags`` where those that a rejected review settled on take the candidate's vector."""
+    settled = outcome.join(reviews.select("id", "candidate_embedding"), "id").where("tag_id is not null and candidate_embedding is not null")
+    chosen = settled.groupBy("tag_id").agg(F.max_by("candidate_embedding", "id").alias("__v"))
+    joined = tags.join(chosen, tags["id"] == chosen["tag_id"], "left").drop("tag_id")
+    return joined.withColumn("embedding", F.coalesce("__v", "embedding")).drop("__v").select(*tags.columns)

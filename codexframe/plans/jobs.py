@@ -136,3 +136,16 @@ def analyze(documents: DataFrame, chat, id_col: str = "document_id", text_col: s
         ),
     )
     return lists.withColumn("violations", analysis_violations(F.col("analysis")))
+
+
+def document_status(text: Column, n_chunks: Column, n_missing: Column, extracting_failed: Column, analysis_running: Column) -> Column:
+    """A document's status from what it has: READY comes with the last vector, before any analysis, and stays
+    READY when an analysis fails."""
+    ready = (n_chunks > 0) & (n_missing == 0)
+    return (
+        F.when(extracting_failed, "FAILED")
+        .when(ready & analysis_running, "ANALYZING")
+        .when(ready, "READY")
+        .when(F.coalesce(text, F.lit("")) != "", "EXTRACTED")
+        .otherwise("UPLOADED")
+    )

@@ -51,3 +51,40 @@ def tag_list(tags: DataFrame, aliases: DataFrame, document_tags: DataFrame) -> D
     n_documents = document_tags.groupBy(F.col("tag_id").alias("id")).agg(F.count(F.lit(1)).alias("documents"))
     joined = tags.join(n_aliases, "id", "left").join(n_documents, "id", "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("aliases", "documents")}).orderBy("name", "id")
+
+
+def document_list(documents: DataFrame, owner: object) -> DataFrame:
+    """The owner's documents, newest first, without their text."""
+    mine = documents.where(F.col("user_id") == owner)
+    return mine.select("id", "title", "file_type", "file_size", "status", "created_at").orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def project_list(projects: DataFrame, recommendations: DataFrame, owner: object) -> DataFrame:
+    """The owner's projects, last changed first, with how many recommendations they have."""
+    counts = recommendations.groupBy(F.col("project_id").alias("id")).agg(F.count(F.lit(1)).alias("recommendations"))
+    joined = projects.where(F.col("user_id") == owner).join(counts, "id", "left")
+    return joined.withColumn("recommendations", F.coalesce("recommendations", F.lit(0))).orderBy(F.desc("updated_at"), "id")
+
+
+def project_detail(projects: DataFrame, recommendations: DataFrame, documents: DataFrame) -> DataFrame:
+    """Each project with its recommendations by score, each with its document's title."""
+    titled = recommendations.join(documents.select(F.col("id").alias("document_id"), "title"), "document_id")
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("__o"), "document_id", "title", "score", "reason")))
+    lists = titled.groupBy(F.col("project_id").alias("id")).agg(F.transform(ordered, lambda r: r.dropFields("__o")).alias("recommendations"))
+    return projects.join(lists, "id", "left")
+
+
+def pending_reviews(reviews: DataFrame, tags: DataFrame, documents: DataFrame, owner: object) -> DataFrame:
+    """The owner's open reviews, oldest first, with the suggested tag's name and the document's title, if it still exists."""
+    mine = reviews.where((F.col("user_id") == owner) & (F.col("status") == "PENDING"))
+    named = mine.join(tags.select(F.col("id").alias("suggested_tag_id"), F.col("name").alias("suggested_name")), "suggested_tag_id", "left")
+    titled = named.join(documents.select(F.col("id").alias("document_id"), "title"), "document_id", "left")
+    return titled.orderBy("created_at", "id")
+
+
+def provider_list(providers: DataFrame, owner: object) -> DataFrame:
+    """The owner's providers, the active one first, then the newest, without secrets."""
+    from codexframe.functions.providers import public_columns
+
+    mine = providers.where(F.col("user_id") == owner)
+    return mine.select(*public_columns(mine)).orderBy(F.desc("is_active"), F.desc("created_at"), "id")

@@ -145,3 +145,60 @@ def test_replies(spark):
 def test_secrets(spark):
     sealed = spark.range(1).select(replies.encrypt(F.lit("key"), "s").alias("x"))
     assert sealed.select(replies.decrypt(F.col("x"), "s")).first()[0] == "key"
+
+
+def test_neighbours_in_tiles_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "TILE", 7)
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, rng.normal(size=4).round(1).tolist()) for i in range(60)] + [(90, 0, [0.0] * 4), (91, 0, None), (92, 9, [1.0] * 4)]
+    got = search.neighbours_per_group(spark.createDataFrame(rows, "id long, g long, embedding array<double>"), "g", "id", k=2).collect()
+    usable = {i: (g, np.array(v)) for i, g, v in rows if v and any(v)}
+    for i, (g, v) in usable.items():
+        want = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 9), j) for j, (h, w) in usable.items() if h == g and j != i)[:2]
+        mine = sorted((r.rank, r.other_id, r.score) for r in got if r.id == i)
+        assert [round(s, 9) for _, _, s in mine] == [-s for s, _ in want]
+
+
+def test_providers(spark):
+    from codexframe.functions import providers
+
+    df = spark.createDataFrame([('{"data":[{"id":"b"},{"id":"a"},{"id":"b"}]}', '{"choices":[{"message":{"content":"OK"}}]}', '{"models":[{"name":"m"}]}', '{"message":{"content":"OK"}}')], "a string, b string, c string, d string")
+    row = df.select(
+        providers.model_names(F.col("a"), "OPENAI"), providers.chat_content(F.col("b"), "OPENAI_COMPATIBLE"),
+        providers.model_names(F.col("c"), "OLLAMA"), providers.chat_content(F.col("d"), "OLLAMA"),
+    ).first()
+    assert tuple(row) == (["a", "b"], "OK", ["m"], "OK")
+    sent = []
+
+    def transport(*request):
+        sent.append(request)
+        return '{"choices":[{"message":{"content":"fine"}}]}'
+
+    assert providers.chat_function(transport, "OPENAI", "http://x/v1/", "m", "be brief", "k")("hello") == "fine"
+    assert sent[0][1] == "http://x/v1/chat/completions" and sent[0][2]["Authorization"] == "Bearer k"
+    with pytest.raises(ValueError, match="no text"):
+        providers.chat_function(lambda *_: '{"message":{"content":" "}}', "OLLAMA", "http://x", "m", "s")("hello")
+
+
+def test_pages_and_vectors_of_tags(spark):
+    from codexframe.plans import reports
+
+    assert embedding.health(embedding.hashing_embedder(8), "hash", 8)["status"] == "ready"
+    assert embedding.health(embedding.hashing_embedder(4), "hash", 8)["status"].startswith("failed")
+    tags = spark.createDataFrame([("a", "x", "about", None), ("b", "y", None, [1.0] * 8)], "id string, name string, description string, embedding array<float>")
+    got = {r.id: r.embedding for r in embedding.embed_tags(tags, embedding.hashing_embedder(8), 8, ["a"]).collect()}
+    assert got["b"] == [1.0] * 8 and got["a"] == pytest.approx(embedding.hashing_embedder(8)(["x: about"])[0].tolist())
+    providers = spark.createDataFrame([("p", "me", "http://x//", True, T0, "secret"), ("q", "me", None, False, T0, None)], "id string, user_id string, base_url string, is_active boolean, created_at timestamp, encrypted_api_key string")
+    shown = reports.provider_list(providers, "me").collect()
+    assert [(r.id, r.base_url, r.has_api_key) for r in shown] == [("p", "http://x", True), ("q", None, False)] and "encrypted_api_key" not in shown[0].asDict()
+    projects = spark.createDataFrame([("1", "me", T0), ("2", "me", T0 + datetime.timedelta(1))], "id string, user_id string, updated_at timestamp")
+    made = spark.createDataFrame([("1", "d", 0.5, "r"), ("1", "e", 0.9, "s")], "project_id string, document_id string, score double, reason string")
+    documents = spark.createDataFrame([("d", "D"), ("e", "E")], "id string, title string")
+    assert [(r.id, r.recommendations) for r in reports.project_list(projects, made, "me").collect()] == [("2", 0), ("1", 2)]
+    detail = {r.id: r.recommendations for r in reports.project_detail(projects, made, documents).collect()}
+    assert [x.title for x in detail["1"]] == ["E", "D"] and detail["2"] is None
+    reviews = spark.createDataFrame([("r", "me", "d", "t", "PENDING", T0), ("s", "me", None, "t", "REJECTED", T0)], "id string, user_id string, document_id string, suggested_tag_id string, status string, created_at timestamp")
+    named = spark.createDataFrame([("t", "Tag")], "id string, name string")
+    assert [(r.id, r.suggested_name, r.title) for r in reports.pending_reviews(reviews, named, documents, "me").collect()] == [("r", "Tag", "D")]
+    row = spark.range(1).select(jobs.document_status(F.lit("t"), F.lit(2), F.lit(0), F.lit(False), F.lit(True)), jobs.document_status(F.lit("t"), F.lit(2), F.lit(1), F.lit(False), F.lit(True)))
+    assert tuple(row.first()) == ("ANALYZING", "EXTRACTED")
