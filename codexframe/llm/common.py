@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,11 +22,13 @@ _OWN_ROOT: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a single-machine test) a folder of our own is made.
+    Only where the session names none, on one machine (a test), a folder of our own is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "root" not in _OWN_ROOT:
         _OWN_ROOT["root"] = tempfile.mkdtemp(prefix="codexframe-")
         atexit.register(shutil.rmtree, _OWN_ROOT["root"], ignore_errors=True)
@@ -82,6 +85,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this and earlier runs; results that still read them must be written before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/codexframe")
+    where.getFileSystem(conf).delete(where, True)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a scratch table; decides whether it may be broadcast."""
     path = getattr(df, "scratch_path", None)

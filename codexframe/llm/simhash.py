@@ -97,8 +97,9 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     if not 0 <= max_bits <= MOST_BITS:
         raise ValueError(f"max_bits must lie in 0..{MOST_BITS}")
     index = fps.select("fp").distinct().select("fp", F.explode(F.expr(_variants())).alias("k"))
-    left, right = index.select("k", F.col("fp").alias("a")), index.select(F.col("k").alias("k2"), F.col("fp").alias("b"))
-    return left.join(right, F.expr(f"k = k2 and a < b and bit_count(a ^ b) <= {max_bits} and {_first_shared('k', 'a', 'b')}")).select("a", "b")
+    close = f"bit_count(x.fp ^ y.fp) <= {max_bits} and {_first_shared('x.k', 'x.fp', 'y.fp')}"
+    pairs = index.alias("x").join(index.alias("y"), F.expr(f"x.k = y.k and x.fp < y.fp and {close}"))
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
 def simhash_components(
