@@ -35,9 +35,9 @@ _NUMBER = re.compile(
     r"(?P<date>\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\d-]|[/.]\d)|"
     r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\d]|\.\d)|"
     r"(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])|"
-    r"(?P<card>\d(?:[ -]?\d){12,18})(?![\d-])|"
-    r"(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5})(?![\d-])"
-    r")|(?<![\w.+-])(?P<plus>\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,4})){2,5})(?![\d-])"
+    r"(?P<card>\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?![\d-]|\.\d)|"
+    r"(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5})(?![\d-]|\.\d)"
+    r")|(?<![\w.+-])(?P<plus>\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,4})){2,5})(?![\d-]|\.\d)"
 )
 
 
@@ -223,7 +223,7 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     if "=" in text or ":" in text or "AKIA" in text:
         for m in _SECRET.finditer(text):
             group = 2 if m[1] else 4
-            if any(c.isdigit() for c in m[group]):
+            if m[1] or any(c.isdigit() for c in m[group]):
                 found.append((*m.span(group), "secret", pseudonym("secret", m[group], key, back)))  # type: ignore[arg-type]
     for m in _NUMBER.finditer(text) if any(d in text for d in _DIGITS) else ():
         kind, value = next((k, v) for k, v in m.groupdict().items() if v and k in (*_KINDS, "plus"))
