@@ -38,8 +38,12 @@ ANALYSIS = StructType(
 REASONS = ArrayType(StructType([StructField("documentId", StringType()), StructField("reason", StringType())]))
 
 
+# fixed values: the code fence that models put around JSON
+FENCE = r"(?i)^```(?:json)?\s*|\s*```$"
+
+
 def _unfenced(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(trim(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    return F.regexp_replace(trim(text), FENCE, "")
 
 
 def json_object(text: Column, schema: StructType = ANALYSIS) -> Column:

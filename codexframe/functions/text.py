@@ -15,6 +15,17 @@ BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 #: The same characters for ``str.strip``.
 PY_BLANK = " \t\n\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
+# fixed values: what extracted text loses, in order, and what it becomes
+CLEANED = (("[ \t]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n"))
+
+# fixed values: spellings of names that plain letters would lose (only ASCII letters, digits and _ bound a word)
+SPOKEN = (
+    (r"(?<![A-Za-z0-9_])c\s*\+\s*\+", " cpp "),
+    (r"(?<![A-Za-z0-9_])c\s*#", " c sharp "),
+    (r"\.net(?![A-Za-z0-9_])", " dotnet "),
+    (r"&", " and "),
+)
+
 # fixed values: labels shown for statuses and job types
 STATUS_LABELS = {
     "UPLOADED": "Đã tải lên",
@@ -42,7 +53,7 @@ def normalize_text(text: Column) -> Column:
     """Extracted text: no NUL, ``\\n`` line ends, single blanks, at most one empty line, trimmed."""
     out = F.replace(text, F.lit("\0"), F.lit(""))
     out = F.replace(out, F.lit("\r\n"), F.lit("\n"))
-    for pattern, new in (("[ \t]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n")):
+    for pattern, new in CLEANED:
         out = F.regexp_replace(out, pattern, new)
     return trim(out)
 
@@ -50,18 +61,17 @@ def normalize_text(text: Column) -> Column:
 def normalize_text_py(text: str) -> str:
     """The same for one string, inside of extractors."""
     text = text.replace("\0", "").replace("\r\n", "\n")
-    text = re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", text))
-    return re.sub(r"\n{3,}", "\n\n", text).strip(PY_BLANK)
+    for pattern, new in CLEANED:
+        text = re.sub(pattern, new, text)
+    return text.strip(PY_BLANK)
 
 
 def normalize_tag_py(name: str) -> str:
     """Canonical form of a tag name: plain lower-case letters and digits with single blanks."""
     text = unicodedata.normalize("NFKC", name).lower()
-    for pattern, spoken in ((r"\bc\s*\+\s*\+", " cpp "), (r"\bc\s*#", " c sharp "), (r"\.net\b", " dotnet ")):
-        # only ASCII letters, digits and _ bound a word here
-        pattern = pattern.replace(r"\bc", r"(?<![A-Za-z0-9_])c").replace(r"net\b", "net(?![A-Za-z0-9_])")
+    for pattern, spoken in SPOKEN:
         text = re.sub(pattern, spoken, text)
-    text = unicodedata.normalize("NFD", text.replace("&", " and "))
+    text = unicodedata.normalize("NFD", text)
     kept = [("d" if c == "đ" else c) if unicodedata.category(c)[0] in "LN" else " " for c in text if unicodedata.category(c)[0] != "M"]
     return " ".join("".join(kept).split())
 
