@@ -42,7 +42,8 @@ ROWS_PER_FILE = 50_000
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    ``rows``, about as many as there are, keeps small tables from becoming many tiny files.
+    ``rows``, about as many as there are, keeps a small table from becoming many more files than there
+    are cores to write them.
 
     This cuts the lineage: a lost executor costs no recomputation of what was written, and what a
     nondeterministic task (a row number by partition) gave stays as written.
@@ -50,7 +51,7 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/codexframe/{label}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # type: ignore[attr-defined]
