@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def is_valid(v: Column, dim: int | None = None) -> Column:
@@ -41,7 +42,7 @@ def cosine_to(query: list[float]):
     q = np.asarray(query, np.float64)
     length = float(np.sqrt(q @ q))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(vectors: pd.Series) -> pd.Series:
         out = np.full(len(vectors), np.nan)
         usable = np.array([v is not None and len(v) == len(q) for v in vectors], bool)
@@ -51,4 +52,5 @@ def cosine_to(query: list[float]):
             out[usable] = np.where(sizes > 0, (m @ q) / np.where(sizes > 0, sizes, 1) / length, np.nan)
         return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
-    return score
+    # a filter on the score must not move below its evaluation, which would then run twice
+    return score.asNondeterministic()
