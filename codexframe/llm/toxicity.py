@@ -90,7 +90,8 @@ def fit(
     y = got["y"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():
         return (-20.0 if not len(y) or y.max() == 0 else 0.0), {}
-    bags = [[sorted(set(s)) for s in sentences(t)] for t in got["text"]]
+    pool: dict[str, str] = {}  # one object for each distinct word
+    bags = [[sorted({pool.setdefault(w, w) for w in s}) for s in sentences(t)] for t in got["text"]]
     seen: dict[str, list[int]] = {}
     for bag, label in zip(bags, y):
         for f in {f for s in bag for w in s for f in features(w)}:
