@@ -20,6 +20,8 @@ from codexframe.llm.common import materialize, slices
 PROFILE, LONGEST = 400, 3
 #: Documents of each language, about, that profiles are learned from.
 SAMPLE = 4000
+#: Up to so many languages their shares are broadcast, one row each.
+FEW_LANGUAGES = 10_000
 
 
 def _letter_table():
@@ -77,9 +79,10 @@ def learn(
     """
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key"))
     rows = rows.where("lang is not null and text is not null")
-    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
+    share = materialize(rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share")), "shares")
+    share = F.broadcast(share) if share.count() <= FEW_LANGUAGES else share
     dice = F.pmod(F.xxhash64(F.lit("langid"), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.join(F.broadcast(share), "lang").where(dice < F.col("share")).select("lang", "text")  # a row per language
+    chosen = rows.join(share, "lang").where(dice < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
