@@ -53,6 +53,7 @@ def plan(
     cycle: tuple[float, ...] = (1, 2, 3),
     most: float = 3.0,
     carry: list[str] | None = None,
+    schedule: DataFrame | None = None,
 ) -> DataFrame:
     """Every row's share of the mix: ``id, source, size, source_size, weight, target, first, taken``.
 
@@ -64,7 +65,8 @@ def plan(
 
     Running sums go over ordered buckets of each source and then within a bucket, so a source with a
     third of all rows is dealt to thousands of tasks. ``carry`` names columns to keep as they are; they are
-    shuffled once, with their rows.
+    shuffled once, with their rows. With a ``schedule`` (see ``readings``) the result also has each source's
+    ``segs``; it meets the sources before they meet their rows.
     """
     carry = carry or []
     rows = df.select(
@@ -76,6 +78,7 @@ def plan(
     rows = rows if carry else materialize(rows, "sizes")
     buckets = materialize(rows.groupBy("at", "source", "bucket").agg(F.sum("size").alias("in_bucket")), "buckets")
     sums = targets(buckets.groupBy("at", "source").agg(F.sum("in_bucket").alias("source_size")), cycle, most)
+    sums = sums if schedule is None else _scheduled(sums, schedule)
     over_buckets = Window.partitionBy("at").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("at", "bucket", F.coalesce(F.sum("in_bucket").over(over_buckets), F.lit(0)).alias("before"))
     starts = materialize(starts.join(sums.drop("source"), "at"), "starts")
@@ -83,7 +86,8 @@ def plan(
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(starts, ["at", "bucket"])
     planned = joined.select(
-        *carry, "id", "source", "size", "source_size", "weight", "target", (F.col("before") + F.col("inside")).alias("first")
+        *carry, "id", "source", "size", "source_size", "weight", "target", (F.col("before") + F.col("inside")).alias("first"),
+        *([] if schedule is None else ["segs"]),
     )
     taken = F.lit(0).cast("long")
     for epoch in range(int(-(-most // 1))):
@@ -97,42 +101,82 @@ def _overlap(epoch: int) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), reach))
 
 
-def positions(planned: DataFrame, schedule: DataFrame | None = None, most: float = 3.0) -> DataFrame:
-    """One row per reading of a row of ``plan`` that the mix takes: ``id, epoch, take, position``.
+#: Weight over training time, ``(t, w)`` with straight lines between: even, late and early.
+SHAPES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.0)), ((0.0, 2.0), (0.5, 0.5), (1.0, 0.5)))
 
-    ``schedule`` (``source, t, w``; t from 0 to 1, w >= 0) is each source's weight over training time,
-    linear between its rows; sources without rows keep a constant weight. The cumulative demand of a
-    source is its target times the schedule's integral, scaled to 1. A reading starts where that demand
-    reaches the words before it: a quadratic in each linear segment, solved in closed form. Result is
-    range-sorted by position, then id. A source's schedule is a few rows, and is joined by source.
-    """
-    epochs = F.expr(f"explode(sequence(0, {int(-(-most // 1)) - 1}))")
-    read = planned.select("*", epochs.alias("epoch"))
-    reach = F.round("target").cast("long") - F.col("epoch") * F.col("source_size") - F.col("first")
-    read = read.withColumn("take", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), reach))).where("take > 0")
-    demand = (F.col("epoch") * F.col("source_size") + F.col("first")) / F.greatest(F.lit(1.0), F.col("target"))
-    read = read.withColumn("demand", F.least(demand, F.lit(1.0)))
-    if schedule is None:
-        return read.select("id", "epoch", "take", F.col("demand").alias("position")).orderBy("position", "id", "epoch")
+
+def curriculum(df: DataFrame, source_col: str = "source", shapes: tuple = SHAPES) -> DataFrame:
+    """A schedule ``source, t, w`` for every source of ``df``: by code point, null last, they get ``shapes`` in turn."""
+    sources = df.select(F.col(source_col).cast("string").alias("source")).distinct()
+    n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    points = F.array(*[F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("w")) for t, w in x]) for x in shapes])
+    dealt = sources.withColumn("n", F.pmod(n, F.lit(len(shapes))))
+    return dealt.select("source", F.explode(points[F.col("n")]).alias("p")).select("source", "p.*")
+
+
+def segments(schedule: DataFrame) -> DataFrame:
+    """``source, segs``: the linear pieces of each source's schedule that have weight, in order, with the integral up to each end."""
     by_time = Window.partitionBy("source").orderBy("t")
-    segments = schedule.select(
+    pieces = schedule.select(
         "source", F.col("t").alias("t0"), F.col("w").alias("w0"), F.lead("t").over(by_time).alias("t1"), F.lead("w").over(by_time).alias("w1")
     ).where("t1 > t0")
-    segments = segments.withColumn("area", F.expr("(t1 - t0) * (w0 + w1) / 2"))
+    pieces = pieces.withColumn("area", F.expr("(t1 - t0) * (w0 + w1) / 2"))
     upto = F.sum("area").over(Window.partitionBy("source").orderBy("t0"))
     whole = F.sum("area").over(Window.partitionBy("source"))
-    segments = segments.withColumn("a1", upto).withColumn("all", whole).where("area > 0").withColumn("a0", F.expr("a1 - area"))
-    lists = segments.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("t0", "t1", "w0", "w1", "a0", "a1", "all"))).alias("segs"))
-    a, b = read.alias("a"), lists.alias("b")
-    met = a.join(b, F.expr("a.source <=> b.source"), "left").select("a.*", "b.segs")
-    hit = F.expr("filter(segs, x -> demand * x.all <= x.a1)")
-    met = met.withColumn("seg", F.get(hit, F.lit(0)))
-    # words wanted beyond the segment's start: w0 * u + (w1 - w0) / (2 d) * u * u, u = time in it
-    rest, slope = F.expr("demand * seg.all - seg.a0"), F.expr("(seg.w1 - seg.w0) / (seg.t1 - seg.t0)")
-    root = F.sqrt(F.greatest(F.lit(0.0), F.col("seg.w0") * F.col("seg.w0") + 2 * slope * rest))
-    u = 2 * rest / F.when(F.col("seg.w0") + root > 0, F.col("seg.w0") + root)
-    at = F.least(F.col("seg.t1"), F.col("seg.t0") + F.coalesce(u, F.lit(0.0)))
-    return met.select("id", "epoch", "take", F.coalesce(at, "demand").alias("position")).orderBy("position", "id", "epoch")
+    pieces = pieces.withColumn("a1", upto).withColumn("all", whole).where("area > 0").withColumn("a0", F.expr("a1 - area"))
+    return pieces.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("t0", "t1", "w0", "w1", "a0", "a1", "all"))).alias("segs"))
+
+
+def _scheduled(rows: DataFrame, schedule: DataFrame | None) -> DataFrame:
+    """``rows`` with their source's ``segs``; null without a schedule."""
+    if schedule is None:
+        return rows if "segs" in rows.columns else rows.withColumn("segs", F.lit(None).cast(_SEGS))
+    a, b = rows.drop("segs").alias("a"), segments(schedule).alias("b")
+    return a.join(b, F.expr("a.source <=> b.source"), "left").select("a.*", "b.segs")
+
+
+_SEGS = "array<struct<t0:double,t1:double,w0:double,w1:double,a0:double,a1:double,all:double>>"
+
+
+def _position(epoch: Column) -> Column:
+    """Training time at which the demand of the row's source reaches the words before this reading of the row."""
+    before = epoch * F.col("source_size") + F.col("first")
+    demand = F.least(before / F.greatest(F.lit(1.0), F.col("target")), F.lit(1.0))
+    # the last one if rounding puts the demand beyond every end
+    hit = F.coalesce(F.get(F.filter("segs", lambda x: demand * x["all"] <= x["a1"]), F.lit(0)), F.get(F.col("segs"), F.size("segs") - 1))
+
+    def invert(seg: Column) -> Column:
+        # words wanted beyond the segment's start: w0 * u + (w1 - w0) / (2 d) * u * u, u = time in it
+        rest, slope = demand * seg["all"] - seg["a0"], (seg["w1"] - seg["w0"]) / (seg["t1"] - seg["t0"])
+        root = F.sqrt(F.greatest(F.lit(0.0), seg["w0"] * seg["w0"] + 2 * slope * rest))
+        u = 2 * rest / F.when(seg["w0"] + root > 0, seg["w0"] + root)
+        return F.least(seg["t1"], seg["t0"] + F.greatest(F.lit(0.0), F.coalesce(u, F.lit(0.0))))
+
+    return F.when(F.size("segs") > 0, F.transform(F.array(hit), invert)[0]).otherwise(demand)
+
+
+def readings(planned: DataFrame, schedule: DataFrame | None = None, most: float = 3.0) -> DataFrame:
+    """``planned`` with ``readings``: each reading of the row that the mix takes, ``epoch, take, position``, in order.
+
+    ``schedule`` (``source, t, w``; t from 0 to 1, w >= 0) is each source's weight over training time,
+    linear between its rows; if it isn't given, that of ``plan`` holds, and sources without one keep a
+    constant weight. The cumulative demand of a source is its target times the schedule's integral,
+    scaled to 1. A reading starts where that demand reaches the words before it: a quadratic in each
+    linear segment, solved in closed form. A source's schedule is a few rows, and is joined by source.
+    """
+    read = [
+        F.struct(F.lit(e).alias("epoch"), _overlap(e).alias("take"), _position(F.lit(e)).alias("position")) for e in range(int(-(-most // 1)))
+    ]
+    return _scheduled(planned, schedule).withColumn("readings", F.filter(F.array(*read), lambda x: x["take"] > 0)).drop("segs")
+
+
+def positions(planned: DataFrame, schedule: DataFrame | None = None, most: float = 3.0) -> DataFrame:
+    """One row per reading of a row of ``plan`` that the mix takes: ``id, epoch, take, position``.
+
+    As ``readings``; the result is range-sorted by position, then id.
+    """
+    read = readings(planned, schedule, most).select("id", F.explode("readings").alias("r"))
+    return read.select("id", "r.*").orderBy("position", "id", "epoch")
 
 
 def repeat_documents(
@@ -143,18 +187,20 @@ def repeat_documents(
     cycle: tuple[float, ...] = (1, 2, 3),
     most: float = 3.0,
     by_half: bool = True,
+    schedule: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` in training order, each whole row as often as the mix reads it, in its columns.
 
     A reading that the target cuts counts if at least half of its words lie within the target
     (``by_half``), else whenever it takes any. Documents without words can't be taken.
+    The order follows ``schedule`` (see ``readings``), else that of ``curriculum``.
     """
     flat = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("s"), F.col(text_col).alias("t"), F.col(id_col).alias("i"))
-    planned = plan(flat, "i", "s", "t", cycle, most, carry=["row"])
+    schedule = curriculum(docs, source_col) if schedule is None else schedule
+    planned = plan(flat, "i", "s", "t", cycle, most, carry=["row"], schedule=schedule)
     readings = F.expr(f"explode(sequence(0, {int(-(-most // 1)) - 1}))")
     read = planned.select("*", readings.alias("epoch"))
     reach = F.round("target").cast("long") - F.col("epoch") * F.col("source_size") - F.col("first")
     enough = reach * 2 >= F.col("size") if by_half else reach > 0
     read = read.where((F.col("size") > 0) & enough)
-    position = (F.col("epoch") * F.col("source_size") + F.col("first")) / F.col("target")
-    return read.withColumn("position", position).orderBy("position", "id", "epoch").select("row.*")
+    return read.withColumn("position", _position(F.col("epoch"))).orderBy("position", "id", "epoch").select("row.*")

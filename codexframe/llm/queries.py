@@ -101,9 +101,25 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
-    planned = mixing.plan(_table(spark, sf_dir, "documents"), cycle=(1, 2, 3), most=3.0)
-    return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    """What the mix takes of every document, in training order; documents that it doesn't reach come last.
+
+    A document's place is the training position of its first reading; ``op10_training_positions`` has all of them.
+    """
+    read = mixing.readings(_mix(spark, sf_dir), most=3.0)
+    taken = F.aggregate("readings", F.lit(0).cast("long"), lambda sum, r: sum + r["take"])
+    place = F.get(F.col("readings"), F.lit(0))["position"]
+    rows = read.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), place.alias("position"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id").drop("position")
+
+
+def op10_training_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of a document that the mix takes, with its training position, in that order."""
+    return mixing.positions(_mix(spark, sf_dir), most=3.0).withColumnRenamed("id", "doc_id")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.plan(docs, cycle=(1, 2, 3), most=3.0, schedule=mixing.curriculum(docs))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_line_dedup": op9_line_dedup,
         "op10_curriculum_mix": op10_curriculum_mix,
+        "op10_training_positions": op10_training_positions,
         "pipeline": pipeline,
     }
 

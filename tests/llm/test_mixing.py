@@ -85,3 +85,38 @@ def test_odd_rows(odd, none):
     out = mixing.repeat_documents(odd)
     assert out.columns == odd.columns and out.where("text is null").count() == 0
     assert mixing.repeat_documents(none).count() == 0
+
+
+def test_query_and_stage_follow_the_schedules(spark, sf):
+    import corpus_pipeline
+
+    from codexframe.llm.queries import op10_curriculum_mix, op10_training_positions
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    order = sorted({s for s in source.values() if s is not None}) + [None]
+    shape = {s: mixing.SHAPES[n % len(mixing.SHAPES)] for n, s in enumerate(order)}
+    placed = op10_training_positions(spark, sf).collect()
+    assert [r.position for r in placed] == sorted(r.position for r in placed)
+    planned = {r.id: r for r in mixing.plan(docs).collect()}
+
+    def integral(points, t):
+        area = 0.0
+        for (t0, w0), (t1, w1) in zip(points, points[1:]):
+            u = min(max(t - t0, 0.0), t1 - t0)
+            area += w0 * u + (w1 - w0) / (2 * (t1 - t0)) * u * u
+        return area
+
+    taken = {}
+    for r in placed:
+        p, points = planned[r.doc_id], shape[source[r.doc_id]]
+        share = (r.epoch * p.source_size + p.first) / p.target
+        assert integral(points, r.position) / integral(points, 1.0) == pytest.approx(share, abs=1e-9)
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.take
+    first = {r.doc_id: r.position for r in placed if r.epoch == 0}
+    rows = op10_curriculum_mix(spark, sf).collect()
+    assert {r.doc_id: r.taken for r in rows if r.taken} == taken
+    assert [first.get(r.doc_id, 2.0) for r in rows] == sorted(first.get(r.doc_id, 2.0) for r in rows)
+    mixed = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, sf).collect()]
+    late, early = ([at for at, i in enumerate(mixed) if shape[source[i]] is mixing.SHAPES[n]] for n in (1, 2))
+    assert 2 * sum(late) / len(late) > len(mixed) * 1.1 and 2 * sum(early) / len(early) < len(mixed) * 0.9
