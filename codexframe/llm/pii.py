@@ -161,7 +161,13 @@ def _phone(text: str, key: bytes, back: bool) -> str | None:
     national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
     if len(national) == 10 and (not text.startswith("+") or digits[0] == "1" and len(digits) == 11):
         if national[0] in "01" or national[3] in "01":
-            return None
+            # no number of the plan, but +1 or (ddd) says what it is: permuted among all such numbers
+            if not (text.startswith("+") or "(" in text):
+                return None
+            other = national
+            while other is national or other[0] not in "01" and other[3] not in "01":
+                other = f"{permute(int(other), 10**10, key, 'phone|unassigned', back):010d}"
+            return _refill(text, digits[: len(digits) - 10] + other)
         area, office, line = int(national[:3]) - 200, int(national[3:6]) - 200, int(national[6:])
         value = permute((area * 800 + office) * 10_000 + line, 800 * 800 * 10_000, key, "phone", back)
         rest, line = divmod(value, 10_000)

@@ -107,3 +107,24 @@ def test_query_replaces_what_it_finds(spark):
     changed = [r for r in rows if r.n_replaced]
     assert changed and all((r.text == given[r.doc_id]) == (r.n_replaced == 0) for r in rows)
     assert not any("@mail" in r.text and "example.com" in r.text for r in rows)
+
+
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (132) 555-1352", "(212) 055-1234", "+1 017-555-7713", "+10175557713"])
+def test_explicit_phone_numbers_need_no_valid_area(value):
+    new, spans = pii.replace(f"call {value} now", KEY)
+    assert [k for k, _, _ in spans] == ["phone"] and value not in new and pii.replace(new, KEY, back=True)[0] == f"call {value} now"
+    digits = "".join(c for c in new if c.isdigit())[-10:]
+    assert digits[0] in "01" or digits[3] in "01"  # never the pseudonym of a number that can be dialled
+
+
+def test_query_leaves_no_planted_phone_number(spark):
+    import re
+
+    from codexframe.llm.queries import op6_feistel_pseudonyms
+
+    d, form, n = "/root/testdata/sf0.1", re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}"), 0
+    given = {r.doc_id: form.findall(r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in op6_feistel_pseudonyms(spark, d).collect():
+        n += len(given[r.doc_id])
+        assert not any(x in r.text for x in given[r.doc_id])
+    assert n > 100
