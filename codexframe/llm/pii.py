@@ -136,6 +136,50 @@ def _iban(text: str, key: bytes, back: bool) -> str | None:
     return _refill(text, country + _iban_checks(country, other) + other)
 
 
+#: Length of the IBANs of each country.
+_IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        x.split(":") for x in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+            "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+            "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in countries.split(",")
+}
+
+
+def _cuts(kind: str, text: str) -> list[int]:
+    """Lengths at which a match may end, likelier ones first: whole, or before one of its separators.
+
+    An IBAN of its country's length comes first. What decides doesn't change with the pseudonym.
+    """
+    if kind not in ("iban", "phone"):
+        return [len(text)]
+    ends = [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] in " .-" and text[i - 1].isalnum())]
+    if kind == "phone":
+        # the longest that isn't too long; a number without a mark is whole or none
+        return [i for i in ends if sum(c.isdigit() for c in text[:i]) <= 15][:1] if text[0] == "+" else ends[:1]
+    length = _IBAN_LENGTHS.get(text[:2])
+    return sorted(ends, key=lambda i: i - text.count(" ", 0, i) != length)
+
+
+def _numbers(text: str, key: bytes, back: bool) -> Iterator[tuple[int, int, str, str]]:
+    """``start, stop, kind, pseudonym`` of the valid numbers; the search goes on inside a match that isn't valid."""
+    at = 0
+    while m := _NUMBER.search(text, at):
+        kind, value = next((k, v) for k, v in m.groupdict().items() if v and k in (*_KINDS, "plus"))
+        kind = "phone" if kind == "plus" else kind
+        at = m.start() + 1
+        for end in _cuts(kind, value):
+            new = pseudonym(kind, value[:end], key, back)
+            if new is not None:
+                at = m.start() + end
+                yield m.start(), at, kind, new
+                break
+
+
 def _ssn(text: str, key: bytes, back: bool) -> str | None:
     area, group, serial = map(int, text.split("-"))
     areas = [x for x in range(1, 900) if x != 666]
@@ -220,7 +264,8 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """``text`` with every valid value replaced, and ``(kind, start, length)`` of each in the new text.
 
-    A value that fails its check (Luhn digit, calendar, number ranges, IBAN remainder) stays.
+    A value that fails its check (Luhn digit, calendar, number ranges, IBAN remainder) stays, unless
+    a shorter part of it, or one further in, is valid.
     """
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
@@ -231,12 +276,8 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
             group = 2 if m[1] else 4
             if m[1] or any(c.isdigit() for c in m[group]):
                 found.append((*m.span(group), "secret", pseudonym("secret", m[group], key, back)))  # type: ignore[arg-type]
-    for m in _NUMBER.finditer(text) if any(d in text for d in _DIGITS) else ():
-        kind, value = next((k, v) for k, v in m.groupdict().items() if v and k in (*_KINDS, "plus"))
-        kind = "phone" if kind == "plus" else kind
-        new = pseudonym(kind, value, key, back)
-        if new is not None:
-            found.append((*m.span(), kind, new))
+    if any(d in text for d in _DIGITS):
+        found += _numbers(text, key, back)
     out, spans, done, grown = [], [], 0, 0
     for start, stop, kind, new in sorted(found):
         if start < done:

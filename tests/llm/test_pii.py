@@ -128,3 +128,20 @@ def test_query_leaves_no_planted_phone_number(spark):
         n += len(given[r.doc_id])
         assert not any(x in r.text for x in given[r.doc_id])
     assert n > 100
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "kind"),
+    [
+        ("ES9121000418450200051332 BIC CAIXESBB", "ES9121000418450200051332", "iban"), ("BE68 5390 0754 7034 I paid", "BE68 5390 0754 7034", "iban"),
+        ("AT61 1904 3002 3457 3201 EUR 250", "AT61 1904 3002 3457 3201", "iban"), ("REF1 AB12 DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00", "iban"),
+        ("+44 20 7946 0958 1999 2000", "+44 20 7946 0958", "phone"),
+        ("XY12 4041 8949 7460 8795", "4041 8949 7460 8795", "card"),
+    ],
+)
+def test_a_match_that_fails_is_tried_shorter_and_inside(text, value, kind):
+    new, spans = pii.replace(text, KEY)
+    assert [(k, n) for k, _, n in spans] == [(kind, len(value))] and value not in new
+    at = text.index(value)
+    assert new[:at] == text[:at] and new[at + len(value) :] == text[at + len(value) :]
+    assert pii.replace(new, KEY, back=True)[0] == text
