@@ -58,6 +58,11 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps' shuffle files now: Spark removes them once the driver's heap has lost their plans."""
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by :func:`materialize` that no later step reads."""
     for df in tables:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import materialize, slices
+from codexframe.llm.common import materialize, release, slices
 from codexframe.llm.components import connected_components
 
 #: First bit and width of each segment.
@@ -133,13 +133,13 @@ SKETCH_LONGS = 4
 NEAREST, LEADERS = 6, 48
 
 
-def sketch_bits(similarity: float) -> int:
+def sketch_bits(similarity: float, deviations: float = 2.65) -> int:
     """Bits in which sketches of sets of this similarity differ at most, but for about one pair in 250.
 
-    Minima agree with probability ``similarity`` and so their bits differ with half the rest.
+    With 6 ``deviations``, but for about one in ten million. Minima agree with probability ``similarity`` and so their bits differ with half the rest.
     """
     bits, share = 64 * SKETCH_LONGS, (1 - similarity) / 2
-    return int(bits * share + 2.65 * (bits * share * (1 - share)) ** 0.5 + 0.5)
+    return int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5 + 0.5)
 
 
 def sketch(shingle_hashes, count: int = SKETCH_LONGS):
@@ -184,6 +184,92 @@ def _profiles(rows: DataFrame, shingle_words: int) -> DataFrame:
     return rows.mapInArrow(run, "uid long, key string, fp long, n int, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
+#: Texts that show which shingles are common, in how many of them one must stand, and how many are noted at most.
+COMMON_SAMPLE, COMMON_TEXTS, MOST_COMMON = 4096, 4, 1 << 16
+
+
+def _shingle_hashes(text: str | None, shingle_words: int):
+    """The distinct shingles of a text as 48-bit hashes, ascending."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k, digest = min(shingle_words, len(words)), xxhash.xxh3_64_intdigest
+    found = {digest(b" ".join(words[i : i + k])) >> 16 for i in range(len(words) - k + 1)} if words else ()
+    return np.sort(np.fromiter(found, np.int64, len(found)))
+
+
+def _common(bodies: DataFrame, shingle_words: int) -> list[tuple[int, int]]:
+    """``hash, count`` of the shingles that stand in many texts of a sample: at most ``MOST_COMMON``."""
+    share = COMMON_SAMPLE / max(1, bodies.count())
+    dice = F.pmod(F.xxhash64(F.lit("common"), "uid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for text in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(text, shingle_words), pa.int64())], names=["h"])
+
+    counts = bodies.where(dice < share).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
+    kept = counts.where(F.col("texts") >= COMMON_TEXTS).orderBy(F.desc("texts"), "h").limit(MOST_COMMON)
+    return [tuple(r) for r in kept.collect()]
+
+
+def _prefixes(bodies: DataFrame, similarity: float, shingle_words: int, common: list[tuple[int, int]]) -> DataFrame:
+    """``uid, m, rare, hs``: the first of each text's ``m`` shingles, in one order for all texts; the first ``rare`` aren't common.
+
+    Two sets of this similarity share one of their first ``m - ceil(similarity * m) + 1`` elements under any
+    one order. Common shingles come last, so that few texts meet under them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        known = np.array(sorted(common), np.int64).reshape(-1, 2)
+        for batch in slices(batches):
+            sizes, rare, firsts = [], [], []
+            for text in batch.column(1).to_pylist():
+                h = _shingle_hashes(text, shingle_words)
+                times = np.zeros(len(h), np.int64)
+                if len(known) and len(h):
+                    at = np.minimum(np.searchsorted(known[:, 0], h), len(known) - 1)
+                    times = np.where(known[at, 0] == h, known[at, 1], 0)
+                first = np.argsort(times, kind="stable")[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                sizes.append(len(h))
+                rare.append(int((times[first] == 0).sum()))
+                firsts.append(h[first])
+            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "m", "rare", "hs"])
+
+    return bodies.mapInArrow(run, "uid long, m int, rare int, hs array<long>")
+
+
+def prefix_links(rows: DataFrame, clusters: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """Pairs ``a, b`` of the texts in ``clusters`` (``uid, c``) of different clusters, all that can be this similar among them.
+
+    An equality join on the prefixes of their shingle sets; shingle counts and the places of the shared
+    shingle bound the overlap inside the join. Under a common shingle only texts outside of its largest
+    cluster are compared with the others, so a dense cluster isn't compared with itself.
+    """
+    common = _common(rows, shingle_words)
+    firsts = materialize(_prefixes(rows, similarity, shingle_words, common).join(clusters, "uid"), "prefixes")
+    release(rows.sparkSession)
+    index = firsts.select("uid", "c", "m", "rare", F.posexplode("hs").alias("i", "h"))
+    rare = index.where("i < rare").drop("rare")
+    fits = (
+        f"x.h = y.h and x.c != y.c and least(x.m, y.m) >= {similarity} * greatest(x.m, y.m) "
+        f"and least(x.m - x.i, y.m - y.i) >= {similarity / (1 + similarity)!r} * (x.m + y.m) - 0.000001"
+    )
+    found = rare.alias("x").join(rare.alias("y"), F.expr(f"x.uid < y.uid and {fits}"))
+    found = found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
+    if common:
+        often = materialize(index.where("i >= rare").drop("rare"), "common")
+        largest = often.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max_by("c", F.struct("size", "c")).alias("most"))
+        others = often.join(largest, "h").where("c != most").drop("most")
+        met = others.alias("x").join(often.alias("y"), F.expr(fits))
+        found = found.unionByName(met.select(F.expr("least(x.uid, y.uid)").alias("a"), F.expr("greatest(x.uid, y.uid)").alias("b")))
+    return found.distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
     """The pairs ``a, b`` of uids whose shingle sets have at least this Jaccard similarity."""
     mine = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
@@ -210,15 +296,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle_wor
 def similar_classes(rows: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
     """Near-duplicate class of rows ``uid`` (unique long), ``text``: ``uid, label``, one row each.
 
-    Rows of one lower-cased word sequence form one text. Texts are candidates by the deletion-variant
-    index over fingerprints of their words, narrowed inside the join by shingle count and by a sketch of
-    their shingles, and linked if the Jaccard similarity of their shingle sets, worked out from whole
-    texts, is at least ``similarity``. Classes are the connected components.
+    Rows of one lower-cased word sequence form one text. Texts are linked if the Jaccard similarity of
+    their shingle sets, worked out from whole texts, is at least ``similarity``. Classes are the connected
+    components.
 
     A dense group is not compared pair by pair. First each text is verified against its nearest leaders,
-    a hashed choice of about ``LEADERS`` of the texts that share a whole segment with it; what verifies
-    makes clusters. Then all candidates of different clusters are verified, so no link is left out but
-    those inside a cluster, which can't change a class.
+    a hashed choice of about ``LEADERS`` of the texts whose word fingerprint shares a whole segment with
+    it and is close, narrowed by shingle count and by a sketch of the shingles; what verifies makes
+    clusters. Then all pairs of different clusters that ``prefix_links`` finds are verified: these are all
+    that can be similar enough, so no link is left out but those inside a cluster, which can't change a class.
     """
     profiles = materialize(_profiles(rows, shingle_words), "profiles")
     first_of = F.min(F.struct("uid", "fp", "n", *_SKETCH)).alias("r")
@@ -241,10 +327,14 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, shingle_words: int
     first = materialize(_verified(led, bodies, similarity, shingle_words), "links")
     clusters = materialize(connected_components(first), "clusters")
     clustered = texts.join(clusters.withColumnRenamed("node", "uid"), "uid", "left").withColumn("c", F.coalesce("label", "uid"))
-    index = clustered.select("uid", "fp", "n", "c", *_SKETCH, F.explode(F.expr(_variants())).alias("k"))
-    once = _first_shared("x.k", "x.fp", "y.fp")
-    rest = index.alias("x").join(index.alias("y"), F.expr(f"x.k = y.k and x.uid < y.uid and x.c != y.c and {close} and {once}"))
-    rest = rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
+    release(rows.sparkSession)
+    rest = materialize(prefix_links(rows, clustered.select("uid", "c"), similarity, shingle_words), "candidates")
+    release(rows.sparkSession)
+    # few pairs that only share a phrase reach their texts; the wide bound loses about one link in ten million
+    sketches = texts.select("uid", *_SKETCH)
+    x, y = sketches.alias("x"), sketches.alias("y")
+    rest = rest.join(x, F.expr("a = x.uid")).join(y, F.expr("b = y.uid")).where(F.expr(f"{apart} <= {sketch_bits(similarity, 6)}"))
+    rest = materialize(rest.select("a", "b"), "candidates")
     second = _verified(rest, bodies, similarity, shingle_words)
     labels = connected_components(first.unionByName(second))
     named = texts.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("key", F.coalesce("label", "uid").alias("label"))
