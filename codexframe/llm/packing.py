@@ -10,14 +10,17 @@ hold open new sequences. Only one count per range reaches the driver.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import discard, materialize, slices, worker_cache
+from codexframe.llm.common import SENT_ROWS, discard, materialize, slices, worker_cache
 
+#: Sequences are opened if the open ones have slots for less than one in so many of the items left.
+FEW = 4
 #: Rows that one range of a sweep should hold.
 ROWS_PER_RANGE = 100_000
 
@@ -33,10 +36,11 @@ def encoder(stem: str):
     """``texts -> id lists`` for one vocabulary in both of its file forms.
 
     The merge engine of the rank file gives the ids of the JSON file several times faster. It is used
-    for texts in Latin-1 only, where both libraries cut words alike; any other text goes to the
-    tokenizer itself. Strings of special tokens are ordinary text.
+    for texts in Latin-1 only, where both libraries cut words alike; any other text, and one that holds
+    the string of an added token, goes to the tokenizer itself, which gives that token's id.
     """
     import base64
+    import json
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,14 +52,15 @@ def encoder(stem: str):
         with open(f"{stem}.tiktoken", "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         held["fast", stem] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    fast = held["fast", stem]
+        with open(f"{stem}.json", encoding="utf-8") as file:
+            held["added", stem] = [t["content"] for t in json.load(file).get("added_tokens", [])]
+    fast, added = held["fast", stem], held["added", stem]
 
     def exact(text: str) -> list[int]:
         if ("exact", stem) not in held:
             from tokenizers import Tokenizer
 
             held["exact", stem] = Tokenizer.from_file(f"{stem}.json")
-            held["exact", stem].encode_special_tokens = True
         return held["exact", stem].encode(text, add_special_tokens=False).ids
 
     def encode(text: str) -> list[int]:
@@ -63,6 +68,8 @@ def encoder(stem: str):
             text.encode("latin-1")
         except UnicodeEncodeError:
             return exact(text)
+        if any(t in text for t in added):
+            return exact(text)
         return fast.encode_ordinary(text)
 
     return encode
@@ -156,7 +163,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _levels(capacity: int) -> list[tuple[int, int]]:
     """Size classes ``lo..hi``, large to small: of the first ones as many items fit as the number of the class."""
-    fits = [k for k in (1, 2, 3, 4, 5, 6, 8, 12, 16, 32, 64) if k < capacity] + [capacity + 1]
+    fits = [k for k in (1, 2, 3, 4, 6, 16) if k < capacity] + [capacity + 1]
     bounds = [(capacity // more + 1, capacity // k) for k, more in zip(fits, fits[1:])]
     return [x for x in bounds if x[0] <= x[1]]
 
@@ -189,12 +196,22 @@ def _resolve(counts: dict[int, tuple[int, int]]) -> tuple[list[tuple], list[tupl
 def _numbered(rows: DataFrame, intervals: list[tuple], sign: int) -> DataFrame:
     """``rows`` (part, ord) with their match number ``no``, null outside of all intervals.
 
-    There are fewer than two intervals for each range of the sweep, whatever the number of rows.
+    There are fewer than two intervals for each range of the sweep; beyond ``SENT_ROWS`` of them they are shuffled.
     """
     spark = rows.sparkSession
     table = spark.createDataFrame(intervals or [(-1, 0, 0, 0)], "p int, first long, stop long, shift long")
     on = F.expr("part = p and ord >= first and ord < stop")
-    return rows.join(F.broadcast(table), on, "left").withColumn("no", F.col("shift") + sign * F.col("ord")).drop("p", "first", "stop", "shift")
+    return rows.join(F.broadcast(table) if len(intervals) <= SENT_ROWS else table, on, "left").withColumn("no", F.col("shift") + sign * F.col("ord")).drop("p", "first", "stop", "shift")
+
+
+def _left(swept: DataFrame) -> tuple[dict[int, tuple[int, int]], int, int, int]:
+    """What a sweep left: items and gaps of each range, and the least, the largest and the total size of the items. One row for each range."""
+    item = F.when(F.col("item").isNotNull(), F.col("size"))
+    rows = swept.where("ord is not null").groupBy("part")
+    rows = rows.agg(F.count("item").alias("i"), F.count("bin").alias("g"), F.min(item).alias("low"), F.max(item).alias("high"), F.sum(item).alias("total"))
+    rows = rows.collect()
+    low, high = min((r["low"] for r in rows if r["i"]), default=0), max((r["high"] for r in rows if r["i"]), default=0)
+    return {r["part"]: (r["i"], r["g"]) for r in rows}, low, high, sum(r["total"] or 0 for r in rows)
 
 
 def best_fit(items: DataFrame, capacity: int) -> DataFrame:
@@ -207,12 +224,18 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     total size needs at least, and the remainder goes round again. Of the gaps that hold any item of the class only the
     tightest are offered, as many as give every item a slot. An empty input gives an empty result.
     """
-    spark = items.sparkSession
     items = materialize(items.select("item", "size"), "items")
     sizes = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     placed: list[DataFrame] = []
     gaps: DataFrame | None = None
     next_bin = 0
+
+    def gap_sizes(least: int) -> list[tuple[int, int]]:
+        """``size, count`` of the gaps of at least this size, ascending: <= capacity rows."""
+        if gaps is None:
+            return []
+        return sorted(tuple(r) for r in gaps.where(F.col("gap") >= least).groupBy("gap").agg(F.count(F.lit(1)).alias("n")).collect())
+
     for lowest, highest in _levels(capacity):
         mine = [s for s in sizes if lowest <= s <= highest]
         if not mine:
@@ -221,21 +244,19 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         per_bin = capacity // hi
         todo = items.where(F.col("size").between(lo, hi))
         smaller = min(sizes)
+        by_size = gap_sizes(lo)
         while n_todo:
-            n_gaps = 0
-            if gaps is not None:
-                by_size = gaps.where(F.col("gap") >= lo).groupBy("gap").agg(F.count(F.lit(1)).alias("n")).orderBy("gap").collect()
-                widest, wide_slots = 0, 0  # <= capacity rows; wider gaps than needed for every item stay out
-                for r in by_size:
-                    if wide_slots >= n_todo:
-                        break
-                    m = max(1, r["gap"] // hi)
-                    widest, n_gaps = r["gap"], n_gaps + r["n"] * m
-                    wide_slots += r["n"] * m * (r["gap"] >= hi)
-                m = F.greatest(F.lit(1), F.floor(F.col("gap") / F.lit(hi))).cast("int")
-                fitting = gaps.where(F.col("gap").between(lo, widest)).withColumn("m", m)
+            n_gaps, widest, wide_slots = 0, 0, 0  # wider gaps than needed for every item stay out
+            for gap, n in by_size:
+                if wide_slots >= n_todo:
+                    break
+                m = max(1, gap // hi)
+                widest, n_gaps = gap, n_gaps + n * m
+                wide_slots += n * m * (gap >= hi)
             offered = todo.select(F.lit(False).alias("is_gap"), F.col("item").alias("id"), "size")
             if n_gaps:
+                m = F.greatest(F.lit(1), F.floor(F.col("gap") / F.lit(hi))).cast("int")
+                fitting = gaps.where(F.col("gap").between(by_size[0][0], widest)).withColumn("m", m)
                 slots = fitting.select("bin", F.floor(F.col("gap") / F.col("m")).alias("size"), F.explode(F.sequence(F.lit(1), "m")))
                 offered = offered.unionByName(slots.select(F.lit(True).alias("is_gap"), F.col("bin").alias("id"), "size"))
             order = [F.col("size").desc(), F.col("is_gap").desc(), F.xxhash64("id"), F.col("id")]
@@ -243,24 +264,17 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
             dealt = offered.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
             swept = dealt.select("is_gap", "id", "size").mapInArrow(_sweep, "item long, bin long, size long, ord long")
             swept = materialize(swept.withColumn("part", F.spark_partition_id()), "sweep", n_todo + n_gaps)
-            left_items, left_gaps = swept.where("bin is null"), swept.where("item is null")
-            found = swept.where("ord is null")
-            counts = {
-                r["part"]: (r["i"], r["g"])
-                for r in swept.where("ord is not null")
-                .groupBy("part")
-                .agg(F.count("item").alias("i"), F.count("bin").alias("g"))
-                .collect()
-            }  # one row for each range
+            counts, low, high, total = _left(swept)
             for_items, for_gaps, n_cross = _resolve(counts)
             n_left = sum(i for i, _ in counts.values()) - n_cross
             n_matched = n_todo - n_left
-            settled = _numbered(left_items, for_items, 1)
-            cross = settled.where("no is not null").select("no", "item", "size").join(
-                _numbered(left_gaps, for_gaps, -1).where("no is not null").select("no", "bin"), "no"
-            )
-            now = found.select("item", "size", "bin").unionByName(cross.select("item", "size", "bin"))
-            rest = settled.where("no is null").select("item", "size", "part", "ord")
+            now = swept.where("ord is null").select("item", "size", "bin")
+            rest = swept.where("bin is null").select("item", "size", "part", "ord")
+            if n_cross:
+                settled = _numbered(rest, for_items, 1)
+                met = _numbered(swept.where("item is null").select("bin", "part", "ord"), for_gaps, -1).where("no is not null").select("no", "bin")
+                now = now.unionByName(settled.where("no is not null").select("no", "item", "size").join(met, "no").select("item", "size", "bin"))
+                rest = settled.where("no is null").select("item", "size", "part", "ord")
             if n_matched:
                 now = materialize(now, "placed", n_matched)
                 placed.append(now)
@@ -268,16 +282,22 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
                 after = gaps.join(used, "bin", "left").select("bin", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
                 before, gaps = gaps, materialize(after.where(F.col("gap") >= smaller), "gaps", next_bin)
                 discard(before)
-            if n_left and not n_matched:
-                # rank over all ranges: the rows before this range, then the place in it
-                firsts, total = [], 0
+            if n_left and n_cross:
+                low, high, total = rest.agg(F.min("size"), F.max("size"), F.sum("size")).first()
+            by_size = gap_sizes(low) if n_left else []
+            if n_left:
+                lo, hi, per_bin = low, high, capacity // high
+            if FEW * sum(n * max(1, gap // hi) for gap, n in by_size) < n_left:
+                # gaps hold hardly any of them. Rank over all ranges: the rows before this range, then the place in it
+                firsts, before_it, taken = [], 0, Counter()
+                for part, first, stop, _ in for_items:
+                    taken[part] += stop - first
                 for part in sorted(counts):
-                    taken = sum(stop - first for p, first, stop, _ in for_items if p == part)
-                    firsts.append((part, taken, counts[part][0], total - taken))
-                    total += counts[part][0] - taken
+                    firsts.append((part, taken[part], counts[part][0], before_it - taken[part]))
+                    before_it += counts[part][0] - taken[part]
                 n_open = math.ceil(n_left / per_bin)
-                if (per_bin + 1) * lo <= capacity:  # a bin may take more than surely fit: open no more than are needed
-                    n_open = min(n_open, math.ceil(rest.agg(F.sum("size")).first()[0] / capacity))
+                if (per_bin + 1) * low <= capacity:  # a bin may take more than surely fit: open no more than are needed
+                    n_open = min(n_open, math.ceil(total / capacity))
                 ranked = _numbered(rest, firsts, 1).withColumn("bin", F.floor(F.col("no") / F.lit(per_bin)).cast("long"))
                 if n_open * per_bin < n_left:
                     ranked = materialize(ranked, "ranked", n_left)
@@ -289,6 +309,7 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
                 discard(before)
                 next_bin += n_open
                 rest, n_left = ranked.where(F.col("bin") >= n_open), max(0, n_left - n_open * per_bin)
+                by_size = gap_sizes(lo) if n_left else []
             if n_left:
                 rest = materialize(rest.select("item", "size"), "items", n_left)
             discard(swept, None if todo is items else todo)

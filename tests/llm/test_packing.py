@@ -15,9 +15,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def best_fit_decreasing(sizes, capacity):
@@ -88,6 +86,17 @@ def test_best_fit_is_as_good_as_the_sequential_one(spark, sizes):
     assert len(used) <= 1.05 * best_fit_decreasing(sizes, 64) + 1
 
 
+def test_many_ranges_are_as_good(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_RANGE", 40)
+    sizes = [random.Random(6).randrange(1, 64) for _ in range(400)]
+    rows = packing.best_fit(spark.createDataFrame(list(enumerate(sizes)), "item long, size long"), 64).collect()
+    used = Counter()
+    for r in rows:
+        used[r.bin] += r.size
+    assert sorted(r.item for r in rows) == list(range(len(sizes))) and max(used.values()) <= 64
+    assert len(used) <= 1.05 * best_fit_decreasing(sizes, 64) + 1
+
+
 def test_left_overs_meet_by_rank():
     items, gaps, n = packing._resolve({0: (0, 2), 1: (1, 3), 2: (4, 0), 3: (2, 0)})
     assert n == 5  # five gaps above for seven items
@@ -105,7 +114,8 @@ def test_fast_engine_gives_the_tokenizer_ids(tokenizer):
     for n in range(3000):
         text = "".join(rng.choice(alphabet if n % 2 else alphabet[:-4]) for _ in range(rng.randrange(1, 60)))
         assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
-    for text in ("<|endoftext|>", "a<|endoftext|>b", " " * 5000, "a" * 20000, "\r\n\r\n"):
+    assert list(encode("a <|endoftext|> b")) == [64, 220, 50256, 275]
+    for text in ("<|endoftext|>", "a<|endoftext|>b", "日<|endoftext|>本", "<|endoftext", " " * 5000, "a" * 20000, "\r\n\r\n"):
         assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
