@@ -7,13 +7,15 @@ range sort by position gives the training order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexframe.llm.common import materialize, word_count
 
-#: Documents of a source are dealt into so many ordered buckets; running sums go over buckets, then within one.
-BUCKETS = 4096
+#: Documents that a bucket of one source should hold at most; running sums go over ordered buckets, then within one.
+ROWS_PER_BUCKET = 10_000
 
 
 def targets(sources: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), most: float = 3.0, by_size: bool = True) -> DataFrame:
@@ -63,18 +65,20 @@ def plan(
     in part, and ``taken`` sums to the rounded target. Reruns agree; repeated rows with one id differ in
     ``first`` only and may change places. Null ids come as if empty, a null source is a source.
 
-    Running sums go over ordered buckets of each source and then within a bucket, so a source with a
-    third of all rows is dealt to thousands of tasks. ``carry`` names columns to keep as they are; they are
+    Running sums go over ordered buckets of each source and then within a bucket. There are a power of 16
+    of them, 4096 at least, so that none holds more than about ``ROWS_PER_BUCKET`` rows even of a source
+    with all rows. ``carry`` names columns to keep as they are; they are
     shuffled once, with their rows. With a ``schedule`` (see ``readings``) the result also has each source's
     ``segs``; it meets the sources before they meet their rows.
     """
     carry = carry or []
+    digits = max(3, math.ceil(math.log(max(1, df.count() / ROWS_PER_BUCKET), 16)))
     rows = df.select(
         *carry, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size")
     )
     # a text key that is never null, so that one partitioning serves the window and the join
     rows = rows.withColumn("at", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("key", _order())
-    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, digits), 16, 10).cast("long"))
     rows = rows if carry else materialize(rows, "sizes")
     buckets = materialize(rows.groupBy("at", "source", "bucket").agg(F.sum("size").alias("in_bucket")), "buckets")
     sums = targets(buckets.groupBy("at", "source").agg(F.sum("in_bucket").alias("source_size")), cycle, most)
@@ -162,7 +166,10 @@ def readings(planned: DataFrame, schedule: DataFrame | None = None, most: float
     linear between its rows; if it isn't given, that of ``plan`` holds, and sources without one keep a
     constant weight. The cumulative demand of a source is its target times the schedule's integral,
     scaled to 1. A reading starts where that demand reaches the words before it: a quadratic in each
-    linear segment, solved in closed form. A source's schedule is a few rows, and is joined by source.
+    linear segment, solved in closed form. A source's schedule is a few rows, and is joined by source,
+    a null source with a null one. Only times between its first and last row count: one that ends early is
+    used up there. Without any weight (no row, one row, all 0), a source keeps a constant weight. An empty
+    table gives an empty result.
     """
     read = [
         F.struct(F.lit(e).alias("epoch"), _overlap(e).alias("take"), _position(F.lit(e)).alias("position")) for e in range(int(-(-most // 1)))

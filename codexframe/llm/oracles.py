@@ -61,7 +61,7 @@ t as (select source, count(*) as total from documents where source is not null g
 c as (select source, bare, count(distinct doc_id) as pages from k where bare <> '' and source is not null group by source, bare),
 bad as (
   select c.source, c.bare from c join t on c.source = t.source
-  where c.pages >= 5 and c.pages::double / t.total > 0.1::double),
+  where c.pages >= 3 and c.pages::double / t.total > 0.1::double),
 s as (
   select k.doc_id, string_agg(k.line, chr(10) order by k.i) filter (where bad.bare is null) as kept,
     count(*) filter (where bad.bare is not null) as n
@@ -70,7 +70,8 @@ select d.doc_id, d.source, case when s.n > 0 then coalesce(s.kept, '') else d.te
 from documents d left join s on d.doc_id = s.doc_id
 """
 
-MIX = f"""
+#: The plan of the mix, and the schedules' linear pieces with their integrals: even, late, early.
+_MIXED = f"""
 with z as (
   select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> ''))::bigint as size,
     md5(cast(doc_id as varchar)) as k
@@ -86,15 +87,33 @@ o as (
   from w),
 l as (select *, (everything - before) / beyond as level from o),
 f as (select level as free from l where level * weight <= cap order by place limit 1),
-g as (select source, source_size, least(cap, free * weight) as target from l, f),
+g as (select source, source_size, least(cap, free * weight) as target, (row_number() over (order by source nulls last) - 1) % 3 as shape from l, f),
 a as (
-  select z.*, g.source_size, g.target, round(g.target)::bigint as reach,
+  select z.*, g.source_size, g.target, g.shape, round(g.target)::bigint as reach,
     coalesce(sum(size) over (partition by z.source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as first
-  from z join g on z.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-  (greatest(0, least(size, reach - first)) + greatest(0, least(size, reach - source_size - first))
-    + greatest(0, least(size, reach - 2 * source_size - first)))::bigint as taken
-from a
+  from z join g on z.source is not distinct from g.source),
+e as (
+  select a.*, epoch, greatest(0, least(size, reach - epoch * source_size - first))::bigint as take,
+    least((epoch * source_size + first) / greatest(1.0::double, target), 1.0::double) as demand
+  from a, (values (0), (1), (2)) as epochs(epoch)),
+piece(shape, t0, t1, w0, w1, a0, a1, total) as (values
+  (0, 0.0::double, 1.0::double, 1.0::double, 1.0::double, 0.0::double, 1.0::double, 1.0::double),
+  (1, 0.0, 0.5, 0.5, 0.5, 0.0, 0.25, 0.875), (1, 0.5, 1.0, 0.5, 2.0, 0.25, 0.875, 0.875),
+  (2, 0.0, 0.5, 2.0, 0.5, 0.0, 0.625, 0.875), (2, 0.5, 1.0, 0.5, 0.5, 0.625, 0.875, 0.875)),
+h as (
+  select e.*, t0, t1, w0, demand * total - a0 as rest, (w1 - w0) / (t1 - t0) as slope
+  from e join piece on e.shape = piece.shape and demand * total <= a1 and (a0 = 0 or demand * total > a0)),
+r as (
+  select *, least(t1, t0 + greatest(0.0::double, 2 * rest / (w0 + sqrt(greatest(0.0::double, w0 * w0 + 2 * slope * rest))))) as position from h)
+"""
+
+MIX = f"""{_MIXED}
+select doc_id, size, source_size, target, sum(take)::bigint as taken, min(position) filter (where take > 0) as position
+from r group by doc_id, size, source_size, target, first
+"""
+
+POSITIONS = f"""{_MIXED}
+select doc_id, epoch, take, position from r where take > 0
 """
 
 ORACLES = {
@@ -102,4 +121,5 @@ ORACLES = {
     "op5_redirect_equivalence": URLS,
     "op9_line_dedup": LINES,
     "op10_curriculum_mix": MIX,
+    "op10_training_positions": POSITIONS,
 }

@@ -96,20 +96,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source, and how many it lost."""
-    cleaned = linededup.drop_boilerplate(_table(spark, sf_dir, "documents"), ratio=0.1, min_pages=5, count_col="n_dropped")
+    cleaned = linededup.drop_boilerplate(_table(spark, sf_dir, "documents"), ratio=0.1, min_pages=3, count_col="n_dropped")
     return cleaned.select("doc_id", "source", "text", "n_dropped")
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, in training order; documents that it doesn't reach come last.
 
-    A document's place is the training position of its first reading; ``op10_training_positions`` has all of them.
+    ``position`` is the training position of the document's first reading; ``op10_training_positions`` has all of them.
     """
     read = mixing.readings(_mix(spark, sf_dir), most=3.0)
     taken = F.aggregate("readings", F.lit(0).cast("long"), lambda sum, r: sum + r["take"])
     place = F.get(F.col("readings"), F.lit(0))["position"]
     rows = read.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), place.alias("position"))
-    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id").drop("position")
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op10_training_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,17 @@ def test_query_and_stage_follow_the_schedules(spark, sf):
     mixed = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, sf).collect()]
     late, early = ([at for at, i in enumerate(mixed) if shape[source[i]] is mixing.SHAPES[n]] for n in (1, 2))
     assert 2 * sum(late) / len(late) > len(mixed) * 1.1 and 2 * sum(early) / len(early) < len(mixed) * 0.9
+
+
+def test_odd_schedules(spark, none):
+    rows = [(i, "w " * 10, s) for s in (None, "zero", "one", "short", "none") for i in range(20)]
+    planned = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), cycle=(1,))
+    schedule = [(None, 0.0, 0.0), (None, 1.0, 2.0), ("zero", 0.0, 0.0), ("zero", 1.0, 0.0), ("one", 0.5, 1.0), ("short", 0.0, 1.0), ("short", 0.5, 1.0)]
+    placed = mixing.readings(planned, spark.createDataFrame(schedule, "source string, t double, w double")).collect()
+    for r in placed:
+        share, at = r.first / r.target, r.readings[0].position
+        want = {None: share**0.5, "short": share / 2}.get(r.source, share)  # without any weight: constant
+        assert at == pytest.approx(want, abs=1e-9)
+    assert mixing.positions(mixing.plan(none)).count() == 0
+    empty = spark.createDataFrame([], "source string, t double, w double")
+    assert all(r.readings[0].position == pytest.approx(r.first / r.target) for r in mixing.readings(planned, empty).collect())
