@@ -2,11 +2,13 @@
 
 A bounded sample's neighbour graph is cut into balanced parts. A small classifier learns, from a vector
 alone, how its neighbours spread over the parts; it assigns every row to a part and routes each query to
-its most probable parts, whose rows are reranked by the exact inner product.
+its most probable parts, whose rows are reranked by the exact inner product. The parts of a large table are
+cut again in the same way, each by a classifier of its own.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +21,8 @@ from codexframe.llm.common import materialize
 
 #: Rows, about, that graph and classifier are fitted on.
 SAMPLE = 12_000
-#: Rows that a part should hold, and the most parts that the sample can teach.
-ROWS_PER_PART, MOST_PARTS = 4096, 64
+#: The most parts that a sample can teach, and the rows of a part above which parts are cut again.
+MOST_PARTS, ROWS_PER_PART = 64, 4096
 #: Neighbours in the graph; share of a query's probable neighbours that its parts must cover.
 DEGREE, COVER = 16, 0.95
 #: Rows of a part that one task compares at a time.
@@ -154,32 +156,68 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _route(rows: DataFrame, router: Router, cover: float | None) -> DataFrame:
-    """``rows`` (``id, v``) with ``part``: the most probable one, or all that cover the share of neighbours."""
+def part_count(rows: int, most: int = MOST_PARTS) -> int:
+    """A quarter of the square root of the rows: routing and comparing then grow alike. Fewer than 64 rows teach nothing."""
+    return max(1, min(most, int(rows**0.5 / 4)))
+
+
+def _chosen(p: np.ndarray, cover: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and part of the most probable part of each row, or of all that cover this share of its neighbours."""
+    if cover is None:
+        return np.arange(len(p)), p.argmax(1)
+    order = np.argsort(-p, axis=1, kind="stable")
+    sorted_p = np.take_along_axis(p, order, 1)
+    row, at = np.nonzero(np.cumsum(sorted_p, 1) - sorted_p < cover)
+    return row, order[row, at]
+
+
+def _route(rows: DataFrame, routers: dict[int, Router], cover: float | None) -> DataFrame:
+    """``rows`` (``id, v, part``) with the part that ``routers[part]`` finds in it, or all that cover the share of neighbours.
+
+    Parts are numbered through: ``MOST_PARTS`` for each one before. A part without a router stays whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = router.probabilities(_matrix(batch.column(1)))
-            if cover is None:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.argmax(1), pa.int32())], names=["id", "v", "part"])
-                continue
-            order = np.argsort(-p, axis=1, kind="stable")
-            before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
-            row, at = np.nonzero(before < cover)
-            rows = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(order[row, at], pa.int32())], names=["id", "v", "part"])
+            x, own = _matrix(batch.column(1)), batch.column(2).to_numpy()
+            taken, parts = [], []
+            for part in np.unique(own):
+                mine = np.flatnonzero(own == part)
+                row, sub = (np.arange(len(mine)), np.zeros(len(mine), np.int64))
+                if part in routers:
+                    row, sub = _chosen(routers[part].probabilities(x[mine]), cover)
+                taken.append(mine[row])
+                parts.append(part * MOST_PARTS + sub)
+            out = batch.take(pa.array(np.concatenate(taken)))
+            yield pa.RecordBatch.from_arrays([*out.columns[:2], pa.array(np.concatenate(parts), pa.int32())], names=["id", "v", "part"])
 
     return rows.mapInArrow(run, "id long, v array<double>, part int")
 
 
-def _tiles(mine: dict[int, int], other: dict[int, int], own: str, replicated: str) -> tuple:
-    """Expressions for a row's own block of its part, by hash, and for all blocks of the other side."""
-    blocks = lambda rows: F.create_map(*[F.lit(x) for part, n in ({-1: 0} | rows).items() for x in (part, max(1, -(-n // BLOCK)))])
-    one = F.pmod(F.xxhash64("id"), F.coalesce(blocks(mine)[F.col("part")], F.lit(1))).cast("int").alias(own)
-    every = F.explode(F.sequence(F.lit(0), F.coalesce(blocks(other)[F.col("part")], F.lit(1)) - 1)).alias(replicated)
-    return one, every
+def _part_routers(dealt: DataFrame, sizes: dict[int, int], sample: int, most_parts: int) -> dict[int, Router]:
+    """A classifier for each part of ``dealt``, fitted in a task on about ``sample`` of its rows; at most ``MOST_PARTS`` small models."""
+    share = F.create_map(*[F.lit(x) for part, n in sizes.items() for x in (part, sample / max(1, n))])[F.col("part")]
+    dice = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        part = rows.column("part")[0].as_py()
+        router = train_router(_matrix(rows.column("v")), part_count(sizes[part], min(most_parts, max(1, rows.num_rows // 128))))
+        return pa.table({"part": pa.array([part], pa.int32()), "model": pa.array([pickle.dumps((router.scale, router.w1, router.b1, router.w2, router.b2))], pa.binary())})
+
+    fitted = dealt.where(dice < share).groupBy("part").applyInArrow(fit, "part int, model binary").collect()
+    return {r["part"]: Router(*pickle.loads(r["model"])) for r in fitted}
+
+
+def _tiles(rows: DataFrame, mine: dict[int, int], other: dict[int, int], own: str, replicated: str) -> DataFrame:
+    """``rows`` with their own block of their part, by hash, and once for each block of the other side. One row a part is sent."""
+    blocks = lambda n: max(1, -(-n // BLOCK))
+    table = [(p, blocks(n), blocks(other.get(p, 0))) for p, n in mine.items()] or [(-1, 1, 1)]
+    sent = rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, "part int, here int, there int")), "part")
+    one = F.pmod(F.xxhash64("id"), F.col("here")).cast("int").alias(own)
+    return sent.select("id", "v", "part", one, F.explode(F.sequence(F.lit(0), F.col("there") - 1)).alias(replicated))
 
 
 def nearest(
@@ -197,10 +235,12 @@ def nearest(
 
     ``is_query`` is a condition on ``id``. Nearness is the inner product in double precision, ties to the
     smaller id. Every row is indexed; ``cover`` is the share of a query's neighbours, as the classifier
-    estimates it, that the parts it is sent to must hold, and so about the recall. With one part the
-    search is exact. Vectors that are null, zero, of unusual length, or that hold null or non-finite
-    components take no part; no valid row, no result. Ids should be unique; a repeated id counts as a
-    further row.
+    estimates it, that the parts it is sent to must hold, and so about the recall. There are ``part_count``
+    parts; where they hold more than ``rows_per_part`` rows on average, each is cut again by a classifier of its own. Fewer
+    than 64 rows are one part. The classifiers learn from ``sample`` rows each, all rows are indexed. Vectors
+    that are null, zero, of another length than most (no inner product with them exists), or that hold null
+    or non-finite components take no part; no valid row, no result. Ids should be unique; a repeated id
+    counts as a further row.
 
     Rows of one vector form a class: a class is compared once, and of its members the ``k + 1`` smallest
     ids suffice, so copies neither fill a part nor a task. A part's rows and queries meet in tiles of at
@@ -214,20 +254,26 @@ def nearest(
     n_base = base.count()
     asked = valid.where(is_query)
     queries = asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-    parts = max(1, min(most_parts, -(-n_base // rows_per_part), sample // 128))
+    parts = part_count(n_base, min(most_parts, max(1, sample // 128)))
     dice = F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taught = base.where(dice < F.lit(sample / max(n_base, 1))).orderBy("id").select("v").toArrow()  # about `sample` rows
-    if taught.num_rows < 2 * DEGREE or parts == 1:
+    if taught.num_rows < 2 * DEGREE:
         parts = 1
     d = len(taught.column(0)[0]) if taught.num_rows else 1
     x = _matrix(taught.column(0)) if taught.num_rows else np.zeros((0, d))
-    router = train_router(x, parts)
-    dealt = materialize(_route(base, router, None), "base")
-    sent = materialize(_route(queries, router, cover if parts > 1 else 1.0), "queries")
+    routers = {0: train_router(x, parts)}
+    again = n_base > parts * rows_per_part and parts > 1
+    share = cover**0.5 if again else cover
+    root = lambda rows: rows.withColumn("part", F.lit(0))
+    dealt = materialize(_route(root(base), routers, None), "base")
+    sent = materialize(_route(root(queries), routers, share if parts > 1 else 1.0), "queries")
     size = lambda rows: {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # noqa: E731  parts rows
+    if again:
+        routers = _part_routers(dealt, size(dealt), sample, most_parts)
+        dealt, sent = materialize(_route(dealt, routers, None), "base"), materialize(_route(sent, routers, share), "queries")
     n_rows, n_sent = size(dealt), size(sent)
-    left = sent.select("*", *_tiles(n_sent, n_rows, "qb", "bb"))
-    right = dealt.select("*", *_tiles(n_rows, n_sent, "bb", "qb"))
+    left = _tiles(sent, n_sent, n_rows, "qb", "bb")
+    right = _tiles(dealt, n_rows, n_sent, "bb", "qb")
     want = k + 1
 
     def compare(q: pa.Table, b: pa.Table) -> pa.Table:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from codexframe.llm import ann
 
@@ -18,7 +19,7 @@ def test_recall_over_learned_partitions(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 32)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    rows = ann.nearest(df, "id % 20 = 0", k=20, rows_per_part=400, sample=3000).collect()
+    rows = ann.nearest(df, "id % 20 = 0", k=20, sample=3000).collect()
     want = exact(list(range(4000)), x.astype(np.float64), range(0, 4000, 20), 20)
     got = {}
     for r in rows:
@@ -34,12 +35,15 @@ def test_recall_over_learned_partitions(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
-def test_query_recall(spark):
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_query_recall(spark, scale):
+    """The registered query, by its default parameters, over several parts."""
     from codexframe.llm.queries import op1_learned_partitions
 
-    d = "/root/testdata/sf0.1"
+    d = f"/root/testdata/{scale}"
     rows = op1_learned_partitions(spark, d).collect()
     data = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    assert ann.part_count(len(data)) > 4
     x = np.array([r.embedding for r in data], np.float64)
     ids = [r.vec_id for r in data]
     want = exact(ids, x, [i for i in ids if i % 20 == 0], 20)
@@ -49,6 +53,25 @@ def test_query_recall(spark):
     assert sum(len(got[q] & {i for i, _ in v}) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_when_parts_are_cut_again(spark, clusters, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    if clusters:
+        x = 3 * rng.normal(size=(clusters, 16))[rng.integers(0, clusters, 3000)] + 0.5 * x
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    cut = []
+    real = ann._part_routers
+    monkeypatch.setattr(ann, "_part_routers", lambda *a: cut.append(real(*a)) or cut[-1])
+    rows = ann.nearest(df, "id % 20 = 0", k=20, rows_per_part=100, sample=2500).collect()
+    assert sum(r.parts for r in cut[0].values()) > len(cut[0]) > 4
+    want = exact(list(range(3000)), x, range(0, 3000, 20), 20)
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert sum(len(got[q] & {i for i, _ in v}) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
 def test_parts_are_balanced_and_cut_few_edges():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(8, 16)) * 4
