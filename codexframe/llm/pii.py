@@ -8,6 +8,7 @@ holder of the key can invert each of them.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import slices
+from codexframe.llm.common import slices, worker_cache
 
 ROUNDS = 8
 #: Dates are permuted among the days of these years.
@@ -182,14 +183,13 @@ def _numbers(text: str, key: bytes, back: bool) -> Iterator[tuple[int, int, str,
 
 def _ssn(text: str, key: bytes, back: bool) -> str | None:
     area, group, serial = map(int, text.split("-"))
-    areas = [x for x in range(1, 900) if x != 666]
-    if area not in areas or not group or not serial:
+    if not 0 < area < 900 or area == 666 or not group or not serial:
         return None
-    value = (areas.index(area) * 99 + group - 1) * 9999 + serial - 1
-    value = permute(value, len(areas) * 99 * 9999, key, "ssn", back)
+    value = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+    value = permute(value, 898 * 99 * 9999, key, "ssn", back)
     rest, serial = divmod(value, 9999)
     area, group = divmod(rest, 99)
-    return f"{areas[area]:03d}-{group + 1:02d}-{serial + 1:04d}"
+    return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
 def _ip(text: str, key: bytes, back: bool) -> str | None:
@@ -222,6 +222,15 @@ def _phone(text: str, key: bytes, back: bool) -> str | None:
     return _refill(text, digits[:2] + _by_class(digits[2:], key, f"phone|{digits[:2]}", back))
 
 
+def _late_days() -> list[int]:
+    """Days after the 12th of their month, counted from the first day; made once in a process."""
+    held = worker_cache()
+    if "late" not in held:
+        span = (LAST_DAY - FIRST_DAY).days + 1
+        held["late"] = [d for d in range(span) if (FIRST_DAY + datetime.timedelta(d)).day > 12]
+    return held["late"]
+
+
 def _date(text: str, key: bytes, back: bool) -> str | None:
     mark = re.search(r"\D", text)[0]  # type: ignore[index]
     parts = text.split(mark)
@@ -237,8 +246,8 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
             return None
         span = (LAST_DAY - FIRST_DAY).days + 1
         if order == "mdy" and len(orders) == 2:  # the days that only this order can read: after the 12th
-            days = [d for d in range(span) if (FIRST_DAY + datetime.timedelta(d)).day > 12]
-            value = days[permute(days.index((day - FIRST_DAY).days), len(days), key, "date|mdy", back)]
+            days = _late_days()
+            value = days[permute(bisect.bisect_left(days, (day - FIRST_DAY).days), len(days), key, "date|mdy", back)]
         else:
             value = permute((day - FIRST_DAY).days, span, key, "date", back)
         other = FIRST_DAY + datetime.timedelta(value)
