@@ -18,6 +18,8 @@ from codexframe.llm.common import slices
 
 #: Labelled documents, about, that the model is fitted on.
 SAMPLE = 8000
+#: Characters of them in all, about, and of the longest of them.
+SAMPLE_CHARS, LONGEST_TEXT = 1 << 26, 1 << 20
 #: A feature weighs only if it is commoner in documents of label 1 with this likelihood-ratio statistic.
 EVIDENCE = 15.0
 #: Lengths of the word beginnings that are features, besides the whole word.
@@ -74,18 +76,20 @@ def fit(
 ) -> tuple[float, dict[str, float]]:
     """``(bias, feature weights)`` learned from rows labelled 0 or 1; other labels teach nothing.
 
-    The driver gets about ``sample`` labelled rows, those whose key hashes lowest (all, if fewer), and no
-    more whatever the size of the input. With no labelled rows, or one label only, the bias is that of
-    the label's share and no feature weighs.
+    The driver gets about ``sample`` labelled rows, those whose key hashes lowest (all, if fewer), of about
+    ``SAMPLE_CHARS`` characters in all, whatever the size of the input; texts above ``LONGEST_TEXT`` teach
+    nothing. Without a labelled row, or with label 0 only, the bias is -20 (any score is about 0); with label
+    1 only it is 0 (any sentence scores 0.5). No feature weighs then.
     """
     import numpy as np
 
     rows = df.where(F.col(label_col).isin(0, 1)).select(
         F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y"), F.col(key_col).alias("key")
     )
-    n = rows.count()
+    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_TEXT)
+    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     dice = F.pmod(F.xxhash64(F.lit("toxicity"), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    part = rows.where(dice < F.lit(sample / max(n, 1))).orderBy(F.xxhash64("key"), "key")
+    part = rows.where(dice < F.lit(min(sample / max(n, 1), SAMPLE_CHARS / max(chars, 1)))).orderBy(F.xxhash64("key"), "key")
     got = part.select("text", "y").toPandas()
     y = got["y"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():
