@@ -77,21 +77,28 @@ def best_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
     return F.array_min(F.array_compact(F.array(*fits)))
 
 
+#: A whole tag, and the value of one of its attributes: quoted in either way, or bare.
+_TAG = r"""(?is)<{0}\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_VALUE = r"""(?is)(?<![\w-]){0}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Redirect and canonical-link edges ``src, dst`` (addresses) that pages declare in their HTML.
 
-    Read are the first ``<link rel=canonical href=...>`` and the first ``<meta http-equiv=refresh>`` of
-    each page. A relative target is completed from the page's own address.
+    Read are all ``<link>`` with ``canonical`` among the words of ``rel`` and all ``<meta http-equiv=refresh>``
+    of each page, but for comments. A relative target is completed from the page's own address. Rows of
+    null address or HTML have no edge.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     base = base.where(F.col("url").contains("://") & F.col("html").rlike("(?i)canonical|http-equiv"))
-    quoted = r"""(?is)\b{0}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    value = lambda tag, name: F.concat(*[F.regexp_extract(tag, quoted.replace("{0}", name), i) for i in (1, 2, 3)])
-    target = F.trim(F.regexp_extract(value(meta, "content"), r"""(?is)url\s*=\s*['"]?([^'"]*)""", 1))
-    found = base.select("url", F.explode(F.array(F.trim(value(link, "href")), target)).alias("to")).where("to != ''")
+    shown = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    tags = lambda name: F.regexp_extract_all(shown, F.lit(_TAG.replace("{0}", name)), F.lit(0))
+    value = lambda tag, name: F.trim(F.concat(*[F.regexp_extract(tag, _VALUE.replace("{0}", name), i) for i in (1, 2, 3)]))
+    links = F.filter(tags("link"), lambda x: value(x, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"))
+    metas = F.filter(tags("meta"), lambda x: F.lower(value(x, "http-equiv")) == "refresh")
+    target = lambda x: F.trim(F.regexp_extract(value(x, "content"), r"""(?is)url\s*=\s*['"]?([^'"]*)""", 1))
+    every = F.concat(F.transform(links, lambda x: value(x, "href")), F.transform(metas, target))
+    found = base.select("url", F.explode(F.array_distinct(every)).alias("to")).where("to != ''")
     found = found.withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
     scheme, site = F.regexp_extract("url", r"(?s)^(.*?)://", 1), F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
@@ -119,7 +126,7 @@ def judge(
     The longest fitting rule decides. Without one, a page is blocked (``propagated``) if its component
     holds an address that a rule blocks and none that a rule allows, else allowed. Links come from the
     HTML (``html_col``; none: not read) and from ``redirects`` (``src, dst`` addresses). A null address or
-    one without ``://`` has empty host and path, no rule and no alias, and is allowed. Repeated rows are
+    one without ``://`` has empty host and path, no rule and no alias, and is allowed; null HTML names no link. Repeated rows are
     judged each; other columns are ignored. Only pages' addresses are shuffled, never their HTML.
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
@@ -143,7 +150,9 @@ def judge(
     if blocked is None:
         met = ruled.withColumn("alias", F.lit(None).cast("boolean"))
     else:
-        met = ruled.join(blocked, "node", "left")
+        # an address without a node is alone; any text without a slash is no node
+        alone = F.concat(F.lit("none "), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string"))
+        met = ruled.withColumn("node", F.coalesce("node", alone)).join(blocked, "node", "left")
     propagated = F.col("best").isNull() & F.coalesce("alias", F.lit(False))
     verdict = F.coalesce(F.col("best.verdict"), F.when(propagated, F.lit("block")).otherwise(F.lit("allow")))
     return met.select("id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), propagated.alias("propagated"))

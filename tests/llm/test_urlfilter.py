@@ -118,3 +118,13 @@ def test_odd_pages(spark, empty):
     got = urlfilter.judge(spark.createDataFrame(rows, schema), URL_RULES).collect()
     assert len(got) == len(rows)
     assert urlfilter.judge(spark.createDataFrame(rows, schema), []).where("verdict = 'block'").count() == 0
+
+
+def test_every_link_outside_of_comments_counts(spark):
+    html = (
+        "<!-- <link rel=canonical href=http://no.io/1> --><link rel='alternate canonical' href='http://a.io/1'>"
+        '<link rel=canonical><link data-rel="canonical" rel="next" href="http://no.io/2"><LINK title="a > b" HREF="http://a.io/2" REL="Canonical">'
+        "<meta http-equiv=refresh content=5><meta content='0;url=http://a.io/3' http-equiv='Refresh'><meta http-equiv=refresh content='1; URL=http://a.io/1'>"
+    )
+    pages = spark.createDataFrame([(1, "http://s.io/", html), (2, "http://s.io/2", None), (3, None, html)], "page_id long, url string, html string")
+    assert sorted((r.src, r.dst) for r in urlfilter.link_edges(pages).collect()) == [("http://s.io/", f"http://a.io/{i}") for i in (1, 2, 3)]
