@@ -35,6 +35,11 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_OWN_ROOT['root']}"
 
 
+def _run_folder(spark: SparkSession) -> str:
+    """This application's folder of scratch tables."""
+    return f"{scratch_root(spark)}/codexframe/{spark.sparkContext.applicationId}"
+
+
 #: Rows that a file of a scratch table should hold at least.
 ROWS_PER_FILE = 50_000
 
@@ -49,7 +54,7 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     nondeterministic task (a row number by partition) gave stays as written.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/codexframe/{label}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
@@ -92,9 +97,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def clean_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of this and earlier runs; results that still read them must be written before."""
+    """Delete the scratch tables of this application, no other's; results that still read them must be written before."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/codexframe")
+    where = jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
     where.getFileSystem(conf).delete(where, True)
 
 
@@ -108,6 +113,18 @@ def table_bytes(df: DataFrame) -> int:
     return int(where.getFileSystem(conf).getContentSummary(where).getLength())
 
 
+#: A key table of so few rows, and so few bytes on disk, is sent to every executor; a larger one is joined by a shuffle.
+SENT_ROWS, SENT_BYTES = 200_000, 4 << 20
+
+
+def keyed(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` joined (``how``) with ``keys``, a scratch table of short columns; nulls of ``on`` equal nulls."""
+    small = table_bytes(keys) <= SENT_BYTES and keys.count() <= SENT_ROWS
+    met = F.expr(" and ".join(f"x.{c} <=> y.{c}" for c in on))
+    more = [] if how in ("left_anti", "left_semi") else [F.col(f"y.{c}") for c in keys.columns if c not in on]
+    return rows.alias("x").join((F.broadcast(keys) if small else keys).alias("y"), met, how).select("x.*", *more)
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python process, also where this package travels by value."""
     import sys

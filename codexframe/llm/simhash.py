@@ -10,41 +10,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import materialize, release, slices
+from codexframe.llm.common import discard, keyed, materialize, release, slices
 from codexframe.llm.components import connected_components
+from codexframe.llm.setjoin import central_pairs, common_shingles, cross_pairs, prefix, shared_prefixes, shingle_hashes, similar_pairs
 
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Tasks that a component with most fingerprints is dealt to.
+SALTS = 16
 #: Largest distance for which one of three segments must differ in at most one bit.
 MOST_BITS = 5
 
 
-def fingerprint(text: str | None, shingle_words: int = 4) -> int:
-    """The signed 64-bit fingerprint of one text; 0 for a text without words."""
-    import numpy as np
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII white space
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    k = min(shingle_words, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    digest = xxhash.xxh64_intdigest
-    starts, stops = (ends - sizes)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
+def _majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit value whose bits are set in over half of the hashes; 0 for none."""
     total = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 65_536):
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(starts[at : at + 65_536], stops[at : at + 65_536])], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    ones = (2 * total > len(starts)).astype(np.uint8)
+    for at in range(0, len(hashes), 65_536):
+        total += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    ones = (2 * total > len(hashes)).astype(np.uint8)
     return int(np.packbits(ones, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle_words: int = 4) -> int:
+    """The signed 64-bit fingerprint of one text; 0 for a text without words."""
+    return _majority(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
     """``id, fp`` of every row. Null and empty texts have fingerprint 0."""
     kept = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -115,230 +111,104 @@ def simhash_components(
     """
     rows = materialize(fingerprints(df, id_col, text_col, shingle_words), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    labels = connected_components(links(rows, max_bits))
-    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("label", "fp").alias("label")
-    )
-    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(lowest, "label").select("fp", "component_id")
+    labels = connected_components(links(rows, max_bits)).withColumnRenamed("node", "fp")
+    linked = materialize(classes.join(labels, "fp"), "linked")  # only fingerprints with a link
+    # a component with most fingerprints meets its smallest id in SALTS tasks
+    lowest = linked.groupBy("label").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(lowest, ["label", "salt"])
+    by_fp = classes.join(met.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return rows.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-#: Fingerprints of the single words of two candidates differ in so many bits at most.
-WORD_BITS = 5
-#: Longs in a sketch of a text's shingles: one bit of each of 64 minima per long.
-SKETCH_LONGS = 4
-#: Leaders that a text is verified against before all candidates are formed, and how many of the texts
-#: that share a segment of the fingerprint lead it, about.
-NEAREST, LEADERS = 6, 48
+#: Fingerprints that lead the others which share a whole segment with them, about; only a leader's links are followed in a larger crowd.
+LEADERS = 64
 
 
-def sketch_bits(similarity: float, deviations: float = 2.65) -> int:
-    """Bits in which sketches of sets of this similarity differ at most, but for about one pair in 250.
+def leader_links(fps: DataFrame, max_bits: int = MOST_BITS) -> DataFrame:
+    """The pairs of :func:`links` that have a leader: all of them, but in crowds of more than ``LEADERS``.
 
-    With 6 ``deviations``, but for about one in ten million. Minima agree with probability ``similarity`` and so their bits differ with half the rest.
+    A fingerprint leads if its hash falls into the share ``LEADERS / crowd``, its crowd being the most
+    fingerprints that share a whole segment with it. So a dense group yields linearly many pairs.
     """
-    bits, share = 64 * SKETCH_LONGS, (1 - similarity) / 2
-    return int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5 + 0.5)
-
-
-def sketch(shingle_hashes, count: int = SKETCH_LONGS):
-    """One bit of the minimum of each of ``64 * count`` hash functions over a set of 32-bit hashes."""
-    import numpy as np
-
-    rng = np.random.default_rng(3)  # fixed: the same functions in every task
-    odd = (rng.integers(1, 2**32, 64 * count, dtype=np.uint64) | 1).astype(np.uint32)
-    mask = rng.integers(0, 2**32, 64 * count, dtype=np.uint64).astype(np.uint32)
-    least = np.full(64 * count, 2**32 - 1, np.uint32)
-    for at in range(0, len(shingle_hashes), 2048):
-        x = (shingle_hashes[at : at + 2048, None] ^ mask) * odd
-        x ^= x >> np.uint32(15)
-        np.minimum(least, x.min(0), out=least)
-    return np.packbits((least & 1).astype(np.uint8), bitorder="little").view("<i8")
-
-
-_SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
-
-
-def _profiles(rows: DataFrame, shingle_words: int) -> DataFrame:
-    """``uid, key, fp, n, s0..`` of rows ``uid, text``: ``key`` is 128 bits of the lower-cased words, ``n`` the distinct shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import xxhash
-
-        for batch in slices(batches):
-            keys, fps, counts, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                k = min(shingle_words, len(words))
-                shingles = {xxhash.xxh32_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)} if words else ()
-                keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                fps.append(fingerprint(text, 1))
-                counts.append(len(shingles))
-                sketches.append(sketch(np.fromiter(shingles, np.uint32, len(shingles))))
-            columns = [batch.column(0), pa.array(keys, pa.string()), pa.array(fps, pa.int64()), pa.array(counts, pa.int32())]
-            columns += [pa.array(x) for x in np.array(sketches, np.int64).reshape(-1, SKETCH_LONGS).T]
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "key", "fp", "n", *_SKETCH])
-
-    return rows.mapInArrow(run, "uid long, key string, fp long, n int, " + ", ".join(f"{c} long" for c in _SKETCH))
-
-
-#: Texts that show which shingles are common, in how many of them one must stand, and how many are noted at most.
-COMMON_SAMPLE, COMMON_TEXTS, MOST_COMMON = 4096, 4, 1 << 16
-
-
-def _shingle_hashes(text: str | None, shingle_words: int):
-    """The distinct shingles of a text as 48-bit hashes, ascending."""
-    import numpy as np
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    k, digest = min(shingle_words, len(words)), xxhash.xxh3_64_intdigest
-    found = {digest(b" ".join(words[i : i + k])) >> 16 for i in range(len(words) - k + 1)} if words else ()
-    return np.sort(np.fromiter(found, np.int64, len(found)))
-
-
-def _common(bodies: DataFrame, shingle_words: int) -> list[tuple[int, int]]:
-    """``hash, count`` of the shingles that stand in many texts of a sample: at most ``MOST_COMMON``."""
-    share = COMMON_SAMPLE / max(1, bodies.count())
-    dice = F.pmod(F.xxhash64(F.lit("common"), "uid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for text in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(text, shingle_words), pa.int64())], names=["h"])
-
-    counts = bodies.where(dice < share).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
-    kept = counts.where(F.col("texts") >= COMMON_TEXTS).orderBy(F.desc("texts"), "h").limit(MOST_COMMON)
-    return [tuple(r) for r in kept.collect()]
-
+    values = fps.select("fp").distinct()
+    parts = [f"struct({i} as s, shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L as x)" for i, (at, width) in enumerate(SEGMENTS)]
+    shared = values.select("fp", F.explode(F.expr(f"array({', '.join(parts)})")).alias("part"))
+    crowds = shared.join(shared.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part").groupBy("fp").agg(F.max("n").alias("crowd"))
+    dice = F.pmod(F.xxhash64(F.lit("leader"), "fp"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    ranked = materialize(crowds.select("fp", (dice * F.col("crowd") < LEADERS).alias("leads")), "leaders")
+    index = ranked.select("fp", "leads", F.explode(F.expr(_variants())).alias("k"))
+    close = f"bit_count(x.fp ^ y.fp) <= {max_bits} and {_first_shared('x.k', 'x.fp', 'y.fp')}"
+    once = "x.fp != y.fp and (not x.leads or x.fp < y.fp)"
+    pairs = index.alias("x").join(index.where("leads").drop("leads").alias("y"), F.expr(f"x.k = y.k and {once} and {close}"))
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
-def _prefixes(bodies: DataFrame, similarity: float, shingle_words: int, common: list[tuple[int, int]]) -> DataFrame:
-    """``uid, m, rare, hs``: the first of each text's ``m`` shingles, in one order for all texts; the first ``rare`` aren't common.
 
-    Two sets of this similarity share one of their first ``m - ceil(similarity * m) + 1`` elements under any
-    one order. Common shingles come last, so that few texts meet under them.
-    """
+def text_key(text: Column) -> list[Column]:
+    """``ka, kb``: 128 bits of a text; null as empty."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(whole).alias("ka"), F.xxhash64(F.lit(1), whole).alias("kb")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
 
-        known = np.array(sorted(common), np.int64).reshape(-1, 2)
-        for batch in slices(batches):
-            sizes, rare, firsts = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = _shingle_hashes(text, shingle_words)
-                times = np.zeros(len(h), np.int64)
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known[:, 0], h), len(known) - 1)
-                    times = np.where(known[at, 0] == h, known[at, 1], 0)
-                first = np.argsort(times, kind="stable")[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
-                sizes.append(len(h))
-                rare.append(int((times[first] == 0).sum()))
-                firsts.append(h[first])
-            columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "m", "rare", "hs"])
-
-    return bodies.mapInArrow(run, "uid long, m int, rare int, hs array<long>")
-
-
-def prefix_links(rows: DataFrame, clusters: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """Pairs ``a, b`` of the texts in ``clusters`` (``uid, c``) of different clusters, all that can be this similar among them.
-
-    An equality join on the prefixes of their shingle sets; shingle counts and the places of the shared
-    shingle bound the overlap inside the join. Under a common shingle only texts outside of its largest
-    cluster are compared with the others, so a dense cluster isn't compared with itself.
-    """
-    common = _common(rows, shingle_words)
-    firsts = materialize(_prefixes(rows, similarity, shingle_words, common).join(clusters, "uid"), "prefixes")
-    release(rows.sparkSession)
-    index = firsts.select("uid", "c", "m", "rare", F.posexplode("hs").alias("i", "h"))
-    rare = index.where("i < rare").drop("rare")
-    fits = (
-        f"x.h = y.h and x.c != y.c and least(x.m, y.m) >= {similarity} * greatest(x.m, y.m) "
-        f"and least(x.m - x.i, y.m - y.i) >= {similarity / (1 + similarity)!r} * (x.m + y.m) - 0.000001"
-    )
-    found = rare.alias("x").join(rare.alias("y"), F.expr(f"x.uid < y.uid and {fits}"))
-    found = found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
-    if common:
-        often = materialize(index.where("i >= rare").drop("rare"), "common")
-        largest = often.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max_by("c", F.struct("size", "c")).alias("most"))
-        others = often.join(largest, "h").where("c != most").drop("most")
-        met = others.alias("x").join(often.alias("y"), F.expr(fits))
-        found = found.unionByName(met.select(F.expr("least(x.uid, y.uid)").alias("a"), F.expr("greatest(x.uid, y.uid)").alias("b")))
-    return found.distinct()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """The pairs ``a, b`` of uids whose shingle sets have at least this Jaccard similarity."""
-    mine = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(mine, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-
-    def shingles(text: str | None) -> set[bytes]:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        k = min(shingle_words, len(words))
-        return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+def _profiles(texts: DataFrame, common: np.ndarray, similarity: float, shingle_words: int) -> DataFrame:
+    """``ka, kb, fp, m, rare, hs`` of rows ``ka, kb, text``: fingerprint, number of distinct shingles, and their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = shingles(x), shingles(y)
-                common = len(x & y)
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            fps, sizes, rare, firsts = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(text, shingle_words)
+                own = np.unique(hashes.view("<i8"))
+                n, first = prefix(own, common, similarity)
+                fps.append(_majority(hashes))
+                sizes.append(len(own))
+                rare.append(n)
+                firsts.append(first)
+            columns = [*batch.columns[:2], pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts, pa.list_(pa.int64()))], names=["ka", "kb", "fp", "m", "rare", "hs"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return texts.mapInArrow(run, "ka long, kb long, fp long, m int, rare int, hs array<long>")
 
 
 def similar_classes(rows: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
-    """Near-duplicate class of rows ``uid`` (unique long), ``text``: ``uid, label``, one row each.
+    """Near-duplicate class of the texts of ``rows`` (``ka, kb`` of :func:`text_key`, ``text``): ``ka, kb, label``, one row a text.
 
-    Rows of one lower-cased word sequence form one text. Texts are linked if the Jaccard similarity of
-    their shingle sets, worked out from whole texts, is at least ``similarity``. Classes are the connected
-    components.
+    Texts are linked if the Jaccard similarity of their shingle sets, worked out from whole lower-cased (A-Z)
+    texts, is at least ``similarity``; texts without words are alike. Classes are the connected components.
 
-    A dense group is not compared pair by pair. First each text is verified against its nearest leaders,
-    a hashed choice of about ``LEADERS`` of the texts whose word fingerprint shares a whole segment with
-    it and is close, narrowed by shingle count and by a sketch of the shingles; what verifies makes
-    clusters. Then all pairs of different clusters that ``prefix_links`` finds are verified: these are all
-    that can be similar enough, so no link is left out but those inside a cluster, which can't change a class.
+    Candidates come first from fingerprints: equal ones, and the links of deletion variants (``MOST_BITS``,
+    with leaders in crowds). Of each shared element of the sets' prefixes the most central text is a
+    candidate for the others. What verifies makes clusters. Then all pairs of different clusters that the
+    prefixes allow are verified: these are all that can be similar enough, so no link is left out but those
+    inside a cluster, which can't change a class. An empty table gives an empty result.
     """
-    profiles = materialize(_profiles(rows, shingle_words), "profiles")
-    first_of = F.min(F.struct("uid", "fp", "n", *_SKETCH)).alias("r")
-    texts = materialize(profiles.groupBy("key").agg(first_of).select("key", "r.*"), "texts")
-    bodies = rows.join(texts.select("uid"), "uid", "left_semi").select("uid", "text")
-    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _SKETCH)
-    close = (
-        f"bit_count(x.fp ^ y.fp) <= {WORD_BITS} and {apart} <= {sketch_bits(similarity)} "
-        f"and least(x.n, y.n) >= {similarity} * greatest(x.n, y.n)"
-    )
-    parts = [f"struct({i} as s, shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L as x)" for i, (at, width) in enumerate(SEGMENTS)]
-    shared = texts.select("uid", "fp", "n", *_SKETCH, F.explode(F.expr(f"array({', '.join(parts)})")).alias("part"))
-    crowds = shared.groupBy("part").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    dice = F.pmod(F.xxhash64(F.lit("leader"), "uid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    leaders = shared.join(crowds, "part").where(dice * F.col("crowd") < LEADERS).drop("crowd")
-    led = shared.alias("x").join(leaders.alias("y"), F.expr(f"x.part = y.part and x.uid != y.uid and {close}"))
-    led = led.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"), F.expr(apart).alias("d")).distinct()
-    nearest = Window.partitionBy("a").orderBy("d", "b")
-    led = led.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= NEAREST).select("a", "b")
-    first = materialize(_verified(led, bodies, similarity, shingle_words), "links")
-    clusters = materialize(connected_components(first), "clusters")
-    clustered = texts.join(clusters.withColumnRenamed("node", "uid"), "uid", "left").withColumn("c", F.coalesce("label", "uid"))
-    release(rows.sparkSession)
-    rest = materialize(prefix_links(rows, clustered.select("uid", "c"), similarity, shingle_words), "candidates")
-    release(rows.sparkSession)
-    # few pairs that only share a phrase reach their texts; the wide bound loses about one link in ten million
-    sketches = texts.select("uid", *_SKETCH)
-    x, y = sketches.alias("x"), sketches.alias("y")
-    rest = rest.join(x, F.expr("a = x.uid")).join(y, F.expr("b = y.uid")).where(F.expr(f"{apart} <= {sketch_bits(similarity, 6)}"))
-    rest = materialize(rest.select("a", "b"), "candidates")
-    second = _verified(rest, bodies, similarity, shingle_words)
-    labels = connected_components(first.unionByName(second))
-    named = texts.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("key", F.coalesce("label", "uid").alias("label"))
-    return profiles.select("uid", "key").join(named, "key").select("uid", "label")
+    spark = rows.sparkSession
+    common = common_shingles(rows.select("text"), shingle_words)
+    single = _profiles(rows.select("ka", "kb", "text"), common, similarity, shingle_words).dropDuplicates(["ka", "kb"])
+    texts = materialize(single.withColumn("uid", F.monotonically_increasing_id()), "texts")
+    release(spark)
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        wanted = materialize(texts.select("uid", "ka", "kb").join(asked, "uid", "left_semi"), "wanted")
+        bodies = keyed(rows.select("ka", "kb", "text"), wanted, ["ka", "kb"], "inner").groupBy("uid").agg(F.first("text").alias("text"))
+        found = materialize(similar_pairs(pairs, bodies, similarity, shingle_words), label)
+        discard(wanted, pairs)
+        release(spark)
+        return found
+
+    shared = materialize(shared_prefixes(texts.select("uid", "m", "rare", "hs")), "shared")
+    release(spark)
+    heads = texts.groupBy("fp").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n"))
+    close = leader_links(heads)
+    by_bits = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    same = texts.select("uid", "fp").join(heads.where("n > 1"), "fp").where("uid != head").select(F.col("head").alias("a"), F.col("uid").alias("b"))
+    near = by_bits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same)
+    first = verified(materialize(near.unionByName(central_pairs(shared, similarity)).distinct(), "candidates"), "links")
+    clusters = materialize(connected_components(first).select(F.col("node").alias("uid"), F.col("label").alias("c")), "clusters")
+    second = verified(cross_pairs(shared, texts, clusters, similarity), "links")
+    discard(shared, clusters)
+    labels = connected_components(first.unionByName(second)).withColumnRenamed("node", "uid")
+    return texts.select("uid", "ka", "kb").join(labels, "uid", "left").select("ka", "kb", F.coalesce("label", "uid").alias("label"))
 
 
 def keep_one(
@@ -346,11 +216,24 @@ def keep_one(
 ) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, in its columns: the one of smallest id.
 
-    Null ids come last; of repeated rows one stays. Null and empty texts are copies of one another.
+    Null ids come last; of repeated rows (one id, one text) any one stays. Null and empty texts are copies of
+    one another. Other columns may have any names. The table is never copied: rows are told apart by id and
+    a 128-bit key of the text, and what is dropped is taken out of the table itself.
     """
-    marked = materialize(docs.select(F.struct("*").alias("row")).withColumn("uid", F.monotonically_increasing_id()), "documents")
-    rows = marked.select("uid", F.col(f"row.{text_col}").cast("string").alias("text"))
-    ids = marked.select("uid", F.col(f"row.{id_col}").alias("id"))
-    best = F.min(F.struct(F.col("id").isNull(), "id", "uid"))
-    kept = similar_classes(rows, similarity, shingle_words).join(ids, "uid").groupBy("label").agg(best["uid"].alias("uid"))
-    return marked.join(kept.select("uid"), "uid", "left_semi").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), *text_key(F.col(text_col)), F.col(text_col).cast("string").alias("text"))
+    classes = similar_classes(rows.select("ka", "kb", "text"), similarity, shingle_words)
+    known = materialize(rows.groupBy("id", "ka", "kb").agg(F.count(F.lit(1)).alias("times")), "known")
+    labelled = materialize(known.join(classes, ["ka", "kb"]), "labelled")
+    best = F.min(F.struct(F.col("id").isNull(), "id", "ka", "kb")).alias("best")
+    chosen = labelled.groupBy("label").agg(best).select("label", F.col("best.id").alias("best"), F.col("best.ka").alias("bka"), F.col("best.kb").alias("bkb"))
+    judged = labelled.join(chosen, "label").withColumn("stays", F.expr("id <=> best and ka = bka and kb = bkb"))
+    judged = materialize(judged.select("id", "ka", "kb", "times", "stays"), "judged")
+    release(docs.sparkSession)
+    discard(known, labelled)
+    left = keyed(rows, materialize(judged.where("not stays").select("id", "ka", "kb"), "dropped"), ["id", "ka", "kb"], "left_anti")
+    tied = materialize(judged.where("stays and times > 1").select("id", "ka", "kb"), "tied")
+    if tied.isEmpty():
+        return left.select("row.*")
+    first = F.row_number().over(Window.partitionBy("id", "ka", "kb").orderBy(F.lit(0))).alias("n")
+    single = keyed(left, tied, ["id", "ka", "kb"], "left_semi").select("row", first).where("n = 1").select("row")
+    return keyed(left, tied, ["id", "ka", "kb"], "left_anti").select("row").unionByName(single).select("row.*")
