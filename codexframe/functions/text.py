@@ -84,7 +84,7 @@ def _normalize_tags(names: pd.Series) -> pd.Series:
 
 def normalize_tag(name: Column) -> Column:
     """:func:`normalize_tag_py` over Arrow batches; plain ASCII words never leave the JVM."""
-    plain = name.rlike("^[A-Za-z0-9 ]*$")
+    plain = name.rlike("\\A[A-Za-z0-9 ]*\\z")
     simple = F.trim(F.regexp_replace(F.lower(name), " +", " "))
     return F.when(plain, simple).otherwise(_normalize_tags(F.when(~plain, name)))
 

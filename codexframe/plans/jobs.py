@@ -82,11 +82,11 @@ def resumable(jobs: DataFrame, documents: DataFrame, job_type: str = "EMBED_DOCU
 def run_pipeline(files: DataFrame, embedder, dim: int) -> dict[str, DataFrame]:
     """Files (``path, length, content``) through all stages up to vectors: ``documents, chunks, jobs, rejected``.
 
-    A document's status follows from what it has: FAILED without text, READY with all vectors. Each stage
+    A document's status follows from what it has: FAILED without text, EXTRACTED with a chunk too long to embed, READY with all vectors. Each stage
     is one DataFrame step over what the stage before left; nothing is updated in place.
     """
     from codexframe.functions.chunking import chunk_sections
-    from codexframe.operators.embedding import embed_missing
+    from codexframe.operators.embedding import MOST_CHARS, embed_missing
     from codexframe.sources.files import extract_files, intake
 
     judged = intake(files)
@@ -94,13 +94,19 @@ def run_pipeline(files: DataFrame, embedder, dim: int) -> dict[str, DataFrame]:
     found = extract_files(accepted.withColumn("document_id", F.sha2("path", 256)), "document_id").withColumnRenamed("id", "document_id")
     good = found.where("error is null")
     chunks = chunk_sections(good, "document_id").withColumn("embedding", F.lit(None).cast("array<float>"))
-    chunks = embed_missing(chunks, embedder, dim, F.col("content"))
+    long = F.length("content") > MOST_CHARS  # never reaches the model; its document alone fails
+    stuck = chunks.where(long).groupBy("document_id").agg(F.lit(f"a chunk has more than {MOST_CHARS} characters").alias("stuck"))
+    chunks = embed_missing(chunks, embedder, dim, F.when(~long, F.col("content")))
     chunks = chunks.withColumn("id", F.concat_ws(":", "document_id", "chunk_index"))
     named = accepted.select(F.sha2("path", 256).alias("document_id"), "path", "title", "file_type", F.col("length").alias("file_size"))
-    documents = named.join(found.select("document_id", "text", "error"), "document_id", "left")
-    documents = documents.withColumn("status", F.when(F.col("error").isNull(), "READY").otherwise("FAILED"))
+    documents = named.join(found.select("document_id", "text", "error"), "document_id", "left").join(stuck, "document_id", "left")
+    status = F.when(F.col("error").isNotNull(), "FAILED").when(F.col("stuck").isNotNull(), "EXTRACTED").otherwise("READY")
+    documents = documents.withColumn("status", status).withColumn("error", F.coalesce("error", "stuck")).drop("stuck")
     failures = found.where("error is not null").select("document_id", F.lit("EXTRACT_TEXT").alias("failed_stage"), F.col("error").alias("message"))
-    finished = good.select("document_id", F.explode(F.array(*[F.lit(x) for x in JOB_TYPE[:3]])).alias("type"), F.lit("COMPLETED").alias("status"))
+    failures = failures.unionByName(stuck.select("document_id", F.lit(JOB_TYPE[2]).alias("failed_stage"), F.col("stuck").alias("message")))
+    stages = [F.array(*[F.lit(x) for x in JOB_TYPE[:n]]) for n in (2, 3)]
+    done = F.when(F.col("stuck").isNotNull(), stages[0]).otherwise(stages[1])
+    finished = good.join(stuck, "document_id", "left").select("document_id", F.explode(done).alias("type"), F.lit("COMPLETED").alias("status"))
     jobs = fail_cascade(failures).select("document_id", "type", "status", "error_message").unionByName(
         finished.withColumn("error_message", F.lit(None).cast("string"))
     )

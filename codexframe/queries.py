@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codexframe.functions import chunking, replies, text, vectors
 from codexframe.operators import dml, recommend, search, taxonomy
-from codexframe.operators.embedding import hashing_embedder, project_text, tag_text
+from codexframe.operators.embedding import embed_tags, hashing_embedder, project_text, tag_text
 from codexframe.operators.relational import (
     Model,
     Relation,
@@ -1011,3 +1011,150 @@ def validate_inputs(spark, d):
     bad = replies.project_violations(title, about, F.array("p_brand"), F.lit(None).cast("string"))
     tag = replies.tag_violations(F.when(F.length("p_name") > 9, F.col("p_name")).otherwise("x"), F.lit(None).cast("string"))
     return _t(spark, d, "part").select("p_partkey", F.array_join(bad, ",").alias("project"), (F.size(tag) == 0).alias("tag_ok"))
+
+
+# ---- reports and tag upkeep ------------------------------------------------------------------
+
+
+def _columns(df: DataFrame, **named: str) -> DataFrame:
+    return df.select(*[F.expr(e).alias(n) for n, e in named.items()])
+
+
+@query(
+    "select o_orderkey as id, o_orderpriority as title, o_orderstatus as file_type, o_custkey as file_size, o_orderstatus as status, o_orderdate as created_at "
+    "from orders where o_orderpriority = '1-URGENT'"
+)
+def document_list(spark, d):
+    """Orders as documents; the priority is the owner."""
+    docs = _columns(
+        _t(spark, d, "orders"), id="o_orderkey", title="o_orderpriority", file_type="o_orderstatus", file_size="o_custkey", status="o_orderstatus",
+        created_at="o_orderdate", user_id="o_orderpriority",
+    )
+    return reports.document_list(docs, "1-URGENT")
+
+
+def _projects(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as projects, their orders as recommendations."""
+    projects = _columns(_t(spark, d, "customer"), id="c_custkey", title="c_name", user_id="c_nationkey", updated_at="c_acctbal")
+    found = _columns(_t(spark, d, "orders"), project_id="o_custkey", document_id="o_orderkey", score="o_totalprice", reason="o_orderpriority")
+    return projects, found
+
+
+@query(
+    "select c_custkey as id, c_name as title, c_nationkey as user_id, c_acctbal as updated_at, count(o_orderkey) as recommendations "
+    "from customer left join orders on o_custkey = c_custkey where c_nationkey = 3 group by all"
+)
+def project_list(spark, d):
+    return reports.project_list(*_projects(spark, d), 3)
+
+
+@query(
+    "select c_custkey as id, string_agg(o_orderkey || ' ' || o_orderstatus, ',' order by o_totalprice desc, o_orderkey) as recommendations "
+    "from customer left join orders on o_custkey = c_custkey group by c_custkey"
+)
+def project_detail(spark, d):
+    projects, found = _projects(spark, d)
+    docs = _columns(_t(spark, d, "orders"), id="o_orderkey", title="o_orderstatus")
+    joined = reports.project_detail(projects, found, docs)
+    return joined.select("id", F.array_join(F.transform("recommendations", lambda r: F.concat_ws(" ", r["document_id"], r["title"])), ",").alias("recommendations"))
+
+
+@query(
+    "select o_orderkey as id, o_orderdate as created_at, c_name as suggested_name, l.doc_id as document_id, l.source as title "
+    "from orders left join customer on c_custkey = o_custkey * 2 left join (select doc_id, source from documents) l on l.doc_id = o_orderkey % 500 "
+    "where o_orderstatus = 'P' and o_orderpriority = '2-HIGH' and l.doc_id is not null"
+)
+def pending_reviews(spark, d):
+    """Orders as reviews; some name a tag that is gone."""
+    reviews = _columns(
+        _t(spark, d, "orders"), id="o_orderkey", user_id="o_orderpriority", status="if(o_orderstatus = 'P', 'PENDING', 'APPROVED')",
+        suggested_tag_id="o_custkey * 2", document_id="o_orderkey % 500", created_at="o_orderdate",
+    )
+    tags = _columns(_t(spark, d, "customer"), id="c_custkey", name="c_name")
+    docs = _columns(_t(spark, d, "documents"), id="doc_id", title="source")
+    found = reports.pending_reviews(reviews, tags, docs, "2-HIGH").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    return found.select("id", "created_at", "suggested_name", "document_id", "title")
+
+
+@query(
+    "select s_suppkey as id, s_nationkey as user_id, s_name as base_url, s_acctbal > 0 as is_active, s_acctbal as created_at, s_suppkey % 2 = 0 as has_api_key "
+    "from supplier where s_nationkey = 5"
+)
+def provider_list(spark, d):
+    """Suppliers as providers; a secret is shown as its presence only."""
+    rows = _columns(
+        _t(spark, d, "supplier"), id="s_suppkey", user_id="s_nationkey", base_url="concat(s_name, '//')", is_active="s_acctbal > 0", created_at="s_acctbal",
+        encrypted_api_key="if(s_suppkey % 2 = 0, s_name, null)",
+    )
+    return reports.provider_list(rows, 5)
+
+
+@query("select given, greatest(1, least(20, trunc(given)))::int as used from (values (-3.0::double), (0.0), (1.0), (7.9), (20.0), (21.0), (1000.0)) as v(given)")
+def search_limits(spark, d):
+    given = [-3.0, 0.0, 1.0, 7.9, 20.0, 21.0, 1000.0]
+    return spark.createDataFrame([(x, search.clamp_limit(x)) for x in given], "given double, used int")
+
+
+@query("select doc_id as document_id, case when doc_id % 3 = 0 then coalesce(lang, source) else source end as reason from documents")
+def recommend_model_reason(spark, d):
+    """A model's reason where it gave one, else the fallback."""
+    ranked = _columns(_t(spark, d, "documents"), document_id="doc_id", reason="source")
+    return recommend.with_reasons(ranked, _columns(_t(spark, d, "documents").where("doc_id % 3 = 0"), document_id="doc_id", model_reason="lang"))
+
+
+_LINK_SOURCE = "case l_returnflag when 'A' then 'AI' when 'R' then 'MERGED' else 'USER' end"
+
+
+@query(
+    f"""with d as (select o_orderkey from orders where o_orderstatus = 'F'),
+l as (select l_orderkey as document_id, 'link' as kind, {_LINK_SOURCE} as state from lineitem),
+r as (select o_orderkey as document_id, 'review' as kind, case when o_custkey % 2 = 0 then 'PENDING' else 'REJECTED' end as state from orders)
+select kind, state, count(*) as n from (
+  select * from l where document_id not in (select o_orderkey from d) or state = 'USER'
+  union all select * from r where document_id not in (select o_orderkey from d) or state <> 'PENDING') x group by kind, state"""
+)
+def tag_reset(spark, d):
+    """Links and reviews that stay when finished orders' tags are resolved anew."""
+    orders = _t(spark, d, "orders")
+    links = _columns(_t(spark, d, "lineitem"), document_id="l_orderkey", source=_LINK_SOURCE)
+    reviews = _columns(orders, document_id="o_orderkey", status="if(o_custkey % 2 = 0, 'PENDING', 'REJECTED')")
+    kept, left = taxonomy.reset_document_tags(links, reviews, _columns(orders.where("o_orderstatus = 'F'"), document_id="o_orderkey"))
+    both = kept.select(F.lit("link").alias("kind"), F.col("source").alias("state")).unionByName(left.select(F.lit("review").alias("kind"), F.col("status").alias("state")))
+    return both.groupBy("kind", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""with {_TAGS}, n as (select p_partkey, unnest([' ' || p_type || '! ', p_brand, p_name]) as name from part),
+m as (select *, {_NORM.format('name')} as normalized from n)
+select p_partkey, m.name, coalesce(t.id, al.id) as tag_id from m left join tags t on t.normalized = m.normalized left join al on al.normalized = m.normalized
+where m.normalized <> '' and coalesce(t.id, al.id) is not null"""
+)
+def tag_name_conflicts(spark, d):
+    tags, aliases, names = _tags(spark, d)
+    return taxonomy.name_conflicts(names, tags, aliases).select("p_partkey", "name", "tag_id")
+
+
+@query(
+    "select p_partkey as id, case when p_partkey in (2, 4, 5, 6, 9, 10) then "
+    "(length(p_name || case when p_partkey % 5 = 0 then '' else ': ' || p_type end) % 4 = 0)::int::float end as first from part"
+)
+def embed_chosen_tags(spark, d):
+    """Tags with fresh vectors by a model that tells lengths apart; only some ids are asked for."""
+    import numpy as np
+
+    tags = _columns(_t(spark, d, "part"), id="p_partkey", name="p_name", description="if(p_partkey % 5 = 0, null, p_type)", embedding="cast(null as array<float>)")
+    done = embed_tags(tags, lambda texts: np.eye(4)[[len(t) % 4 for t in texts]], 4, [2, 4, 5, 6, 9, 10])
+    return done.select("id", F.col("embedding")[0].alias("first"))
+
+
+@query(
+    "with o as (select o_custkey as tag_id, arg_max(o_totalprice, o_orderkey) as v from orders where o_orderstatus = 'F' group by o_custkey) "
+    "select c_custkey as id, coalesce(v, c_acctbal) as first from customer left join o on tag_id = c_custkey"
+)
+def candidate_vector_copy(spark, d):
+    """Tags take the vector of the last candidate that a rejected review settled on."""
+    tags = _columns(_t(spark, d, "customer"), id="c_custkey", embedding="array(c_acctbal)")
+    orders = _t(spark, d, "orders")
+    outcome = _columns(orders.where("o_orderstatus = 'F'"), id="o_orderkey", tag_id="o_custkey")
+    reviews = _columns(orders, id="o_orderkey", candidate_embedding="array(o_totalprice)")
+    return taxonomy.copy_candidate_vectors(tags, outcome, reviews).select("id", F.col("embedding")[0].alias("first"))

@@ -168,19 +168,47 @@ def _pdf_string(raw: bytes) -> str:
     return re.sub(rb"\\([0-7]{1,3}|.)", one, raw, flags=re.S).decode("latin-1")
 
 
-_SHOW = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(T\*|ET|Td|TD)", re.S)
+_SHOW = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(T\*|ET|Td|TD)|<([0-9A-Fa-f\s]*)>\s*(?:Tj|'|\")", re.S)
+#: Bytes that one stream may inflate to.
+MOST_BYTES = 64 << 20
+
+
+def _pdf_hex(digits: bytes) -> str:
+    """A hex string of single bytes, or of UTF-16 with its mark."""
+    bare = re.sub(rb"\s", b"", digits)
+    raw = bytes.fromhex((bare + b"0" * (len(bare) % 2)).decode())
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+
+
+def _kids(body: bytes) -> list[int]:
+    listed = re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)
+    return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", listed[1])] if listed else []
+
+
+def _page_order(objects: dict[int, bytes], pages: set[int]) -> list[bytes]:
+    """Page objects as the page tree has them, from its roots down; pages outside of it come last."""
+    below = {n: _kids(body) for n, body in objects.items()}
+    inner = {x for kids in below.values() for x in kids}
+    todo, order = [n for n in sorted(below, reverse=True) if below[n] and n not in inner], {}
+    seen: set[int] = set()
+    while todo:
+        n = todo.pop()
+        if n in seen:
+            continue
+        seen.add(n)
+        if n in pages:
+            order[n] = objects[n]
+        todo += reversed(below.get(n, []))
+    return [*order.values(), *(objects[n] for n in sorted(pages - order.keys()))]
 
 
 def pdf_sections(data: bytes) -> list[Section]:
-    """Pages with a text layer of simple strings (``Tj``, ``TJ``), plain or Flate; page numbers count all pages."""
+    """Pages with a text layer of simple strings (``Tj``, ``TJ``), also hex ones, plain or Flate; page numbers count all pages in the order of the page tree."""
     if not data.startswith(b"%PDF"):
         raise ExtractionError("not a PDF")
     objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)endobj", data, re.S)}
     pages = [body for _, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page(?![A-Za-z])", body)]
-    order = re.search(rb"/Kids\s*\[(.*?)\]", data, re.S)
-    if order:
-        kids = [objects.get(int(x)) for x in re.findall(rb"(\d+)\s+\d+\s+R", order[1])]
-        pages = [x for x in kids if x is not None and x in pages] or pages
+    pages = _page_order(objects, {n for n, body in objects.items() if re.search(rb"/Type\s*/Page(?![A-Za-z])", body)}) or pages
     found: list[Section] = []
     for n, page in enumerate(pages, 1):
         contents = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.S)
@@ -193,7 +221,10 @@ def pdf_sections(data: bytes) -> list[Section]:
             content = stream[1]
             if b"FlateDecode" in body[: stream.start()]:
                 try:
-                    content = zlib.decompressobj().decompress(content)
+                    inflate = zlib.decompressobj()
+                    content = inflate.decompress(content, MOST_BYTES)
+                    if inflate.unconsumed_tail:
+                        raise ExtractionError(f"a stream has more than {MOST_BYTES} bytes")
                 except zlib.error as error:
                     raise ExtractionError("a stream can't be inflated") from error
             for m in _SHOW.finditer(content):
@@ -201,8 +232,11 @@ def pdf_sections(data: bytes) -> list[Section]:
                     lines.append("")
                 elif m[1] is not None:
                     lines[-1] += _pdf_string(m[1])
+                elif m[4] is not None:
+                    lines[-1] += _pdf_hex(m[4])
                 else:
-                    lines[-1] += "".join(_pdf_string(x) for x in re.findall(rb"\(((?:\\.|[^\\()])*)\)", m[2], re.S))
+                    parts = re.finditer(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>", m[2], re.S)
+                    lines[-1] += "".join(_pdf_string(x[1]) if x[1] is not None else _pdf_hex(x[2]) for x in parts)
         text = normalize_text_py("\n".join(x for x in lines if x))
         if text:
             found.append((text, n, PDF_LABEL.format(n=n)))
@@ -218,5 +252,7 @@ def extract(data: bytes, kind: str) -> list[Section]:
         raise ExtractionError(f"unsupported type {kind}")
     try:
         return EXTRACTORS[kind](data)
-    except (zipfile.BadZipFile, ElementTree.ParseError) as error:
+    except ExtractionError:
+        raise
+    except Exception as error:  # whatever a damaged, encrypted or hostile file sets off fails this file alone
         raise ExtractionError(f"damaged file: {error}") from error

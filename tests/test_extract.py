@@ -116,3 +116,40 @@ def test_streaming_ingest_runs_once_per_file(spark, inbox, tmp_path):
     assert len(chunks) == 4 and all(len(r.embedding) == 16 for r in chunks)
     jobs = spark.read.parquet(str(tmp_path / "out/jobs"))
     assert jobs.where("status = 'COMPLETED'").count() == 6 and jobs.where("status = 'FAILED'").count() == 8
+
+
+def test_pages_follow_a_nested_tree():
+    texts = [f"{MARK} {n}" for n in range(4)]
+    page = lambda n, body: f"{n} 0 obj << /Type /Page /Contents {n + 10} 0 R >> endobj\n{n + 10} 0 obj << >> stream\nBT {body} ET\nendstream endobj\n"
+    data = "%PDF-1.4\n8 0 obj << /Type /Pages /Kids [5 0 R 4 0 R] >> endobj\n9 0 obj << /Type /Pages /Kids [8 0 R 7 0 R] >> endobj\n"
+    data += "7 0 obj << /Type /Pages /Kids [3 0 R 2 0 R] >> endobj\n1 0 obj << /Type /Catalog /Pages 9 0 R >> endobj\n"
+    for n, text in zip((5, 4, 3, 2), texts):
+        shown = f"({text}) Tj" if n % 2 else f"<{text.encode('utf-16-be').hex() if n < 0 else text.encode('latin-1', 'replace').hex()}> Tj"
+        data += page(n, shown)
+    got = extract.extract(data.encode("latin-1", "replace"), "pdf")
+    assert [s[1] for s in got] == [1, 2, 3, 4] and [s[0][-1] for s in got] == ["0", "1", "2", "3"]
+
+
+@pytest.mark.parametrize("change", ["encrypted", "damaged"])
+def test_a_file_that_cannot_be_read_fails_alone(change):
+    data = bytearray(docx(("Normal", MARK)))
+    at = data.find(b"PK\x01\x02") if change == "encrypted" else 45
+    while change == "encrypted" and at >= 0:
+        data[at + 8] |= 1
+        at = data.find(b"PK\x01\x02", at + 4)
+    if change == "damaged":
+        data[60:90] = b"\xff" * 30
+    with pytest.raises(extract.ExtractionError):
+        extract.extract(bytes(data), "docx")
+
+
+def test_a_word_too_long_to_embed_fails_its_document(spark, tmp_path):
+    from codexframe.operators.embedding import hashing_embedder
+    from codexframe.plans.jobs import run_pipeline
+
+    (tmp_path / "long.docx").write_bytes(docx(("Normal", MARK + " " + "x" * 20_001)))
+    (tmp_path / "good.docx").write_bytes(docx(("Normal", MARK)))
+    out = run_pipeline(read_files(spark, str(tmp_path)), hashing_embedder(8), 8)
+    assert {r.title: (r.status, r.error is None) for r in out["documents"].collect()} == {"long": ("EXTRACTED", False), "good": ("READY", True)}
+    assert all((r.embedding is None) == (len(r.content) > 20_000) for r in out["chunks"].collect())
+    assert out["jobs"].where("status = 'COMPLETED'").count() == 5

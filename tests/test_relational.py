@@ -119,3 +119,8 @@ def test_snapshots_change_together(spark, tmp_path):
     before = store.read("a")
     store.commit({"a": store.read("a").unionByName(a)})
     assert store.read("a").count() == 6 and store.read("b").count() == 2 and before.count() == 3
+    late = SnapshotStore(spark, str(tmp_path / "lib"))
+    late._number = lambda: 1  # another writer that saw the first commit only
+    with pytest.raises(OSError, match="another writer"):
+        late.commit({"a": b})
+    assert store.read("a").count() == 6

@@ -49,3 +49,9 @@ def test_display(spark):
         text.split_list(F.lit("a, b\n a,,c ")).alias("j"),
     ).first()
     assert tuple(row) == ("1 KB", "2 KB", "3.10 MB", 13, "Sẵn sàng", "other", "abc...", 1.0, 0.0, ["a", "b", "c"])
+
+
+def test_a_line_end_is_no_plain_name(spark):
+    names = ["abc\n", "\nabc", "abc", "C++", ".NET", " Học Máy "]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(text.normalize_tag(F.col("n"))).collect()]
+    assert got == [text.normalize_tag_py(n) for n in names] and got[0] == "abc"
