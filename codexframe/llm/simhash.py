@@ -21,7 +21,7 @@ from codexframe.llm.setjoin import central_pairs, common_shingles, cross_pairs,
 
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Tasks that a component with most fingerprints is dealt to.
+#: Tasks that a class with most rows is dealt to.
 SALTS = 16
 #: Largest distance for which one of three segments must differ in at most one bit.
 MOST_BITS = 5
@@ -98,6 +98,12 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
+def _met(rows: DataFrame, by_label: DataFrame, spread: list[str]) -> DataFrame:
+    """``rows`` joined with the one row of their ``label``; a label that most rows have meets it in ``SALTS`` tasks, dealt by ``spread``."""
+    copies = by_label.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(copies, ["label", "salt"]).drop("salt")
+
+
 def simhash_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4
 ) -> DataFrame:
@@ -113,9 +119,7 @@ def simhash_components(
     classes = rows.groupBy("fp").agg(F.min("id").alias("low"))
     labels = connected_components(links(rows, max_bits)).withColumnRenamed("node", "fp")
     linked = materialize(classes.join(labels, "fp"), "linked")  # only fingerprints with a link
-    # a component with most fingerprints meets its smallest id in SALTS tasks
-    lowest = linked.groupBy("label").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(lowest, ["label", "salt"])
+    met = _met(linked, linked.groupBy("label").agg(F.min("low").alias("component_id")), ["fp"])
     by_fp = classes.join(met.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return rows.join(by_fp, "fp").select("id", "fp", "component_id")
 
@@ -226,7 +230,7 @@ def keep_one(
     labelled = materialize(known.join(classes, ["ka", "kb"]), "labelled")
     best = F.min(F.struct(F.col("id").isNull(), "id", "ka", "kb")).alias("best")
     chosen = labelled.groupBy("label").agg(best).select("label", F.col("best.id").alias("best"), F.col("best.ka").alias("bka"), F.col("best.kb").alias("bkb"))
-    judged = labelled.join(chosen, "label").withColumn("stays", F.expr("id <=> best and ka = bka and kb = bkb"))
+    judged = _met(labelled, chosen, ["id", "ka", "kb"]).withColumn("stays", F.expr("id <=> best and ka = bka and kb = bkb"))
     judged = materialize(judged.select("id", "ka", "kb", "times", "stays"), "judged")
     release(docs.sparkSession)
     discard(known, labelled)
