@@ -125,6 +125,24 @@ def keyed(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFram
     return rows.alias("x").join((F.broadcast(keys) if small else keys).alias("y"), met, how).select("x.*", *more)
 
 
+#: Keys that at least one in so many of all rows have; there are at most as many of them.
+HEAVY = 1000
+
+
+def heavy_join(rows: DataFrame, by_key: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``by_key``, one row a key without nulls, whose ``n`` tells how many of the rows have the key.
+
+    Keys that many rows have, ``HEAVY`` at most by count, are sent to the rows; only the others meet in a
+    shuffle. So no key's rows are gathered in one task, whatever its share.
+    """
+    keys = materialize(by_key, "by_key")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(keys.where(F.col("n") * HEAVY >= total).drop("n"))
+    light = keys.where(F.col("n") * HEAVY < total).drop("n")
+    rest = rows.join(heavy, on, "left_anti").join(light, on)
+    return rows.join(heavy, on).unionByName(rest)
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python process, also where this package travels by value."""
     import sys

@@ -15,14 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import discard, keyed, materialize, release, slices
+from codexframe.llm.common import discard, heavy_join, keyed, materialize, release, slices
 from codexframe.llm.components import connected_components
 from codexframe.llm.setjoin import central_pairs, common_shingles, cross_pairs, prefix, shared_prefixes, shingle_hashes, similar_pairs
 
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Tasks that a class with most rows is dealt to.
-SALTS = 16
 #: Largest distance for which one of three segments must differ in at most one bit.
 MOST_BITS = 5
 
@@ -98,12 +96,6 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def _met(rows: DataFrame, by_label: DataFrame, spread: list[str]) -> DataFrame:
-    """``rows`` joined with the one row of their ``label``; a label that most rows have meets it in ``SALTS`` tasks, dealt by ``spread``."""
-    copies = by_label.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(copies, ["label", "salt"]).drop("salt")
-
-
 def simhash_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4
 ) -> DataFrame:
@@ -116,12 +108,13 @@ def simhash_components(
     fingerprint 0 and link like any other. Other columns of ``df`` are ignored.
     """
     rows = materialize(fingerprints(df, id_col, text_col, shingle_words), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    classes = rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     labels = connected_components(links(rows, max_bits)).withColumnRenamed("node", "fp")
-    linked = materialize(classes.join(labels, "fp"), "linked")  # only fingerprints with a link
-    met = _met(linked, linked.groupBy("label").agg(F.min("low").alias("component_id")), ["fp"])
-    by_fp = classes.join(met.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return rows.join(by_fp, "fp").select("id", "fp", "component_id")
+    linked = materialize(classes.drop("n").join(labels, "fp"), "linked")  # only fingerprints with a link
+    lowest = linked.groupBy("label").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    met = heavy_join(linked, lowest, ["label"]).select("fp", "component_id")
+    by_fp = classes.join(met, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id"))
+    return heavy_join(rows, by_fp, ["fp"]).select("id", "fp", "component_id")
 
 
 #: Fingerprints that lead the others which share a whole segment with them, about; only a leader's links are followed in a larger crowd.
@@ -227,10 +220,11 @@ def keep_one(
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), *text_key(F.col(text_col)), F.col(text_col).cast("string").alias("text"))
     classes = similar_classes(rows.select("ka", "kb", "text"), similarity, shingle_words)
     known = materialize(rows.groupBy("id", "ka", "kb").agg(F.count(F.lit(1)).alias("times")), "known")
-    labelled = materialize(known.join(classes, ["ka", "kb"]), "labelled")
+    sizes = known.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("n"))
+    labelled = materialize(heavy_join(known, classes.join(sizes, ["ka", "kb"]), ["ka", "kb"]), "labelled")
     best = F.min(F.struct(F.col("id").isNull(), "id", "ka", "kb")).alias("best")
-    chosen = labelled.groupBy("label").agg(best).select("label", F.col("best.id").alias("best"), F.col("best.ka").alias("bka"), F.col("best.kb").alias("bkb"))
-    judged = _met(labelled, chosen, ["id", "ka", "kb"]).withColumn("stays", F.expr("id <=> best and ka = bka and kb = bkb"))
+    chosen = labelled.groupBy("label").agg(best, F.count(F.lit(1)).alias("n")).select("label", "n", F.col("best.id").alias("best"), F.col("best.ka").alias("bka"), F.col("best.kb").alias("bkb"))
+    judged = heavy_join(labelled, chosen, ["label"]).withColumn("stays", F.expr("id <=> best and ka = bka and kb = bkb"))
     judged = materialize(judged.select("id", "ka", "kb", "times", "stays"), "judged")
     release(docs.sparkSession)
     discard(known, labelled)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from codexframe.llm import simhash
+from codexframe.llm import common, simhash
 from codexframe.llm.components import connected_components
 
 
@@ -215,3 +215,12 @@ def test_a_kept_row_of_repeated_ones_and_of_clashing_names(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c"), (1, "other text here"), (2, "q")]
+
+
+def test_heavy_join_is_a_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 4)
+    rows = spark.createDataFrame([(i, i % 3 if i < 60 else i) for i in range(90)], "id int, k int")
+    by_key = rows.groupBy("k").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    keys = by_key.drop("n")
+    assert sorted(common.heavy_join(rows, by_key, ["k"]).select("id", "k", "low").collect()) == sorted(rows.join(keys, "k").select("id", "k", "low").collect())
+    assert common.heavy_join(rows.limit(0), by_key.limit(0), ["k"]).count() == 0
