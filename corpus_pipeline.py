@@ -50,7 +50,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Tokenization and near-duplicate classes have no SQL form; the tests hold run() against brute force.
+#: Tokenization and near-duplicate classes have no SQL form; tests check properties of each stage, and its operator against brute force on its own.
 ORACLE_SQL = None
 
 
