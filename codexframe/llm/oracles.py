@@ -116,10 +116,43 @@ POSITIONS = f"""{_MIXED}
 select doc_id, epoch, take, position from r where take > 0
 """
 
+def _codes(rounds: int = 6) -> str:
+    """All rounds of the vector codes as common tables: assignments ``a0..`` and codebooks ``c0..``, entries compared one by one."""
+    assign = """a{r} as materialized (
+  select rid, part, entry, far from (
+    select *, row_number() over (partition by rid, part order by far, entry) as n from (
+      select e.rid, e.part, c.entry, sum((e.q - c.q) * (e.q - c.q))::bigint as far
+      from e join c{r} c on e.part = c.part and e.i = c.i group by e.rid, e.part, c.entry) x) y where n = 1)"""
+    move = """c{s} as materialized (
+  select c.part, c.entry, c.i, case when m.n is null then c.q else (m.s - ((m.s % m.n) + m.n) % m.n) // m.n end as q
+  from c{r} c left join (
+    select e.part, a.entry, e.i, sum(e.q)::bigint as s, count(*)::bigint as n
+    from e join a{r} a on e.rid = a.rid and e.part = a.part group by e.part, a.entry, e.i) m
+  on c.part = m.part and c.entry = m.entry and c.i = m.i)"""
+    steps = [step.format(r=r, s=r + 1) for r in range(rounds) for step in (assign, move)] + [assign.format(r=rounds)]
+    return f"""
+with k as materialized (
+  select row_number() over (order by vec_id) - 1 as rid, vec_id, label, embedding as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as (select rid, v, unnest(range(0, len(v))) as c from k),
+e as materialized (
+  select rid, c // (len(v) // 8) as part, c % (len(v) // 8) as i, floor(4096 * v[c + 1]::double)::bigint as q from u),
+c0 as materialized (select part, rid as entry, i, q from e where rid < 16),
+{", ".join(steps)},
+f as (
+  select k.vec_id, k.label, string_agg(printf('%02x', a.entry), '' order by a.part) as code, sum(a.far)::bigint as error
+  from k join a{rounds} a on k.rid = a.rid group by k.rid, k.vec_id, k.label)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+  (select sha256(string_agg(q::varchar, ',' order by part, entry, i)) from c{rounds}) as codebooks_sha256
+from f
+"""
+
+
 ORACLES = {
     "op4_quality_rules": QUALITY,
     "op5_redirect_equivalence": URLS,
     "op9_line_dedup": LINES,
     "op10_curriculum_mix": MIX,
     "op10_training_positions": POSITIONS,
+    "op13_vantage_codes": _codes(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexframe.llm import ann, langid, linededup, mixing, packing, pii, quality, simhash, toxicity, urlfilter
+from codexframe.llm import alignment, ann, codes, langid, linededup, mixing, packing, pii, quality, simhash, tokencount, toxicity, urlfilter
 from codexframe.llm.common import materialize
 from codexframe.llm.oracles import ORACLES
 
@@ -122,6 +122,24 @@ def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs, cycle=(1, 2, 3), most=3.0, schedule=mixing.curriculum(docs))
 
 
+def op11_elementary_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two public tokenizers overlap in every document."""
+    found = alignment.align(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_products")
+
+
+def op12_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and how many of its pre-tokens needed no merging."""
+    found = tokencount.count_tokens(_table(spark, sf_dir, "documents"), path=tokencount.public_file("byte_bpe_50k.json"), limit=1024)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_vantage_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every vector under codebooks that all vectors moved."""
+    found = codes.compress(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -142,6 +160,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_curriculum_mix": op10_curriculum_mix,
         "op10_training_positions": op10_training_positions,
+        "op11_elementary_intervals": op11_elementary_intervals,
+        "op12_whole_tokens": op12_whole_tokens,
+        "op13_vantage_codes": op13_vantage_codes,
         "pipeline": pipeline,
     }
 
