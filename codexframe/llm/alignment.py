@@ -59,13 +59,30 @@ def align_ids(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
     return Alignment(a, b, ends, own_a, own_b, np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b), len(shared))
 
 
+def _rank_engine(path: str):
+    """The merge engine of the rank file that lies beside a vocabulary, if there is one: for texts in Latin-1, where
+    both libraries cut words alike, it gives the same ids several times faster."""
+    import base64
+    import os
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = f"{path.removesuffix('.json')}.tiktoken"
+    if not os.path.exists(ranks):
+        return None
+    with open(ranks, "rb") as lines:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
 class Pair:
     """Both tokenizers of a task, with the bytes of each of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.first = load_tokenizer(path_a)
+        self.first, self.ranked = load_tokenizer(path_a), _rank_engine(path_a)
         byte_of = {c: b for b, c in enumerate(byte_chars())}
         vocab = self.first.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
@@ -81,13 +98,24 @@ class Pair:
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.written = [f"{i}{end}" for i in range(most) for end in ",|;"]
 
+    def ids_a(self, text: str) -> list[int]:
+        """A's ids of a text in which the strings of special tokens are ordinary text."""
+        if self.ranked is not None:
+            try:
+                text.encode("latin-1")
+                return self.ranked.encode_ordinary(text)
+            except UnicodeEncodeError:
+                pass
+        self.first.encode_special_tokens = True
+        ids = self.first.encode(text, add_special_tokens=False).ids
+        self.first.encode_special_tokens = False
+        return ids
+
     def align(self, text: str | None) -> Alignment | None:
         """The alignment of one text; none for a null or empty text, or if a tokenizer doesn't give its bytes back."""
         if not text:
             return None
-        self.first.encode_special_tokens = True  # their strings are ordinary text
-        a = self.first.encode(f" {text}", add_special_tokens=False).ids
-        self.first.encode_special_tokens = False
+        a = self.ids_a(f" {text}")
         whole = f" {text}".encode("utf-8")
         if b"".join(map(self.bytes_a.__getitem__, a)) != whole:
             return None

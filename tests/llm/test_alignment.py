@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from codexframe.llm.alignment import align, group_products, groups, pair_counts
+from codexframe.llm.alignment import align, group_products, groups, pair_counts, tokenizer_pair
 from codexframe.llm.queries import queries
 from codexframe.llm.tokencount import byte_chars, public_file
 
@@ -86,6 +86,15 @@ def test_query_equals_plain_alignment(spark, sf, tmp_path):
     assert sorted((r["doc_id"], *(r[c] for c in COLUMNS)) for r in got) == sorted((r["doc_id"], *w) for r, w in zip(rows, want))
 
 
+def test_both_engines_give_the_same_ids():
+    both, plain = tokenizer_pair(public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model")), Plain()
+    draw = random.Random(4)
+    pool = [chr(i) for i in range(256)] + [" the", "'s", "  ", "\n\n", "<|endoftext|>", "12", "\u0085", "\x1c", "zqxj"] * 10
+    for _ in range(3000):
+        text = " " + "".join(draw.choice(pool) for _ in range(draw.randint(0, 30)))
+        assert both.ids_a(text) == plain.a.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("block_links", [1, 50, 1 << 20])
 def test_blocks_of_any_size_and_odd_texts(spark, block_links):
     draw = random.Random(3)
