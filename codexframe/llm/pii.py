@@ -87,16 +87,41 @@ def _digits_of(value: int, classes: list[str]) -> str:
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
+#: Symbols that are permuted as one number; a longer value is permuted in blocks of so many.
+BLOCK = 256
+
+
+def _blockwise(symbols: list[str], kinds: list[str], key: bytes, tweak: str, back: bool) -> list[str]:
+    """A long value in linear time: blocks permuted forwards and then backwards, each under the image of the one before.
+
+    After both passes every block depends on all others. The inverse takes the passes and their steps back.
+    """
+    blocks = [slice(at, at + BLOCK) for at in range(0, len(symbols), BLOCK)]
+    out = list(symbols)
+    for number, order in reversed([*enumerate((blocks, blocks[::-1]))]) if back else enumerate((blocks, blocks[::-1])):
+        before = ""
+        for block in order:
+            mine = f"{tweak}|{number}|{hashlib.sha256(before.encode()).hexdigest()}|{''.join(x[-1] for x in kinds[block])}"
+            given = "".join(out[block])
+            value, size = _radix(given, kinds[block])
+            out[block] = _digits_of(permute(value, size, key, mine, back), kinds[block])
+            before = given if back else "".join(out[block])
+    return out
+
+
 def _by_class(text: str, key: bytes, tweak: str, back: bool, alphabet: str | None = None) -> str:
     """Letters and digits permuted each within its class (or ``alphabet``); other characters stay."""
     classes = {c: next((x for x in ([alphabet] if alphabet else [_DIGITS, _LOWER, _UPPER]) if c in x), None) for c in set(text)}
     at = [i for i, c in enumerate(text) if classes[c]]
     kinds = [classes[text[i]] for i in at]
-    # the pattern of classes tells apart domains of one size
-    tweak = f"{tweak}|{''.join(x[-1] for x in kinds)}"
-    value, size = _radix("".join(text[i] for i in at), kinds)
-    out = list(text)
-    for i, c in zip(at, _digits_of(permute(value, size, key, tweak, back), kinds)):
+    symbols, out = [text[i] for i in at], list(text)
+    if len(at) > BLOCK:
+        image = _blockwise(symbols, kinds, key, tweak, back)
+    else:
+        # the pattern of classes tells apart domains of one size
+        value, size = _radix("".join(symbols), kinds)
+        image = list(_digits_of(permute(value, size, key, f"{tweak}|{''.join(x[-1] for x in kinds)}", back), kinds))
+    for i, c in zip(at, image):
         out[i] = c
     return "".join(out)
 

@@ -177,3 +177,27 @@ def test_days_after_the_twelfth_and_areas_are_permuted_among_themselves():
         new = pii.pseudonym("ssn", value, KEY)
         assert pii.pseudonym("ssn", new, KEY, back=True) == value and not new.startswith(("666", "000", "9"))
     assert pii.pseudonym("ssn", "666-01-0001", KEY) is None and pii.pseudonym("ssn", "900-01-0001", KEY) is None
+
+
+def test_long_values_are_replaced_and_inverted_in_linear_time(spark):
+    import random
+    import time
+
+    draw, spent = random.Random(2), {}
+    for size in (250, 256, 257, 511, 512, 513, 8_000, 100_000, 200_000):
+        value = "".join(draw.choice("abcXYZ0123456789") for _ in range(size)) + "7"
+        for text in (f"see token={value} .", f"to {value}@example.com now"):
+            began = time.process_time()
+            new, spans = pii.replace(text, KEY)
+            spent[size] = time.process_time() - began
+            assert len(spans) == 1 and value not in new and len(new) == len(text)
+            assert pii.replace(new, KEY, back=True)[0] == text
+            kinds = lambda t: ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else c for c in t]
+            assert kinds(new) == kinds(text)
+    assert spent[200_000] < 6 * max(spent[100_000], 0.05)  # twice the length, about twice the time
+    # a change anywhere changes every block, equal values stay equal
+    a, b = "q1" * 1000, "q1" * 999 + "q2"
+    image = lambda v: pii.replace(f"token={v}", KEY)[0][6:]
+    assert image(a) == image(a) and all(image(a)[i : i + 128] != image(b)[i : i + 128] for i in range(0, 2000, 128))
+    rows = spark.createDataFrame([(1, f"token={a}"), (2, f"mail {'x9' * 60_000}@example.com")], "doc_id long, text string")
+    assert [len(r.spans) for r in pii.pseudonymize(rows, KEY).collect()] == [1, 1]
