@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import materialize
+from codexframe.llm.common import heavy_join, materialize
 
 #: Rows, about, that graph and classifier are fitted on.
 SAMPLE = 12_000
@@ -239,24 +239,29 @@ def nearest(
     parts; where they hold more than ``rows_per_part`` rows on average, each is cut again by a classifier of its own. Fewer
     than 64 rows are one part. The classifiers learn from ``sample`` rows each, all rows are indexed. Vectors
     that are null, zero, of another length than most (no inner product with them exists), or that hold null
-    or non-finite components take no part; no valid row, no result. Ids should be unique; a repeated id
-    counts as a further row.
+    or non-finite components take no part; no valid row, no result. Rows equal in id and vector are one row; an
+    id with several vectors is several rows, each a candidate and, as a query, answered by a list of its own
+    that may hold the id's other rows.
 
     Rows of one vector form a class: a class is compared once, and of its members the ``k + 1`` smallest
     ids suffice, so copies neither fill a part nor a task. A part's rows and queries meet in tiles of at
     most about ``BLOCK`` rows a side.
     """
-    valid = materialize(valid_vectors(df, id_col, vec_col), "vectors")
-    by_vector = Window.partitionBy("v")
-    members = valid.withColumn("n", F.row_number().over(by_vector.orderBy("id"))).where(F.col("n") <= k + 1)
-    members = materialize(members.withColumn("class", F.min("id").over(by_vector)), "members")
-    base = members.where("n = 1").select("id", "v")
-    n_base = base.count()
+    valid = materialize(valid_vectors(df, id_col, vec_col).distinct(), "vectors")
+    members = valid.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    # numbered in order of their smallest ids, one by one: an id with several vectors is in several classes
+    numbered = members.where("n = 1").select(F.col("id").alias("low"), "v").sort("low").withColumn("class", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "classes")
+    members = materialize(members.join(numbered, "v").select("class", "id"), "members")
+    base = numbered.select(F.col("class").alias("id"), "v")
+    n_base = numbered.count()
     asked = valid.where(is_query)
-    queries = asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+    by_query = asked.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(numbered, "v").select("v", F.col("class").alias("q"), "n")
+    by_query = materialize(by_query, "by_query")
+    queries = by_query.select(F.col("q").alias("id"), "v")
     parts = part_count(n_base, min(most_parts, max(1, sample // 128)))
-    dice = F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taught = base.where(dice < F.lit(sample / max(n_base, 1))).orderBy("id").select("v").toArrow()  # about `sample` rows
+    dice = F.pmod(F.xxhash64(F.lit("ann"), "low"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    taught = numbered.where(dice < F.lit(sample / max(n_base, 1))).orderBy("class").select("v").toArrow()  # about `sample` rows
     if taught.num_rows < 2 * DEGREE:
         parts = 1
     d = len(taught.column(0)[0]) if taught.num_rows else 1
@@ -283,11 +288,13 @@ def nearest(
             qi, bi = q.column("id").to_numpy(), b.column("id").to_numpy()
             order = np.argsort(bi, kind="stable")
             bv, bi = bv[order], bi[order]
+            # twice what rounding can move a sum of products, relative to the vectors
+            off = np.sqrt((qv * qv).sum(1)) * np.sqrt((bv * bv).sum(1).max()) * (qv.shape[1] + 8) * 5e-16
             for at in range(0, len(qv), 512):
                 s = qv[at : at + 512] @ bv.T
                 if len(bi) > want:
                     least = np.partition(s, len(bi) - want, axis=1)[:, len(bi) - want]
-                    row, col = np.nonzero(s >= least[:, None] - 1e-12)
+                    row, col = np.nonzero(s >= (least - off[at : at + 512])[:, None])
                 else:
                     row, col = (x.ravel() for x in np.indices(s.shape))
                 exact = (qv[at + row] * bv[col]).sum(1)
@@ -304,10 +311,14 @@ def nearest(
     tile = ["part", "qb", "bb"]
     found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(compare, "q long, class long, score double")
     top = lambda rows, key, n: rows.withColumn(
-        "rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "id"))
+        "rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("score").desc(), "id"))
     ).where(F.col("rank") <= n)
-    classes = top(found.withColumnRenamed("class", "id"), "q", want).select("q", F.col("id").alias("class"), "score")
-    lists = top(classes.join(members.select("class", "id"), "class"), "q", want).select("q", "id", "score")
-    asked = asked.join(queries.select(F.col("id").alias("q"), "v"), "v").select(F.col("id").alias("query_id"), "q")
-    answers = asked.join(lists, "q").where("query_id != id")
-    return top(answers, "query_id", k).select("query_id", "rank", "id", "score")
+    near = materialize(top(found.withColumnRenamed("class", "id"), ["q"], want).select("q", F.col("id").alias("class"), "score"), "near")
+    hits = near.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    ids = members.join(hits, "class").groupBy("class").agg(F.collect_list("id").alias("ids"), F.first("n").alias("n"))  # k + 1 at most
+    lists = heavy_join(near, ids, ["class"]).select("q", "class", "score", F.explode("ids").alias("id"))
+    lists = top(lists, ["q"], want).groupBy("q").agg(F.collect_list(F.struct("class", "id", "score")).alias("list"))
+    askers = heavy_join(asked.select(F.col("id").alias("query_id"), "v"), by_query, ["v"]).select("query_id", "q")
+    answers = heavy_join(askers, lists.join(by_query.select("q", "n"), "q"), ["q"]).select("query_id", "q", F.inline("list"))
+    answers = answers.where("query_id != id or q != class")
+    return top(answers, ["query_id", "q"], k).select("query_id", "rank", "id", "score")

@@ -103,3 +103,46 @@ def test_few_rows_and_none(spark):
     assert [(r.query_id, r["rank"], r.id, r.score) for r in ann.nearest(few, "id % 20 = 0").collect()] == [(0, 1, 1, 4.0)]
     assert ann.nearest(spark.createDataFrame([], schema), "id % 20 = 0").count() == 0
     assert ann.nearest(spark.createDataFrame([(0, None, 1, 1, 1, 1, 1)], schema), "id % 20 = 0").count() == 0
+
+
+def _plain(rows, query, k):
+    """The list of one row ``(id, v)`` among the distinct other rows."""
+    others = [(i, float(np.dot(query[1], v))) for i, v in {(i, tuple(v)) for i, v in rows} - {(query[0], tuple(query[1]))}]
+    return sorted(others, key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_repeated_rows_and_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.integers(-9, 9, 4).astype(float).tolist()) for i in range(50)]
+    rows += [(0, rows[0][1]), (20, rows[20][1]), (20, rows[20][1])]  # repeated rows
+    rows += [(40, [1.0, 2.0, 3.0, 4.0]), (7, [4.0, 4.0, 4.0, 4.0]), (60, rows[20][1])]  # an id with two vectors, one vector with two ids
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0", k=20).collect():
+        got.setdefault((r.query_id, r["rank"]), []).append((r.id, r.score))
+    want = {}
+    for q in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+        for rank, found in enumerate(_plain(rows, q, 20), 1):
+            want.setdefault((q[0], rank), []).append(found)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_one_vector_on_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(13)
+    hot = [3.0, 0.0, 1.0, 0.0]
+    rows = [(i, hot if i % 3 else (rng.normal(size=4) * 2).tolist()) for i in range(600)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0", k=5, cover=1.1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    assert len(got) == 30
+    for q in range(0, 600, 20):
+        assert [i for _, i in sorted(got[q])] == [i for i, _ in _plain(rows, rows[q], 5)]
+
+
+def test_large_vectors_with_near_ties(spark):
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=64) * 1e4
+    x = base + rng.normal(size=(60, 64)) * 1e-9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(df, "id = 0", k=20).collect()
+    want = sorted(range(1, 60), key=lambda i: (-(x[0] * x[i]).sum(), i))[:20]
+    assert [r.id for r in sorted(rows, key=lambda r: r["rank"])] == want
