@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.functions.vectors import cosine_to
+from codexframe.functions.vectors import cosine, cosine_to
+from codexframe.operators import tiles
+from codexframe.sources.layout import BucketedTable
 
 # fixed values: candidates read per wanted result, and the bounds of a limit
 OVERFETCH, LEAST_LIMIT, MOST_LIMIT = 5, 1, 20
@@ -18,6 +18,12 @@ def clamp_limit(limit: float, default: int = 10) -> int:
     return max(LEAST_LIMIT, min(MOST_LIMIT, int(limit if limit is not None else default)))
 
 
+def clamped_limit(limit: Column, default: int = 10) -> Column:
+    """:func:`clamp_limit` of a column; null takes the default."""
+    whole = F.coalesce(limit, F.lit(default)).cast("double")
+    return F.greatest(F.lit(LEAST_LIMIT), F.least(F.lit(MOST_LIMIT), whole.cast("int")))
+
+
 def scored(vectors: DataFrame, query: list[float], vec_col: str = "embedding") -> DataFrame:
     """Rows that have a vector, with their cosine ``score`` to one query, worked out in Arrow batches."""
     return vectors.where(F.col(vec_col).isNotNull()).withColumn("score", cosine_to(query)(F.col(vec_col))).where("score is not null")
@@ -51,6 +57,20 @@ def semantic_search(
     return best.withColumn("__n", F.row_number().over(place)).where("__n = 1").drop("__n").orderBy(F.desc("score"), chunk_id).limit(limit)
 
 
+def semantic_search_stored(
+    chunks: BucketedTable, owner: object, query: list[float], limit: int = 10, chunk_id: str = "id", document_id: str = "document_id"
+) -> DataFrame:
+    """:func:`semantic_search` over chunks stored in buckets of their owner: the owner's folder alone is opened.
+
+    The score is a column expression, so chunks go from the scan to the ranking without leaving the JVM.
+    """
+    q = F.array(*[F.lit(float(x)) for x in query])
+    near = chunks.of(owner).withColumn("score", cosine(F.col("embedding"), q)).where("score is not null").drop("embedding")
+    best = near.orderBy(F.desc("score"), chunk_id).limit(OVERFETCH * limit)
+    place = Window.partitionBy(document_id).orderBy(F.desc("score"), chunk_id)
+    return best.withColumn("__n", F.row_number().over(place)).where("__n = 1").drop("__n").orderBy(F.desc("score"), chunk_id).limit(limit)
+
+
 #: Rows of a group that one task compares with as many others.
 TILE = 4096
 
@@ -61,33 +81,8 @@ def neighbours_per_group(rows: DataFrame, group: str, id_col: str, vec_col: str
     A group is cut into tiles, so that a large one is dealt to many tasks; a tile pair is one matrix
     product and keeps ``k`` per row. Rows without a vector, or with a zero one, take no part.
     """
-    kind = {"g": dict(rows.dtypes)[group], "id": dict(rows.dtypes)[id_col]}
-    base = rows.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("g is not null and id is not null and v is not null")
-    tiles = base.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n"))
-    cut = base.join(tiles, "g").withColumn("t", F.pmod(F.xxhash64("id"), "n").cast("int"))
-    left = cut.select("g", "id", "v", F.col("t").alias("a"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"))
-    right = cut.select(F.col("g").alias("h"), F.col("id").alias("other"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"), F.col("t").alias("d"))
-
-    def unit(column) -> np.ndarray:
-        m = np.stack([np.asarray(v, np.float64) for v in column])
-        size = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
-
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": x["id"][:0], "other_id": y["other"][:0], "score": np.zeros(0)})
-        y = y.sort_values("other", kind="stable")
-        near = unit(x["v"]) @ unit(y["w"]).T
-        mine, theirs = x["id"].to_numpy(), y["other"].to_numpy()
-        near[(mine[:, None] == theirs[None, :]) | np.isnan(near)] = -np.inf
-        order = np.argsort(-near, axis=1, kind="stable")[:, :k]  # ties stay in order of id
-        score = np.take_along_axis(near, order, 1).ravel()
-        out = pd.DataFrame({"id": np.repeat(mine, order.shape[1]), "other_id": theirs[order.ravel()], "score": score})
-        return out[np.isfinite(score)]
-
-    found = left.groupBy("g", "a", "b").cogroup(right.groupBy("h", "c", "d")).applyInPandas(compare, f"id {kind['id']}, other_id {kind['id']}, score double")
-    place = Window.partitionBy("id").orderBy(F.desc("score"), "other_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    base = tiles.prepared(rows, group, id_col, vec_col)
+    return tiles.nearest(base, base, k, itself=False, tile=TILE).select("id", "other_id", "score", "rank")
 
 
 def approximate_top_k(vectors: DataFrame, query: list[float], k: int, id_col: str, vec_col: str = "embedding", tables: int = 8, width: float = 1.0) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexframe.functions import chunking, replies, text, vectors
 from codexframe.operators import dml, recommend, search, taxonomy
-from codexframe.operators.embedding import embed_tags, hashing_embedder, project_text, tag_text
+from codexframe.operators.embedding import embed_rows, embed_tags, hashing_embedder, project_text, tag_text
 from codexframe.operators.relational import (
     Model,
     Relation,
@@ -22,8 +23,11 @@ from codexframe.operators.relational import (
     matching,
     raw_query,
 )
+from codexframe.operators.vector_index import VectorIndex
 from codexframe.plans import jobs, reports
 from codexframe.sources.files import extract_html
+from codexframe.sources.layout import BucketedTable
+from codexframe.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -455,16 +459,177 @@ def tag_alias_fallback(spark, d):
 
 @query()
 def tag_resolution_plan(spark, d):
-    """Names of parts, brand by brand, resolved in order with the built-in model."""
-    part = _t(spark, d, "part")
+    """Names of parts, brand by brand, resolved in order with the built-in model; types are tags, and names of large parts aliases."""
+    part, model = _t(spark, d, "part"), hashing_embedder(64)
     names = part.groupBy(F.col("p_brand").alias("owner")).agg(F.array_sort(F.collect_set("p_name")).alias("names"))
     names = names.select("owner", F.lit("all").alias("document_id"), "names")
-    tags = spark.createDataFrame([], "id string, normalized_name string, created_by_user_id string, embedding array<float>")
-    aliases = spark.createDataFrame([], "tag_id string, normalized_alias string, created_at timestamp")
-    done = taxonomy.sync_tags(names, tags, aliases, hashing_embedder(64))
+    kinds = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").cast("string").alias("id"), F.min("p_name").alias("name"))
+    tags = embed_tags(
+        kinds.select("id", "name", F.lower("p_type").alias("normalized_name"), F.col("p_brand").alias("created_by_user_id"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<float>").alias("embedding")),
+        model, 64,
+    )
+    large = part.where("p_size > 45").select("p_brand", "p_type", text.normalize_tag(F.col("p_name")).alias("normalized_alias"), F.timestamp_seconds("p_partkey").alias("created_at"))
+    aliases = large.join(kinds, ["p_brand", "p_type"]).select(F.col("id").alias("tag_id"), "normalized_alias", "created_at")
+    done = taxonomy.sync_tags(names, tags, aliases, model)
     return done.select("owner", "position", "name", "normalized", "action", "tag_id", F.round("confidence", 6).alias("confidence"))
 
 
+def _first_letter(texts: list[str]) -> np.ndarray:
+    """A model under which names of one first letter are alike and others at right angles."""
+    out = np.zeros((len(texts), 32), np.float32)
+    out[np.arange(len(texts)), [ord(t[0].lower()) % 32 for t in texts]] = 1
+    return out
+
+
+@query(
+    f"""with n as (select p_brand as owner, lpad(p_partkey::varchar, 12, '0') as doc, p_name as name, {_NORM.format('p_name')} as normalized, ascii(lower(p_name)) % 32 as letter from part),
+k as (select p_brand as owner, ascii(lower(p_type)) % 32 as letter, min(p_brand || ':' || p_type) as tag from part where p_size < 8 group by 1, 2),
+al as (select p_brand as owner, {_NORM.format('p_name')} as normalized, arg_min(p_brand || ':' || p_type, p_partkey) as tag from part where p_size = 7 group by 1, 2),
+o as (select n.*, al.tag as alias, k.tag as known from n left join al on al.owner = n.owner and al.normalized = n.normalized left join k on k.owner = n.owner and k.letter = n.letter),
+f as (select *, row_number() over (partition by owner, normalized order by doc) as nth, row_number() over (partition by owner, letter, alias is null order by doc) as in_letter,
+  first_value(normalized) over (partition by owner, letter, alias is null order by doc) as made from o)
+select owner, doc as document_id, name,
+  case when alias is not null or nth > 1 then 'LINK' when known is null and in_letter = 1 then 'CREATE' else 'MERGE' end as action,
+  coalesce(alias, known, 'new:' || owner || ':' || made) as tag_id from f"""
+)
+def tag_resolution_by_letter(spark, d):
+    """Names of parts in order of their parts, with given tags and aliases, under a model of which SQL can tell who comes first."""
+    part = _t(spark, d, "part")
+    names = part.select(F.col("p_brand").alias("owner"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("document_id"), F.array("p_name").alias("names"))
+    tag = F.concat("p_brand", F.lit(":"), "p_type")
+    kinds = part.where("p_size < 8").select(tag.alias("id"), F.col("p_type").alias("name"), F.lower("p_type").alias("normalized_name"), F.col("p_brand").alias("created_by_user_id")).distinct()
+    tags = embed_tags(kinds.withColumns({"description": F.lit(None).cast("string"), "embedding": F.lit(None).cast("array<float>")}), _first_letter, 32)
+    aliases = part.where("p_size = 7").select(tag.alias("tag_id"), text.normalize_tag(F.col("p_name")).alias("normalized_alias"), F.timestamp_seconds("p_partkey").alias("created_at"))
+    return taxonomy.sync_tags(names, tags, aliases, _first_letter).select("owner", "document_id", "name", "action", "tag_id")
+
+
+_MIXED = """m as (select vec_id, label, case when label = 9 then 90 else label end as owner,
+  list_transform(range(1, 65), lambda i: embedding[i]::double + [0.0::double, 0.4, 0.7, 1.5][vec_id % 4 + 1] * embedding[65 - i]::double) as v from embeddings),
+p as (select m.owner, m.vec_id as id, e.vec_id as tag_id, list_cosine_similarity(m.v, e.embedding::double[]) as score from m left join embeddings e on e.label = m.owner),
+r as (select *, row_number() over (partition by id order by score desc nulls last, tag_id) as rank from p)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors as tags of their label; each one's candidate is it, leaning towards its own reverse. Label 9's ask an owner without tags."""
+    rows, v = _t(spark, d, "embeddings"), F.col("embedding").cast("array<double>")
+    lean = F.get(F.array(*[F.lit(x) for x in (0.0, 0.4, 0.7, 1.5)]), (F.col("vec_id") % 4).cast("int"))
+    mixed = F.zip_with(v, F.reverse(v), lambda x, y: x + lean * y)
+    asked = rows.select(F.when(F.col("label") == 9, 90).otherwise(F.col("label")).alias("owner"), F.col("vec_id").alias("id"), mixed.alias("v"))
+    return asked, rows.select(F.col("label").alias("owner"), F.col("vec_id").alias("id"), v.alias("v"))
+
+
+@query(f"with {_MIXED} select owner, id, rank::int as rank, tag_id, round(score, 6) as score from r where rank <= 5 and (score is not null or rank = 1)")
+def similar_tags_by_owner(spark, d):
+    """Each candidate's five most similar tags of its owner."""
+    return _rounded(taxonomy.nearest_tags(*_candidates(spark, d), k=5).drop("band"), "score")
+
+
+@query(
+    f"with {_MIXED} select owner, id, tag_id, case when score >= 0.9::double then 'MERGE' when score >= 0.78::double then 'REVIEW' else 'NEW' end as band from r where rank = 1"
+)
+def nearest_tag_bands(spark, d):
+    """What becomes of each candidate by its nearest tag."""
+    return taxonomy.nearest_tags(*_candidates(spark, d)).select("owner", "id", "tag_id", "band")
+
+
+# ---- stored layouts --------------------------------------------------------------------------
+
+
+def _index(spark: SparkSession, rows: DataFrame, **how) -> VectorIndex:
+    return VectorIndex.build(rows, new_path(spark, "vector-index"), "vec_id", **how)
+
+
+@query(
+    """with c as (select row_number() over (order by md5(vec_id::varchar), vec_id) - 1 as cell, embedding::double[] as c from embeddings),
+n as (select greatest(1, floor(1.5 * sqrt(count(*)::double)))::int as cells from embeddings),
+s as (select e.vec_id, c.cell, list_cosine_similarity(e.embedding::double[], c.c) as score from embeddings e, c, n where c.cell < n.cells),
+r as (select *, row_number() over (partition by vec_id order by score desc, cell) - 1 as place from s)
+select vec_id, place::int as place, cell::int as cell from r where place < 2"""
+)
+def vector_index_cells(spark, d):
+    """Cells of every vector in a stored index whose centres are its first sampled vectors."""
+    return _index(spark, _t(spark, d, "embeddings"), rounds=0).rows().select("vec_id", "place", "cell")
+
+
+@query()
+def vector_index_search(spark, d):
+    """The ten nearest of every hundredth vector by a stored index that reads under a third of its cells; recall is a test."""
+    rows = _t(spark, d, "embeddings")
+    found = _index(spark, rows).search_many(rows.where("vec_id % 100 = 0"), "vec_id", 10)
+    return _rounded(found.select("query_id", "rank", F.col("id").alias("vec_id"), "score"), "score")
+
+
+@query(
+    f"select e.vec_id, e.label, {_SCORE} as score from embeddings e, {_Q} q where e.label not in (4, 5) or e.vec_id = 7 "
+    "order by list_cosine_similarity(e.embedding::double[], q.q) desc, e.vec_id limit 10"
+)
+def vector_index_upkeep(spark, d):
+    """An index that was built of some labels, took the others, and lost two of them, searched in all of its cells."""
+    rows = _t(spark, d, "embeddings")
+    index = _index(spark, rows.where("label < 5"))
+    index.append(rows.where("label >= 5"))
+    index.delete(rows.where("label in (4, 5) and vec_id <> 7").select("vec_id"))
+    found = index.search(_query_vector(spark, d), 10, probes=len(index.centres))
+    return _rounded(found.select("vec_id", "label", "score"), "score")
+
+
+@query(ORACLES["semantic_search_dedup"])
+def semantic_search_by_bucket(spark, d):
+    """The flagship search over chunks laid out by their owner: only the files of the owner's bucket are read."""
+    chunks, documents = _library(spark, d)
+    owned = chunks.join(documents.select("document_id", "user_id"), "document_id")
+    stored = BucketedTable(spark, new_path(spark, "chunks"), "user_id", 16).create(owned)
+    found = search.semantic_search_stored(stored, "en", _query_vector(spark, d), search.clamp_limit(10), chunk_id="chunk_id")
+    return _rounded(found.select("chunk_id", "document_id", "score"), "score")
+
+
+def _stored_orders(spark: SparkSession, d: str) -> BucketedTable:
+    rows = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    return BucketedTable(spark, new_path(spark, "orders"), "o_custkey", 32).create(rows)
+
+
+@query(
+    "select o_custkey, o_orderkey, o_totalprice from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'MACHINERY' and c_nationkey = 3) "
+    "union all select c_custkey, -c_custkey, c_acctbal from customer where c_mktsegment = 'MACHINERY' and c_nationkey = 3"
+)
+def replace_children_in_buckets(spark, d):
+    """Some customers' orders replaced; buckets of other customers keep their files."""
+    stored = _stored_orders(spark, d)
+    few = _t(spark, d, "customer").where("c_mktsegment = 'MACHINERY' and c_nationkey = 3")
+    stored.replace_children(few.select(F.col("c_custkey").alias("o_custkey"), (-F.col("c_custkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice")))
+    return stored.rows().select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query(
+    "select o_custkey, o_orderkey, case when o_totalprice > 400000 then 'BIG' else o_orderstatus end as o_orderstatus, o_totalprice from orders "
+    "where not (o_totalprice < 2000) and o_custkey not in (select c_custkey from customer where c_acctbal < -900) and o_orderkey % 50 <> 1 "
+    "union all select o_custkey, o_orderkey, 'P2', o_totalprice + 1 from orders "
+    "where not (o_totalprice < 2000) and o_custkey not in (select c_custkey from customer where c_acctbal < -900) and o_orderkey % 50 = 1 "
+    "union all select o_custkey, -o_orderkey, 'P2', o_totalprice + 1 from orders where o_orderkey % 50 = 1"
+)
+def writes_in_buckets(spark, d):
+    """Rows updated, deleted by a condition and with their parents, and upserted, each in the buckets it touches."""
+    stored, orders = _stored_orders(spark, d), _t(spark, d, "orders")
+    stored.update(F.col("o_totalprice") > 400000, {"o_orderstatus": "BIG"})
+    stored.delete(F.col("o_totalprice") < 2000)
+    stored.delete_keys(_t(spark, d, "customer").where("c_acctbal < -900").select("c_custkey"))
+    fresh = orders.where("o_orderkey % 50 = 1").select("o_custkey", "o_orderkey", F.lit("P2").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    kept = fresh.join(stored.rows().select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], "left_semi")
+    stored.upsert(kept.unionByName(fresh.withColumn("o_orderkey", -F.col("o_orderkey"))), ["o_custkey", "o_orderkey"])
+    return stored.rows().select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query(
+    "select doc_id, text is not null and length(trim(text, E' \\t\\n\\r\\v\\f')) > 0 and length(text) <= 20000 as has_vector, "
+    "case when length(trim(text, E' \\t\\n\\r\\v\\f')) = 0 then 'a text is empty' when length(text) > 20000 then 'a text has more than 20000 characters' end as error from documents"
+)
+def embed_dispatch(spark, d):
+    """Whole documents sent to the model in requests of similar lengths, each distinct text once; those it can't take are rows with their error."""
+    rows = _t(spark, d, "documents").select("doc_id", "text").withColumn("embedding", F.lit(None).cast("array<float>"))
+    done = embed_rows(rows, "text", hashing_embedder(64), 64)
+    return done.select("doc_id", F.col("embedding").isNotNull().alias("has_vector"), F.col("embed_error").alias("error"))
+
+
 @query(
     "select n.n_nationkey, n.n_name, (select count(*) from customer where c_nationkey = n.n_nationkey) as aliases, "
     "(select count(*) from supplier where s_nationkey = n.n_nationkey) as documents from nation n"
@@ -1089,10 +1254,11 @@ def provider_list(spark, d):
     return reports.provider_list(rows, 5)
 
 
-@query("select given, greatest(1, least(20, trunc(given)))::int as used from (values (-3.0::double), (0.0), (1.0), (7.9), (20.0), (21.0), (1000.0)) as v(given)")
+@query("select event_id, greatest(1, least(20, trunc(coalesce(case when event_type <> 'error' then value / 4 - 3 end, 10))))::int as used from events")
 def search_limits(spark, d):
-    given = [-3.0, 0.0, 1.0, 7.9, 20.0, 21.0, 1000.0]
-    return spark.createDataFrame([(x, search.clamp_limit(x)) for x in given], "given double, used int")
+    """Limits that requests ask for; those of errors name none."""
+    asked = F.when(F.col("event_type") != "error", F.col("value") / 4 - 3)
+    return _t(spark, d, "events").select("event_id", search.clamped_limit(asked).alias("used"))
 
 
 @query("select doc_id as document_id, case when doc_id % 3 = 0 then coalesce(lang, source) else source end as reason from documents")

@@ -1,0 +1,107 @@
+"""Resolving names in rounds against judging them one after the other."""
+
+from __future__ import annotations
+
+import datetime
+import random
+
+import numpy as np
+import pytest
+
+from codexframe.functions.text import PY_BLANK, normalize_tag_py
+from codexframe.operators import taxonomy
+
+T0 = datetime.datetime(2024, 1, 1)
+TAGS = "id string, normalized_name string, created_by_user_id string, embedding array<float>"
+ALIASES = "tag_id string, normalized_alias string, created_at timestamp"
+
+
+def one_by_one(names, tags, aliases, model):
+    """``(owner, document, position) -> (action, tag, confidence)``."""
+    out = {}
+    for owner in {o for o, _, _ in names}:
+        exact, by_alias, known = {}, {}, []
+        for i, n, o, v in sorted(tags, key=lambda t: t[0]):
+            if o == owner:
+                exact.setdefault(n, i)
+                if v is not None:
+                    known.append((i, np.asarray(v, np.float32).astype(np.float64)))
+        own = {i for i, _, o, _ in tags if o == owner}
+        for _, t, a in sorted((c, t, a) for t, a, c in aliases if t in own):
+            by_alias.setdefault(a, t)
+        for _, document, listed in sorted(x for x in names if x[0] == owner):
+            for position, name in enumerate(x for x in dict.fromkeys(y.strip(PY_BLANK) for y in listed if y is not None) if x):
+                at, n = (owner, document, position), normalize_tag_py(name)
+                hit = exact.get(n) or by_alias.get(n)
+                if not n:
+                    out[at] = ("REJECT", None, None)
+                elif hit:
+                    out[at] = ("LINK", hit, 1.0)
+                else:
+                    v = np.asarray(model([name])[0], np.float64)
+                    scores = [(round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 9), i) for i, w in known if np.linalg.norm(w) > 0 and np.linalg.norm(v) > 0]
+                    score, near = min(((-s, i) for s, i in scores), default=(2.0, None))
+                    if -score >= taxonomy.MERGE:
+                        by_alias[n] = near
+                        out[at] = ("MERGE", near, -score)
+                    elif -score >= taxonomy.REVIEW:
+                        out[at] = ("REVIEW", near, -score)
+                    else:
+                        exact[n] = f"new:{owner}:{n}"
+                        known.append((exact[n], v))
+                        out[at] = ("CREATE", exact[n], 1.0)
+    return out
+
+
+def circle(spread: int):
+    """A model on a half circle: each name has an angle by its hash, so that reach is no equivalence."""
+
+    def embed(texts):
+        angles = [random.Random(t).randrange(spread) / spread * np.pi for t in texts]
+        return np.array([[np.cos(a), np.sin(a), 0.01] if t[0] != "0" else [0.0, 0.0, 0.0] for a, t in zip(angles, texts)])
+
+    return embed
+
+
+def check(spark, names, tags, aliases, model, tile):
+    got = taxonomy.sync_tags(
+        spark.createDataFrame(names, "owner string, document_id string, names array<string>"), spark.createDataFrame(tags, TAGS), spark.createDataFrame(aliases, ALIASES), model, tile=tile
+    ).collect()
+    want = one_by_one(names, tags, aliases, model)
+    assert {(r.owner, r.document_id, r.position) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        action, tag, confidence = want[r.owner, r.document_id, r.position]
+        assert (r.action, r.tag_id) == (action, tag), r
+        assert r.confidence == (confidence if confidence is None else pytest.approx(confidence, abs=2e-9))
+        assert (r.vector is not None) == (action in ("MERGE", "REVIEW", "CREATE"))
+
+
+@pytest.mark.parametrize(("seed", "spread", "tile"), [(2, 40, 7), (3, 2000, 4096)])
+def test_rounds_equal_the_order(spark, seed, spread, tile):
+    draw, model = random.Random(seed), circle(spread)
+    words = [f"{draw.choice('abcdefgh')}{n}" for n in range(30)] + ["0zero", "0none"]
+    spell = lambda w: draw.choice([w, w.upper(), f" {w} ", f"{w}!", f"({w})"])  # noqa: E731  spellings of one normalized name lie apart
+    owners = ["me"] * 4 + ["you"]
+    names = [(draw.choice(owners), f"d{n:03d}", [spell(draw.choice(words)) for _ in range(draw.randrange(6))] + draw.choice([[], ["!!", None, ""]])) for n in range(40)]
+    tags = [(f"t{n}", w, draw.choice(["me", "you"]), draw.choice([None, model([w])[0].tolist()])) for n, w in enumerate(words[:4])]
+    aliases = [("t0", words[5], T0), ("t1", words[5], T0 - datetime.timedelta(1)), ("t2", words[6], T0)]
+    check(spark, names, tags, aliases, model, tile)
+
+
+def test_a_chain_of_names_each_near_the_next(spark):
+    model = lambda texts: np.array([[np.cos(int(t[1:]) * 0.5), np.sin(int(t[1:]) * 0.5)] for t in texts])
+    names = [("me", f"d{n:02d}", [f"n{n}"]) for n in range(6)]
+    check(spark, names, [], [], model, 3)
+
+
+def test_a_review_turns_into_a_merge_when_a_tag_comes_between(spark):
+    place = {"Base": 0.0, "far": 1.2, "near": 0.6, "NEAR!": 0.1, "between": 0.65}
+    model = lambda texts: np.array([[np.cos(place[t]), np.sin(place[t])] for t in texts])
+    tags = [("t", "base", "me", [1.0, 0.0])]
+    names = [("me", "a", ["near"]), ("me", "b", ["far", "between"]), ("me", "c", ["near", "NEAR!"]), ("me", "d", ["near"])]
+    check(spark, names, tags, [], model, 4096)
+
+
+def test_nothing_to_resolve(spark):
+    check(spark, [("me", "d", []), ("me", "e", ["!!"])], [], [], circle(10), 8)
+    assert taxonomy.sync_tags(spark.createDataFrame([], "owner string, document_id string, names array<string>"), spark.createDataFrame([], TAGS), spark.createDataFrame([], ALIASES), circle(10)).count() == 0
