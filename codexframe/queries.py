@@ -28,6 +28,8 @@ from codexframe.plans import jobs, reports
 from codexframe.sources.files import extract_html
 from codexframe.sources.layout import BucketedTable
 from codexframe.sources.scratch import new_path
+from codexframe.streaming import stages
+from codexframe.streaming.ingest import job_progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1014,6 +1016,36 @@ def set_children(spark, d):
 # ---- processing states -----------------------------------------------------------------------
 
 
+_STAGE_OF = {"signup": ("EXTRACT_TEXT", "STARTED"), "view": ("EXTRACT_TEXT", "COMPLETED"), "click": ("EMBED_DOCUMENT", "COMPLETED"), "purchase": ("ANALYZE_DOCUMENT", "STARTED"), "error": (None, "FAILED")}
+
+
+def _stage_events(events: DataFrame) -> DataFrame:
+    """Events as reports of stages; an error is one of whatever stage the document is in."""
+    at = lambda n: F.coalesce(*[F.when(F.col("event_type") == kind, F.lit(found[n])) for kind, found in _STAGE_OF.items()])
+    return events.select(F.col("user_id").alias("document_id"), F.col("ts").cast("timestamp").alias("ts"), at(0).alias("stage"), at(1).alias("outcome"), F.col("props").alias("message"), F.col("event_id").alias("n"))
+
+
+@query(
+    """with l as (select user_id, arg_max(event_type, (ts, event_id)) as last, max(ts) as seen, arg_max(event_type, (ts, event_id)) filter (event_type <> 'error') as sound from events group by user_id),
+w as (select max(ts) - interval 10 minutes as mark from events),
+s as (select user_id, last, sound, last in ('signup', 'purchase') and seen + interval 2 hours < mark as late from l, w)
+select user_id::varchar as document_id, case when late and last = 'signup' then 'FAILED' when late then 'READY' when last = 'signup' then 'EXTRACTING' when last = 'view' then 'EXTRACTED'
+  when last = 'click' then 'READY' when last = 'purchase' then 'ANALYZING' when sound = 'click' then 'EXTRACTED' when sound = 'purchase' then 'READY' else 'FAILED' end as status from s"""
+)
+def stage_status_stream(spark, d):
+    """The last status of every document after a stream of its stages, jobs without news for two hours timed out."""
+    changes = stages.track(_stage_events(stages.read_stream(spark, f"{d}/events.parquet")), limit_ms=7_200_000)
+    return stages.latest_status(stages.scratch_run(changes, "stages")).select("document_id", "status")
+
+
+@query("select time_bucket(interval 5 minutes, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def job_progress_stream(spark, d):
+    """Jobs per window and type, from a stream with a watermark."""
+    events = stages.read_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    done = stages.scratch_run(job_progress(events), "progress", "complete")
+    return done.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def _work(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with analyses from labels, line items as chunks, events as jobs."""
     orders = _t(spark, d, "orders").select(
