@@ -15,23 +15,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Where = dict[str, Any]
+#: A key of one column, or of several.
+Key = str | tuple[str, ...]
 
 
 @dataclass
 class Relation:
-    """``many``: ``model`` has ``foreign_key`` to our key; else we hold ``foreign_key`` to its key."""
+    """``many``: ``model`` has ``foreign_key`` to our key; else we hold ``foreign_key`` to its key.
+
+    To a key of several columns a foreign key has as many, in the same order.
+    """
 
     model: Model
-    foreign_key: str
+    foreign_key: Key
     many: bool = True
 
 
 @dataclass
 class Model:
-    """A table with its key and relations."""
+    """A table with its unique key and relations."""
 
     df: DataFrame
-    key: str
+    key: Key
     relations: dict[str, Relation] = field(default_factory=dict)
 
 
@@ -91,11 +96,23 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
-def _flagged(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, Column]:
-    """``df`` with a flag: whether its column ``on`` is among the first column of ``keys``."""
+def _names(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _left(df: DataFrame, on: Key, right: DataFrame, key: Key) -> DataFrame:
+    """``df`` left joined with ``right`` where ``on`` equals its ``key``, which is left out."""
+    hidden = {name: f"__k{next(_FLAG)}" for name in _names(key)}
+    right = right.withColumnsRenamed(hidden)
+    return df.join(right, _all([df[a] == right[hidden[b]] for a, b in zip(_names(on), _names(key), strict=True)]), "left").drop(*hidden.values())
+
+
+def _flagged(df: DataFrame, keys: DataFrame, on: Key) -> tuple[DataFrame, Column]:
+    """``df`` with a flag: whether its columns ``on`` are among the rows of ``keys``, column by column."""
     name = f"__flag{next(_FLAG)}"
-    known = keys.select(F.col(keys.columns[0]).alias(f"{name}k")).where(F.col(f"{name}k").isNotNull()).distinct().withColumn(name, F.lit(True))
-    joined = df.join(known, df[on] == known[f"{name}k"], "left").drop(f"{name}k")
+    known = keys.toDF(*[f"{name}k{i}" for i in range(len(keys.columns))])
+    known = known.where(_all([F.col(c).isNotNull() for c in known.columns])).distinct()
+    joined = _left(df, on, known.withColumn(name, F.lit(True)), tuple(known.columns))
     return joined, F.coalesce(F.col(name), F.lit(False))
 
 
@@ -127,18 +144,19 @@ def _compile(df: DataFrame, model: Model, where: Where) -> tuple[DataFrame, Colu
                 for quantifier, sub in test.items():
                     if quantifier == "every":
                         hit, c = _compile(other.df, other, sub)
-                        keys = hit.where(~F.coalesce(c, F.lit(False))).select(relation.foreign_key)
+                        keys = hit.where(~F.coalesce(c, F.lit(False))).select(*_names(relation.foreign_key))
                     else:
-                        keys = matching(other, sub).select(relation.foreign_key)
+                        keys = matching(other, sub).select(*_names(relation.foreign_key))
                     df, flag = _flagged(df, keys, model.key)
                     parts.append(flag if quantifier == "some" else ~flag)
             else:
                 quantified = set(test) <= {"is", "isNot"} if isinstance(test, dict) and test else False
                 for quantifier, sub in test.items() if quantified else [("is", test)]:
                     if sub is None:
-                        parts.append(F.col(relation.foreign_key).isNull() == F.lit(quantifier == "is"))
+                        missing = ~_all([F.col(c).isNotNull() for c in _names(relation.foreign_key)])
+                        parts.append(missing == F.lit(quantifier == "is"))
                         continue
-                    df, flag = _flagged(df, matching(other, sub).select(other.key), relation.foreign_key)
+                    df, flag = _flagged(df, matching(other, sub).select(*_names(other.key)), relation.foreign_key)
                     parts.append(flag if quantifier == "is" else ~flag)
         else:
             parts.append(_scalar(F.col(name), test))
@@ -160,17 +178,17 @@ def _ordering(df: DataFrame, model: Model, order_by: list[dict]) -> tuple[DataFr
             relation, hidden = model.relations[name], f"__order{next(_FLAG)}"
             ((sub, sub_spec),) = spec.items()
             if sub == "_count":
-                counts = relation.model.df.groupBy(F.col(relation.foreign_key).alias(f"{hidden}k")).agg(F.count(F.lit(1)).alias(hidden))
-                df = df.join(counts, df[model.key] == counts[f"{hidden}k"], "left").drop(f"{hidden}k")
+                counts = relation.model.df.groupBy(*_names(relation.foreign_key)).agg(F.count(F.lit(1)).alias(hidden))
+                df = _left(df, model.key, counts, relation.foreign_key)
                 df = df.withColumn(hidden, F.coalesce(hidden, F.lit(0)))
             else:
-                other = relation.model.df.select(F.col(relation.model.key).alias(f"{hidden}k"), F.col(sub).alias(hidden))
-                df = df.join(other, df[relation.foreign_key] == other[f"{hidden}k"], "left").drop(f"{hidden}k")
+                other = relation.model.df.select(*_names(relation.model.key), F.col(sub).alias(hidden))
+                df = _left(df, relation.foreign_key, other, relation.model.key)
             keys.append((hidden, *_direction(sub_spec)))
         else:
             keys.append((name, *_direction(spec)))
-    if model.key not in [k for k, _, _ in keys]:
-        keys.append((model.key, False, False))  # a total order, so that pages don't overlap
+    # a total order, so that pages don't overlap
+    keys += [(c, False, False) for c in _names(model.key) if c not in [k for k, _, _ in keys]]
     return df, keys
 
 
@@ -211,9 +229,11 @@ def find_many(
 ) -> DataFrame:
     """Rows in order, from ``cursor`` on, after ``skip``, ``take`` at most; a negative ``take`` reads backwards.
 
-    ``distinct`` keeps the first row, in the order, of each combination. ``include`` nests relations:
-    a to-one as a struct, a to-many as an array (``{"order_by": [...], "select": [...]}``), and
-    ``_count`` with a list of relations as numbers.
+    ``cursor`` names a row by its key, or any columns that do; the page starts there in the order of
+    ``order_by`` and then of the whole key, compared as one row value. ``distinct`` keeps the first row, in the order,
+    of each combination. ``include`` nests relations to any depth: a to-one as a struct, a to-many as an
+    array (``{"where": {...}, "order_by": [...], "take": n, "select": [...], "include": {...}}``), and ``_count`` with a list of
+    relations as numbers.
     """
     df, keys = _ordering(matching(model, where), model, order_by or [])
     backwards = take is not None and take < 0
@@ -226,8 +246,7 @@ def find_many(
         df = df.orderBy(*_sorted(keys, backwards))
         df = df.offset(skip) if skip else df
         df = df.limit(abs(take)) if take is not None else df
-    for name, options in (include or {}).items():
-        df = _counted(df, model, options) if name == "_count" else _nested(df, model, name, options if isinstance(options, dict) else {})
+    df = _included(df, model, include)
     hidden = [c for c in df.columns if c.startswith("__")]
     if order_by is not None or take is not None:
         df = df.orderBy(*_sorted(keys))
@@ -235,30 +254,42 @@ def find_many(
     return df.select(*names)
 
 
+def _included(df: DataFrame, model: Model, include: dict[str, Any] | None) -> DataFrame:
+    for name, options in (include or {}).items():
+        df = _counted(df, model, options) if name == "_count" else _nested(df, model, name, options if isinstance(options, dict) else {})
+    return df
+
+
 def _counted(df: DataFrame, model: Model, names: list[str]) -> DataFrame:
     for name in names:  # each child is counted before it is joined, so counts don't multiply
         relation = model.relations[name]
-        counts = relation.model.df.groupBy(F.col(relation.foreign_key).alias("__k")).agg(F.count(F.lit(1)).alias(f"n_{name}"))
-        df = df.join(counts, df[model.key] == counts["__k"], "left").drop("__k").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+        counts = relation.model.df.groupBy(*_names(relation.foreign_key)).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        df = _left(df, model.key, counts, relation.foreign_key).withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
     return df
 
 
 def _nested(df: DataFrame, model: Model, name: str, options: dict) -> DataFrame:
+    """One relation as a column, from the bottom up: a level is whole, one row a parent, before the level above takes it.
+
+    A level's own filter, order and ``take`` come before its includes, so those are read for the rows that stay.
+    """
     relation = model.relations[name]
-    other = relation.model
-    fields = options.get("select") or other.df.columns
+    other, below = relation.model, options.get("include") or {}
     rows = matching(other, options.get("where"))
+    added = [f"n_{c}" for c in below.get("_count", [])] + [c for c in below if c != "_count"]
+    fields = [*(options.get("select") or other.df.columns), *added]
     if not relation.many:
-        one = rows.select(F.col(other.key).alias("__k"), F.struct(*fields).alias(name))
-        return df.join(one, df[relation.foreign_key] == one["__k"], "left").drop("__k")
-    keys = [next(iter(x.items())) for x in options.get("order_by", [])] + [(other.key, "asc")]
-    place = Window.partitionBy(relation.foreign_key).orderBy(*_sorted([(k, *_direction(spec)) for k, spec in keys]))
-    ranked = rows.withColumn("__n", F.row_number().over(place))
+        keys = [F.col(c).alias(f"__one{i}") for i, c in enumerate(_names(other.key))]
+        one = _included(rows, other, below).select(*keys, F.struct(*fields).alias(name))
+        return _left(df, relation.foreign_key, one, tuple(c for c in one.columns if c != name))
+    rows, keys = _ordering(rows, other, options.get("order_by") or [])
+    parent = _names(relation.foreign_key)
+    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*parent).orderBy(*_sorted(keys))))
     if "take" in options:
         ranked = ranked.where(F.col("__n") <= options["take"])
     items = F.sort_array(F.collect_list(F.struct("__n", F.struct(*fields).alias("row"))))
-    lists = ranked.groupBy(F.col(relation.foreign_key).alias("__k")).agg(F.transform(items, lambda x: x["row"]).alias(name))
-    joined = df.join(lists, df[model.key] == lists["__k"], "left").drop("__k")
+    lists = _included(ranked, other, below).groupBy(*parent).agg(F.transform(items, lambda x: x["row"]).alias(name))
+    joined = _left(df, model.key, lists, relation.foreign_key)
     return joined.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
 
 

@@ -58,7 +58,7 @@ def _models(spark: SparkSession, d: str) -> dict[str, Model]:
         name: Model(_t(spark, d, name), key)
         for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))
     }
-    m["item"] = Model(_t(spark, d, "lineitem"), "l_orderkey")
+    m["item"] = Model(_t(spark, d, "lineitem"), ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     m["region"].relations = {"nations": Relation(m["nation"], "n_regionkey")}
     m["nation"].relations = {
         "region": Relation(m["region"], "n_regionkey", many=False),
@@ -924,6 +924,49 @@ def conversation_stats(spark, d):
     )
 
 
+_ITEM_ORDER = "l_shipdate desc, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+_ITEM_AT = f"""n as (select *, row_number() over (order by {_ITEM_ORDER}) as n from lineitem where l_quantity > 20),
+c as (select n as at_n from n where n = 1000)"""
+
+
+def _item_page(spark: SparkSession, d: str, take: int) -> DataFrame:
+    """Items from the thousandth on, forwards or backwards; the cursor is that row's whole key."""
+    item = _models(spark, d)["item"]
+    where, order = {"l_quantity": {"gt": 20}}, [{"l_shipdate": "desc"}]
+    key = find_many(item, where, order, take=1, skip=999, select=list(item.key)).first()
+    return find_many(item, where, order, take=take, skip=1, cursor=key.asDict(), select=["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"])
+
+
+@query(f"with {_ITEM_AT} select l_orderkey, l_linenumber, l_partkey, l_shipdate from n, c where n > at_n and n <= at_n + 50")
+def composite_cursor_forwards(spark, d):
+    return _item_page(spark, d, 50)
+
+
+@query(f"with {_ITEM_AT} select l_orderkey, l_linenumber, l_partkey, l_shipdate from n, c where n < at_n and n >= at_n - 50")
+def composite_cursor_backwards(spark, d):
+    return _item_page(spark, d, -50)
+
+
+@query(
+    """with i as (select l_orderkey, string_agg(l_partkey || 'x' || l_quantity::int, ' ' order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey) as items
+  from (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey) as n from lineitem where l_returnflag <> 'N') where n <= 2 group by 1),
+n as (select l_orderkey, count(*) as n from lineitem group by 1),
+o as (select o_custkey, string_agg(o_orderkey || '(' || coalesce(n.n, 0) || '): ' || coalesce(i.items, ''), '; ' order by o_totalprice desc, o_orderkey) as orders
+  from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders where o_orderstatus <> 'P') o
+  left join i on i.l_orderkey = o_orderkey left join n on n.l_orderkey = o_orderkey where r <= 3 group by 1)
+select c_custkey, n_name as nation, r_name as region, coalesce(orders, '') as orders from customer
+left join nation on n_nationkey = c_nationkey left join region on r_regionkey = n_regionkey left join o on o_custkey = c_custkey"""
+)
+def include_three_levels(spark, d):
+    """Customers with their dearest orders and of each its dearest items, and upwards their nation and its region, in one read."""
+    items = {"where": {"l_returnflag": {"not": "N"}}, "order_by": [{"l_extendedprice": "desc"}], "take": 2}
+    orders = {"where": {"o_orderstatus": {"not": "P"}}, "order_by": [{"o_totalprice": "desc"}], "take": 3, "include": {"items": items, "_count": ["items"]}}
+    found = find_many(_models(spark, d)["customer"], include={"orders": orders, "nation": {"include": {"region": True}}})
+    item = lambda x: F.concat(x["l_partkey"].cast("string"), F.lit("x"), x["l_quantity"].cast("int").cast("string"))
+    order = lambda o: F.concat(o["o_orderkey"].cast("string"), F.lit("("), o["n_items"].cast("string"), F.lit("): "), F.array_join(F.transform(o["items"], item), " "))
+    return found.select("c_custkey", F.col("nation.n_name").alias("nation"), F.col("nation.region.r_name").alias("region"), F.array_join(F.transform("orders", order), "; ").alias("orders"))
+
+
 # ---- writes ----------------------------------------------------------------------------------
 
 
