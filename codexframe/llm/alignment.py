@@ -96,7 +96,7 @@ class Pair:
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode("utf-8"))
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         most = max(len(self.bytes_a), len(self.bytes_b))
-        self.written = [f"{i}{end}" for i in range(most) for end in ",|;"]
+        self.written = np.array([f"{i}{end}" for i in range(most) for end in ",|;"], object)
 
     def ids_a(self, text: str) -> list[int]:
         """A's ids of a text in which the strings of special tokens are ordinary text."""
@@ -133,7 +133,7 @@ class Pair:
         last_a, last_b = np.append(mine[1:] != mine[:-1], True), np.append(other[1:] != other[:-1], True)
         out[np.arange(len(mine)) + np.searchsorted(other, mine, "left")] = found.a * 3 + last_a
         out[np.arange(len(other)) + np.searchsorted(mine, other, "right")] = found.b * 3 + 2 * last_b
-        return "".join(map(self.written.__getitem__, out.tolist()))[:-1]
+        return "".join(self.written[out].tolist())[:-1]
 
 
 def tokenizer_pair(path_a: str, path_b: str) -> Pair:
