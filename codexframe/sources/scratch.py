@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +16,21 @@ from pyspark.sql import functions as F
 HEAVY = 1000
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    """A folder of this process on its one machine, gone when it ends."""
+    path = tempfile.mkdtemp(prefix="codexframe-tables-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Where scratch tables go: below ``spark.checkpoint.dir``, or on one machine below the warehouse if that isn't set."""
+    """Where scratch tables go: below ``spark.checkpoint.dir``; on one machine, a folder of our own if that isn't set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        named = f"file://{tempfile.gettempdir()}/codexframe-{spark.sparkContext.applicationId}"
+        named = _own_folder()
     return f"{named.rstrip('/')}/codexframe-tables/{spark.sparkContext.applicationId}"
 
 

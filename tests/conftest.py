@@ -13,10 +13,11 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from codexframe.session import build_session
 
-    settings = {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    shared = f"file://{tmp_path_factory.mktemp('shared')}"
+    settings = {"spark.checkpoint.dir": shared, "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     session = build_session("local[4]", "tests", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
