@@ -23,6 +23,7 @@ from codexframe.operators.relational import (
     matching,
     raw_query,
 )
+from codexframe.operators.nested_writes import Table, write
 from codexframe.operators.vector_index import VectorIndex
 from codexframe.plans import jobs, reports
 from codexframe.sources.files import extract_html
@@ -1059,6 +1060,43 @@ def set_children(spark, d):
 # ---- processing states -----------------------------------------------------------------------
 
 
+_NESTED = """c as (select c_custkey, case when c_nationkey = 3 then c_acctbal + 100 else c_acctbal end as v, c_nationkey = 3 as mine from customer),
+o0 as (select o_orderkey, o_custkey, o_orderstatus as s, o_totalprice as v, mine from orders join c on c_custkey = o_custkey),
+o1 as (select o_orderkey, o_custkey, case when mine and v > 300000 then 'X' else s end as s, case when mine and o_orderkey % 10 = 0 then v * 2 else v end as v, mine
+  from o0 where not (mine and v < 30000)),
+o as (select * from o1 union all select -o_orderkey, o_custkey, 'N', v, mine from o0 where mine and o_orderkey % 10 = 0 and o_orderkey > 0),
+i as (select l_orderkey, l_quantity, case when o.mine and o.s = 'P' and l_quantity > 40 then 0.0::double else l_discount end as v
+  from lineitem join o on o.o_orderkey = l_orderkey where not (o.mine and o.s = 'P' and l_returnflag = 'N'))"""
+
+
+@query(
+    f"with {_NESTED} select 'customer' as name, c_custkey as id, '' as state, round(sum(v), 4) as total, count(*) as n from c group by all "
+    "union all select 'orders', o_orderkey, s, round(sum(v), 4), count(*) from o group by all "
+    "union all select 'items', l_orderkey, '', round(sum(v), 4), count(*) from i group by all"
+)
+def nested_write_tree(spark, d):
+    """Customers of one nation changed, their orders deleted, changed, upserted and created, and the items of some of these, as one plan."""
+    orders = _t(spark, d, "orders").join(_t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    items = _t(spark, d, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    tables = {
+        "customer": _t(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("v")),
+        "orders": orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v")),
+        "items": items.select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("item"), "l_orderkey", "l_quantity", "l_returnflag", F.col("l_discount").alias("v")),
+    }
+    model = {"customer": Table("c_custkey", {"orders": ("orders", "o_custkey")}), "orders": Table("o_orderkey", {"items": ("items", "l_orderkey")}), "items": Table("item", {})}
+    tenth = tables["orders"].where("o_orderkey % 10 = 0")  # of all customers; those of others are refused
+    kept = tenth.where("v >= 30000").withColumn("s", F.when(F.col("v") > 300000, "X").otherwise(F.col("s"))).withColumn("v", F.col("v") * 2)
+    below = {"children": {"items": {"deleteMany": [F.col("l_returnflag") == "N"], "updateMany": [(F.col("l_quantity") > 40, {"v": 0.0})]}}}
+    steps = {
+        "deleteMany": [F.col("v") < 30000], "updateMany": [(F.col("v") > 300000, {"s": "X"})], "upsert": [kept],
+        "create": [tenth.select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit("N").alias("s"), "v").where("o_orderkey < 0")],
+        "each": [(F.col("s") == "P", below)],
+    }
+    done = write(tables, model, "customer", F.col("c_nationkey") == 3, {"update": {"v": {"increment": 100}}, "children": {"orders": steps}})
+    told = lambda name, key, state: done[name].groupBy(F.lit(name).alias("name"), F.col(key).alias("id"), state.alias("state")).agg(F.round(F.sum("v"), 4).alias("total"), F.count(F.lit(1)).alias("n"))
+    return told("customer", "c_custkey", F.lit("")).unionByName(told("orders", "o_orderkey", F.col("s"))).unionByName(told("items", "l_orderkey", F.lit("")))
+
+
 _STAGE_OF = {"signup": ("EXTRACT_TEXT", "STARTED"), "view": ("EXTRACT_TEXT", "COMPLETED"), "click": ("EMBED_DOCUMENT", "COMPLETED"), "purchase": ("ANALYZE_DOCUMENT", "STARTED"), "error": (None, "FAILED")}
 
 
