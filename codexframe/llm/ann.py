@@ -3,7 +3,7 @@
 A bounded sample's neighbour graph is cut into balanced parts. A small classifier learns, from a vector
 alone, how its neighbours spread over the parts; it assigns every row to a part and routes each query to
 its most probable parts, whose rows are reranked by the exact inner product. The parts of a large table are
-cut again in the same way, each by a classifier of its own.
+cut again in the same way, each by a classifier of its own, as often as it takes to make them small.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import heavy_join, materialize
+from codexframe.llm.common import discard, heavy_join, keyed, materialize
 
 #: Rows, about, that graph and classifier are fitted on.
 SAMPLE = 12_000
@@ -171,51 +171,98 @@ def _chosen(p: np.ndarray, cover: float | None) -> tuple[np.ndarray, np.ndarray]
     return row, order[row, at]
 
 
+def _dealt(x: np.ndarray, own: np.ndarray, routers: dict[int, Router], cover: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows taken and the part that ``routers[own]`` finds in each. A part without a router stays whole."""
+    taken, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in np.unique(own):
+        mine = np.flatnonzero(own == part)
+        row, sub = np.arange(len(mine)), np.zeros(len(mine), np.int64)
+        if part in routers:
+            row, sub = _chosen(routers[part].probabilities(x[mine]), cover)
+        taken.append(mine[row])
+        parts.append(int(part) * MOST_PARTS + sub)
+    return np.concatenate(taken), np.concatenate(parts)
+
+
 def _route(rows: DataFrame, routers: dict[int, Router], cover: float | None) -> DataFrame:
     """``rows`` (``id, v, part``) with the part that ``routers[part]`` finds in it, or all that cover the share of neighbours.
 
-    Parts are numbered through: ``MOST_PARTS`` for each one before. A part without a router stays whole.
+    Parts are numbered through: ``MOST_PARTS`` for each one before. The routers, ``MOST_PARTS`` at most, go with the tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, own = _matrix(batch.column(1)), batch.column(2).to_numpy()
-            taken, parts = [], []
-            for part in np.unique(own):
-                mine = np.flatnonzero(own == part)
-                row, sub = (np.arange(len(mine)), np.zeros(len(mine), np.int64))
-                if part in routers:
-                    row, sub = _chosen(routers[part].probabilities(x[mine]), cover)
-                taken.append(mine[row])
-                parts.append(part * MOST_PARTS + sub)
-            out = batch.take(pa.array(np.concatenate(taken)))
-            yield pa.RecordBatch.from_arrays([*out.columns[:2], pa.array(np.concatenate(parts), pa.int32())], names=["id", "v", "part"])
-
-    return rows.mapInArrow(run, "id long, v array<double>, part int")
-
-
-def _part_routers(dealt: DataFrame, sizes: dict[int, int], sample: int, most_parts: int) -> dict[int, Router]:
-    """A classifier for each part of ``dealt``, fitted in a task on about ``sample`` of its rows; at most ``MOST_PARTS`` small models."""
-    share = F.create_map(*[F.lit(x) for part, n in sizes.items() for x in (part, sample / max(1, n))])[F.col("part")]
+            taken, parts = _dealt(_matrix(batch.column(1)), batch.column(2).to_numpy(), routers, cover)
+            out = batch.take(pa.array(taken))
+            yield pa.RecordBatch.from_arrays([*out.columns[:2], pa.array(parts, pa.int64())], names=["id", "v", "part"])
+
+    return rows.mapInArrow(run, "id long, v array<double>, part long")
+
+
+def _route_far(rows: DataFrame, sizes: DataFrame, models: DataFrame, cover: float | None) -> DataFrame:
+    """As :func:`_route`, for any number of routers (``part, model``): each block of a part's rows meets its own in a shuffle.
+
+    ``sizes`` (``part, n``) counts ``rows`` by part.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = keyed(rows, sizes, ["part"], "inner").select("id", "v", "part", F.pmod(F.xxhash64(F.lit("block"), "id"), blocks).cast("int").alias("block"))
+    spread = models.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "model")
+
+    def run(got: pa.Table, model: pa.Table) -> pa.Table:
+        if not got.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64())), "part": pa.array([], pa.int64())})
+        own = got.column("part").to_numpy()
+        routers = {own[0]: _unpickled(model.column("model")[0].as_py())} if model.num_rows else {}
+        taken, parts = _dealt(_matrix(got.column("v")), own, routers, cover)
+        out = got.select(["id", "v"]).take(pa.array(taken))
+        return out.append_column("part", pa.array(parts, pa.int64()))
+
+    key = ["part", "block"]
+    return mine.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(run, "id long, v array<double>, part long")
+
+
+def _unpickled(model: bytes) -> Router:
+    return Router(*pickle.loads(model))
+
+
+def _part_routers(dealt: DataFrame, sizes: DataFrame, sample: int, most_parts: int) -> DataFrame:
+    """``part, model``: a classifier for each part of ``dealt``, fitted in a task on about ``sample`` of the part's rows."""
     dice = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def fit(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
-        part = rows.column("part")[0].as_py()
-        router = train_router(_matrix(rows.column("v")), part_count(sizes[part], min(most_parts, max(1, rows.num_rows // 128))))
-        return pa.table({"part": pa.array([part], pa.int32()), "model": pa.array([pickle.dumps((router.scale, router.w1, router.b1, router.w2, router.b2))], pa.binary())})
+        part, size = rows.column("part")[0].as_py(), rows.column("n")[0].as_py()
+        router = train_router(_matrix(rows.column("v")), part_count(size, min(most_parts, max(1, rows.num_rows // 128))))
+        return pa.table({"part": pa.array([part], pa.int64()), "model": pa.array([pickle.dumps((router.scale, router.w1, router.b1, router.w2, router.b2))], pa.binary())})
+
+    taught = keyed(dealt, sizes, ["part"], "inner").where(dice < F.lit(float(sample)) / F.col("n"))
+    return materialize(taught.groupBy("part").applyInArrow(fit, "part long, model binary"), "routers")
+
 
-    fitted = dealt.where(dice < share).groupBy("part").applyInArrow(fit, "part int, model binary").collect()
-    return {r["part"]: Router(*pickle.loads(r["model"])) for r in fitted}
+def _sizes(rows: DataFrame) -> DataFrame:
+    return materialize(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "sizes")
 
 
-def _tiles(rows: DataFrame, mine: dict[int, int], other: dict[int, int], own: str, replicated: str) -> DataFrame:
-    """``rows`` with their own block of their part, by hash, and once for each block of the other side. One row a part is sent."""
-    blocks = lambda n: max(1, -(-n // BLOCK))
-    table = [(p, blocks(n), blocks(other.get(p, 0))) for p, n in mine.items()] or [(-1, 1, 1)]
-    sent = rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, "part int, here int, there int")), "part")
+def _levels(rows: int, parts: int, rows_per_part: int, most_parts: int) -> int:
+    """How often the table is cut until a part holds ``rows_per_part`` rows at most, on average."""
+    levels, left = 1, rows / parts
+    while left > rows_per_part and parts > 1:
+        parts = part_count(int(left), most_parts)
+        left /= parts
+        levels += parts > 1
+    return levels
+
+
+def _tiles(rows: DataFrame, mine: DataFrame, other: DataFrame, own: str, replicated: str) -> DataFrame:
+    """``rows`` with their own block of their part, by hash, and once for each block of the other side.
+
+    ``mine`` and ``other`` count both sides' rows by part; one row a part is joined.
+    """
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(c), F.lit(0)) / BLOCK)).cast("int")
+    table = mine.join(other.withColumnRenamed("n", "m"), "part", "left").select("part", blocks("n").alias("here"), blocks("m").alias("there"))
+    sent = keyed(rows, materialize(table, "blocks"), ["part"], "inner")
     one = F.pmod(F.xxhash64("id"), F.col("here")).cast("int").alias(own)
     return sent.select("id", "v", "part", one, F.explode(F.sequence(F.lit(0), F.col("there") - 1)).alias(replicated))
 
@@ -236,7 +283,7 @@ def nearest(
     ``is_query`` is a condition on ``id``. Nearness is the inner product in double precision, ties to the
     smaller id. Every row is indexed; ``cover`` is the share of a query's neighbours, as the classifier
     estimates it, that the parts it is sent to must hold, and so about the recall. There are ``part_count``
-    parts; where they hold more than ``rows_per_part`` rows on average, each is cut again by a classifier of its own. Fewer
+    parts; while they hold more than ``rows_per_part`` rows on average, each is cut again by a classifier of its own. Fewer
     than 64 rows are one part. The classifiers learn from ``sample`` rows each, all rows are indexed. Vectors
     that are null, zero, of another length than most (no inner product with them exists), or that hold null
     or non-finite components take no part; no valid row, no result. Rows equal in id and vector are one row; an
@@ -267,16 +314,22 @@ def nearest(
     d = len(taught.column(0)[0]) if taught.num_rows else 1
     x = _matrix(taught.column(0)) if taught.num_rows else np.zeros((0, d))
     routers = {0: train_router(x, parts)}
-    again = n_base > parts * rows_per_part and parts > 1
-    share = cover**0.5 if again else cover
-    root = lambda rows: rows.withColumn("part", F.lit(0))
+    levels = _levels(n_base, parts, rows_per_part, most_parts)
+    share = cover ** (1 / levels)
+    root = lambda rows: rows.withColumn("part", F.lit(0).cast("long"))
     dealt = materialize(_route(root(base), routers, None), "base")
     sent = materialize(_route(root(queries), routers, share if parts > 1 else 1.0), "queries")
-    size = lambda rows: {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # noqa: E731  parts rows
-    if again:
-        routers = _part_routers(dealt, size(dealt), sample, most_parts)
-        dealt, sent = materialize(_route(dealt, routers, None), "base"), materialize(_route(sent, routers, share), "queries")
-    n_rows, n_sent = size(dealt), size(sent)
+    n_rows, n_sent = _sizes(dealt), _sizes(sent)
+    for level in range(1, levels):
+        models = _part_routers(dealt, n_rows, sample, most_parts)
+        if level == 1:  # as many as the first has parts
+            few = {r["part"]: _unpickled(r["model"]) for r in models.collect()}
+            finer, asks = _route(dealt, few, None), _route(sent, few, share)
+        else:
+            finer, asks = _route_far(dealt, n_rows, models, None), _route_far(sent, n_sent, models, share)
+        coarse, dealt, sent = (dealt, sent, n_rows, n_sent, models), materialize(finer, "base"), materialize(asks, "queries")
+        n_rows, n_sent = _sizes(dealt), _sizes(sent)
+        discard(*coarse)
     left = _tiles(sent, n_sent, n_rows, "qb", "bb")
     right = _tiles(dealt, n_rows, n_sent, "bb", "qb")
     want = k + 1

@@ -63,8 +63,10 @@ def test_recall_when_parts_are_cut_again(spark, clusters, monkeypatch):
     cut = []
     real = ann._part_routers
     monkeypatch.setattr(ann, "_part_routers", lambda *a: cut.append(real(*a)) or cut[-1])
+    monkeypatch.setattr(ann, "discard", lambda *a: None)
     rows = ann.nearest(df, "id % 20 = 0", k=20, rows_per_part=100, sample=2500).collect()
-    assert sum(r.parts for r in cut[0].values()) > len(cut[0]) > 4
+    made = [ann._unpickled(r.model).parts for r in cut[0].collect()]
+    assert len(cut) == 1 and sum(made) > len(made) > 4
     want = exact(list(range(3000)), x, range(0, 3000, 20), 20)
     got = {}
     for r in rows:
@@ -72,6 +74,35 @@ def test_recall_when_parts_are_cut_again(spark, clusters, monkeypatch):
     assert sum(len(got[q] & {i for i, _ in v}) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
+@pytest.mark.parametrize("block", [200])
+def test_three_levels(spark, block, monkeypatch):
+    """Parts of parts of parts, each by its own classifier, also where a part's rows meet it in several blocks."""
+    rng = np.random.default_rng(5)
+    x = 3 * rng.normal(size=(60, 16))[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sizes, cuts = [], []
+    real, far = ann._sizes, ann._route_far
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "_sizes", lambda rows: sizes.append(real(rows)) or sizes[-1])
+    monkeypatch.setattr(ann, "_route_far", lambda *a: cuts.append(1) or far(*a))
+    monkeypatch.setattr(ann, "discard", lambda *a: None)
+    rows = ann.nearest(df, "id % 20 = 0", k=20, rows_per_part=120, most_parts=4, sample=5000).collect()
+    base = [{r.part: r.n for r in s.collect()} for s in sizes[::2]]
+    assert len(base) == 3 and len(cuts) == 2 and all(sum(b.values()) == 6000 for b in base)
+    assert len(base[0]) == 4 < len(base[1]) <= 16 < len(base[2]) <= 64
+    want = exact(list(range(6000)), x, range(0, 6000, 20), 20)
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append(r)
+    assert all(sorted(r["rank"] for r in v) == list(range(1, 21)) for v in got.values())
+    assert sum(len({r.id for r in got[q]} & {i for i, _ in v}) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
+def test_levels_follow_the_rows():
+    levels = lambda n: ann._levels(n, ann.part_count(n), ann.ROWS_PER_PART, ann.MOST_PARTS)
+    assert [levels(n) for n in (0, 50, 51_282, 262_144, 262_200, 16_700_000, 17_000_000, 10**9, 2 * 10**9)] == [1, 1, 1, 1, 2, 2, 3, 3, 4]
+
+
 def test_parts_are_balanced_and_cut_few_edges():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(8, 16)) * 4
