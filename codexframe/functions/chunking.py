@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from codexframe.functions.text import BLANK
+from codexframe.sources.scratch import written
 
 # fixed values: words in a chunk, shared words, and the rest that a chunk absorbs
 WINDOW, SHARED, WIDEST, SHORT_REST = 320, 40, 380, 180
@@ -76,11 +77,19 @@ def fixed_blocks(df: DataFrame, text_col: str, size: int = 400, keep: list[str]
 
 
 def cycled_samples(blocks: DataFrame, order: list[str], n: int) -> DataFrame:
-    """``n`` samples, ``sample_id`` from 0, that go through the ordered blocks over and over."""
+    """``n`` samples, ``sample_id`` from 0, that go through the ordered blocks over and over.
+
+    Blocks are range-sorted and numbered by their sorted partition's offset, so no task holds all of them;
+    blocks that tie in ``order`` come in any order. Without a block there is no sample.
+    """
     spark = blocks.sparkSession
-    numbered = blocks.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1)
-    count = numbered.count()
-    samples = spark.range(n).withColumnRenamed("id", "sample_id")
-    if not count:
-        return numbered.crossJoin(samples).where("false").drop("__i")
-    return samples.withColumn("__i", (F.col("sample_id") % count).cast("int")).join(numbered, "__i").drop("__i")
+    placed = written(blocks.sort(*order).withColumn("__at", F.monotonically_increasing_id()), "blocks")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each sorted partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    numbered = placed.withColumn("__part", part).join(F.broadcast(firsts), "__part").withColumn("__i", F.col("__first") + place)
+    numbered = numbered.drop("__at", "__part", "__n", "__first")
+    count = placed.count()
+    samples = spark.range(n if count else 0).select(F.col("id").alias("sample_id"), F.expr(f"id % {max(count, 1)}").alias("__i"))
+    return samples.join(numbered, "__i").drop("__i")

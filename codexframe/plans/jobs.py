@@ -117,7 +117,7 @@ def analyze(documents: DataFrame, chat, id_col: str = "document_id", text_col: s
     """Analyses of documents by an injected model (``chat(prompt) -> reply``): parsed, checked, distinct lists.
 
     ``id, analysis, violations, error``; a failed call or an invalid reply is a row with its reason and
-    leaves the document READY.
+    leaves the document READY. A document without text is an error and never reaches the model.
     """
     from codexframe.functions.replies import analysis_violations, json_object
     from codexframe.functions.text import distinct_trimmed
@@ -126,6 +126,9 @@ def analyze(documents: DataFrame, chat, id_col: str = "document_id", text_col: s
     def ask(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
+            if not text:
+                out.append((None, "no text to analyze"))
+                continue
             try:
                 out.append((chat(text), None))
             except Exception as problem:  # the model's failure is data here

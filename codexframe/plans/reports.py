@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexframe.sources.scratch import key_join, written
+
 
 def dashboard(documents: DataFrame, n_projects: DataFrame) -> DataFrame:
     """``total, extracted, projects`` in one pass over the documents."""
@@ -45,6 +47,19 @@ def document_detail(documents: DataFrame, jobs: DataFrame, chunks: DataFrame) ->
     return chunk_state(documents, chunks).join(steps, "document_id", "left")
 
 
+def document_page(documents: DataFrame, jobs: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row a request of ``asked`` (``document_id, chunk_id``): the document's detail and the chunk that a search matched.
+
+    ``matched`` is that chunk if it is the document's own, else null, as for a request without a chunk.
+    Requests for documents that don't exist have no row. However many requests name one document, its
+    detail is worked out once and no task gathers them.
+    """
+    own = chunks.select("document_id", F.col("id").alias("chunk_id"), F.struct(*[c for c in chunks.columns if c not in ("document_id", "embedding")]).alias("matched"))
+    times = asked.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    details = document_detail(documents, jobs, chunks)
+    return key_join(asked.join(own, ["document_id", "chunk_id"], "left"), written(details.join(times, "document_id"), "details"), ["document_id"])
+
+
 def tag_list(tags: DataFrame, aliases: DataFrame, document_tags: DataFrame) -> DataFrame:
     """Tags by name with how many aliases and documents they have."""
     n_aliases = aliases.groupBy(F.col("tag_id").alias("id")).agg(F.count(F.lit(1)).alias("aliases"))

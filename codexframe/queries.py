@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexframe.functions import chunking, replies, text, vectors
+from codexframe.functions import chunking, providers, replies, text, vectors
 from codexframe.operators import dml, recommend, search, taxonomy
 from codexframe.operators.embedding import embed_rows, embed_tags, hashing_embedder, project_text, tag_text
 from codexframe.operators.relational import (
@@ -26,7 +27,7 @@ from codexframe.operators.relational import (
 from codexframe.operators.nested_writes import Table, write
 from codexframe.operators.vector_index import VectorIndex
 from codexframe.plans import jobs, reports
-from codexframe.sources.files import extract_html
+from codexframe.sources.files import extract_html, intake
 from codexframe.sources.layout import BucketedTable
 from codexframe.sources.scratch import new_path
 from codexframe.streaming import stages
@@ -238,6 +239,20 @@ def fixed_word_blocks(spark, d):
     return chunking.fixed_blocks(_t(spark, d, "documents").select("doc_id", "text"), "text", 400, keep=["doc_id"])
 
 
+@query(
+    f"""with w as (select doc_id, {_WORDS} as w from documents),
+b as (select doc_id, w, unnest(range(ceil(len(w) / 400.0)::int)) as i from w where len(w) > 0),
+o as (select doc_id, i::int as block_index, row_number() over (order by doc_id, i) - 1 as at, count(*) over () as n from b),
+s as (select unnest(range(3 * (select count(*) from documents))) as sample_id)
+select sample_id, doc_id, block_index from s join o on o.at = s.sample_id % o.n"""
+)
+def cycled_blocks(spark, d):
+    """Three samples a document, taken from the blocks of all documents in turn."""
+    documents = _t(spark, d, "documents").select("doc_id", "text")
+    blocks = chunking.fixed_blocks(documents, "text", 400, keep=["doc_id"]).select("doc_id", "block_index")
+    return chunking.cycled_samples(blocks, ["doc_id", "block_index"], 3 * documents.count())
+
+
 # ---- text ------------------------------------------------------------------------------------
 
 
@@ -1242,6 +1257,89 @@ def document_detail(spark, d):
     return found.select("document_id", "n_chunks", "n_missing", F.when(F.col("jobs").isNull(), 0).otherwise(F.size("jobs")).alias("n_jobs"))
 
 
+@query(
+    """with a as (select vec_id as chunk_id, label::bigint + case when vec_id % 3 = 0 then 1 else 0 end as document_id from embeddings),
+c as (select label::bigint as k, count(*) as n, count(*) filter (where vec_id % 4 = 0) as missing from embeddings group by 1),
+e as (select user_id as k, count(*) as jobs from events group by 1)
+select document_id, a.chunk_id, case when x.vec_id is not null then x.vec_id end as matched_id, coalesce(c.n, 0) as n_chunks, coalesce(c.missing, 0) as n_missing,
+  coalesce(e.jobs, 0)::int as n_jobs from a join documents d on d.doc_id = a.document_id left join embeddings x on x.vec_id = a.chunk_id and x.label = a.document_id
+  left join c on c.k = a.document_id left join e on e.k = a.document_id"""
+)
+def document_matched_chunk(spark, d):
+    """Pages opened from a hit; every third names a chunk of another document."""
+    vector = F.when(F.col("vec_id") % 4 != 0, F.col("embedding")).alias("embedding")
+    chunks = _t(spark, d, "embeddings").select(F.col("label").cast("long").alias("document_id"), F.col("vec_id").alias("id"), vector)
+    documents = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    asked = chunks.select((F.col("document_id") + (F.col("id") % 3 == 0).cast("int")).alias("document_id"), F.col("id").alias("chunk_id"))
+    found = reports.document_page(documents, _work(spark, d)[2], chunks, asked)
+    return found.select("document_id", "chunk_id", F.col("matched.id").alias("matched_id"), "n_chunks", "n_missing", F.coalesce(F.size("jobs"), F.lit(0)).alias("n_jobs"))
+
+
+@query(
+    """with f as (select doc_id, 'shelf/' || source || '/' || doc_id || case lang when 'en' then '.PDF' when 'de' then '.docx' when 'fr' then '.epub' else '.txt' end as path,
+  n_chars * 4096 - 400000 as length from documents)
+select doc_id, case when path like '%.txt' then 'unsupported type' when length <= 0 then 'empty file' when length > 26214400 then 'too large' end as reject,
+  lower(regexp_extract(path, '[.]([^.]+)$', 1)) as file_type, doc_id::varchar as title from f"""
+)
+def intake_files(spark, d):
+    """Files named and sized after documents, judged before any is read."""
+    ending = F.element_at(F.create_map(*[F.lit(x) for x in ("en", ".PDF", "de", ".docx", "fr", ".epub")]), F.coalesce("lang", F.lit("")))
+    path = F.concat(F.lit("shelf/"), "source", F.lit("/"), "doc_id", F.coalesce(ending, F.lit(".txt")))
+    files = _t(spark, d, "documents").select("doc_id", path.alias("path"), (F.col("n_chars") * 4096 - 400000).alias("length"))
+    return intake(files).select("doc_id", "reject", "file_type", "title")
+
+
+@query(
+    """select user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') as ollama,
+  array_to_string(list_sort(list_distinct(list(event_type || '-' || (event_id % 3)::varchar))), ',') as openai from events group by user_id"""
+)
+def model_listing(spark, d):
+    """Listings in both providers' forms, one a user, with repeats."""
+    events = _t(spark, d, "events")
+    first, second = F.struct(F.col("event_type").alias("name")), F.struct(F.concat_ws("-", "event_type", (F.col("event_id") % 3).cast("string")).alias("id"))
+    bodies = events.groupBy("user_id").agg(F.collect_set(first).alias("models"), F.collect_set(second).alias("data"))
+    names = lambda c, kind: F.array_join(providers.model_names(F.to_json(F.struct(c)), kind), ",")
+    return bodies.select("user_id", names("models", "OLLAMA").alias("ollama"), names("data", "OPENAI").alias("openai"))
+
+
+def _canned_chat(kind: str, base_url: str):
+    """A stand-in for a service: an answer that follows from the prompt's length, also a broken one and none."""
+
+    def transport(method: str, url: str, headers: dict[str, str], body: str | None) -> str:
+        prompt = json.loads(body)["messages"][-1]["content"]
+        n = len(prompt)
+        if n % 7 == 0:
+            raise TimeoutError("no answer in time")
+        made = {"topic": "Database" if n % 2 else "Cooking", "difficulty": "ADVANCED", "summary": "s" * (n % 40), "subtopics": [" a one ", "a one", "b two"], "keywords": ["x", "y", "x", "z"], "reason": "because of this"}
+        said = "" if n % 11 == 0 else "Sorry, no." if n % 5 == 0 else "```json\n" + json.dumps(made) + "\n```"
+        return json.dumps({"message": {"content": said}} if kind == "OLLAMA" else {"choices": [{"message": {"content": said}}]})
+
+    return providers.chat_function(transport, kind, base_url, "a-model", "Answer in JSON.")
+
+
+_ANALYZED = """select doc_id as id, case when n = 0 then 'no text to analyze' when n % 7 = 0 then 'AI: no answer in time' when n % 11 = 0 then 'AI: the model gave no text' end as error,
+  case when ok then case when n % 2 = 1 then 'Database' else 'Cooking' end end as topic, case when ok then 'a one,b two' end as subtopics, case when ok then 'x,y,z' end as keywords,
+  case when ok then concat_ws(',', case when n % 2 = 0 then 'topic' end, case when n % 40 < 20 then 'summary' end) end as violations
+from (select *, n > 0 and n % 7 > 0 and n % 11 > 0 and n % 5 > 0 as ok from (select doc_id, least(length(coalesce(text, '')), 100000) as n from documents) y) x"""
+
+
+def _analyzed(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    found = jobs.analyze(_t(spark, d, "documents"), _canned_chat(kind, "http://localhost:1"), "doc_id")
+    listed = lambda c: F.when(F.col("analysis.topic").isNotNull(), F.array_join(c, ","))
+    return found.select("id", "error", "analysis.topic", listed("analysis.subtopics").alias("subtopics"), listed("analysis.keywords").alias("keywords"), listed("violations").alias("violations"))
+
+
+@query(_ANALYZED)
+def analyze_documents(spark, d):
+    """Every document through request, reply, parsing and checks; broken calls and replies stay rows."""
+    return _analyzed(spark, d, "OLLAMA")
+
+
+@query(_ANALYZED)
+def analyze_documents_compatible(spark, d):
+    return _analyzed(spark, d, "OPENAI_COMPATIBLE")
+
+
 # ---- model replies ---------------------------------------------------------------------------
 
 

@@ -47,3 +47,10 @@ def test_cycled_blocks(spark):
     assert [r.n_words for r in blocks.orderBy("block_index").collect()] == [400, 400, 150]
     samples = chunking.cycled_samples(blocks, ["block_index"], 7).orderBy("sample_id").collect()
     assert [r.block_index for r in samples] == [0, 1, 2, 0, 1, 2, 0]
+
+
+def test_cycled_blocks_over_many_partitions_and_none(spark):
+    blocks = spark.range(1000).repartition(7).withColumnRenamed("id", "block_index")
+    got = {r.sample_id: r.block_index for r in chunking.cycled_samples(blocks, ["block_index"], 2500).collect()}
+    assert got == {i: i % 1000 for i in range(2500)}
+    assert chunking.cycled_samples(blocks.where("false"), ["block_index"], 5).count() == 0

@@ -138,6 +138,8 @@ def test_replies(spark):
         raise RuntimeError("no answer")
 
     assert jobs.analyze(df, broken).first().error == "AI: no answer"
+    bare = spark.createDataFrame([(1, None), (2, "")], "document_id long, text string")
+    assert {r.error for r in jobs.analyze(bare, broken).collect()} == {"no text to analyze"}
     listed = spark.createDataFrame([('x [{"documentId":"1","reason":" a "},{"documentId":"2"},{"documentId":"1","reason":"b"}] y',)], "t string")
     assert listed.select(replies.reasons(F.col("t"))).first()[0] == {"1": "b"}
 
