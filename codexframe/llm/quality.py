@@ -129,7 +129,11 @@ def score(
 
 
 def keep_good(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose text passes every rule, in its columns."""
+    """The rows of ``df`` whose text passes every rule, in its columns, which may have any names.
+
+    Null and empty texts fail the base rules and go; repeated rows are judged each; an empty table stays
+    empty. A language none of whose words are in ``STOP_WORDS`` fails the stop-word rule: pass ``stop_words``.
+    """
     marked = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     # a filter moves below deterministic projections and would repeat their arrays in its condition
     judged = score(marked, "row", "text", **options).withColumn("__at", F.monotonically_increasing_id())

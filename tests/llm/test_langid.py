@@ -40,6 +40,40 @@ def test_out_of_place_distance(spark):
     assert got.lang_pred == min(sorted(want), key=want.get) and 0 <= got.score <= 1
 
 
+def _code(gram: str) -> int:
+    return sum(ord(c) << 21 * i for i, c in enumerate(reversed(gram)))
+
+
+def _most_frequent(counts: Counter) -> list[str]:
+    return sorted(counts, key=lambda g: (-counts[g], _code(g)))[: langid.PROFILE]
+
+
+def test_query_equals_plain_profiles(spark, sf):
+    """Every document's language and score against profiles and distances worked out one n-gram after the other."""
+    import math
+    import zlib
+
+    from codexframe.llm.queries import op3_rank_order_language
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    totals: dict[str, Counter] = {}
+    for r in docs:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            totals.setdefault(r.lang, Counter()).update(plain_grams(r.text) if any(map(str.isalpha, r.text)) else {})
+    ranks = {lang: {g: i for i, g in enumerate(_most_frequent(c))} for lang, c in totals.items()}
+    got = {r.doc_id: r for r in op3_rank_order_language(spark, sf).collect()}
+    assert len(got) == len(docs) > 100
+    for r in docs:
+        own = _most_frequent(plain_grams(r.text)) if r.text and any(map(str.isalpha, r.text)) else []
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for lang, p in sorted(ranks.items())}
+        best = min(far, key=far.get)  # the first by name of those that tie
+        weights = [math.exp((far[best] - x) / (langid.PROFILE * len(own)) / 0.05) for x in far.values()]
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - 1 / sum(weights)) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     from codexframe.llm.queries import op3_rank_order_language
 

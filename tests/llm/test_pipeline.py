@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import itertools
+import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 
 
@@ -43,6 +47,51 @@ def test_stages_over_the_small_table(spark, sf):
     assert pieces == times
 
 
+def _shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _similar(a, b):
+    if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
+        return False
+    return len(a & b) >= 0.8 * len(a | b)  # two texts without words are alike
+
+
+def _kept_by_all_pairs(rows):
+    """Smallest id of each component of texts of similarity 0.8 or more, every pair compared."""
+    sets = {r.doc_id: _shingles(r.text) for r in rows}
+    ids, low = sorted(sets), {}
+    top = lambda x: x if low.get(x, x) == x else top(low[x])
+    for a, b in itertools.combinations(ids, 2):
+        if top(a) != top(b) and _similar(sets[a], sets[b]):
+            x, y = sorted((top(a), top(b)))
+            low[y] = x
+    return {top(i) for i in ids}
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_near_dedup_keeps_what_all_pairs_say(spark, scale):
+    from codexframe.llm.common import materialize
+
+    d = f"/root/testdata/{scale}"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    clean = materialize(corpus_pipeline.line_dedup(spark, materialize(corpus_pipeline.quality_rules(spark, docs, d), "good"), d), "clean")
+    for given in (docs, clean):
+        rows = given.select("doc_id", "text").collect()
+        want = _kept_by_all_pairs(rows)
+        got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, given, d).select("doc_id").collect()]
+        assert sorted(got) == sorted(want) and len(want) < len(rows)
+
+
+def test_run_drops_the_tables_of_finished_stages(spark, sf, monkeypatch):
+    seen = []
+    real = corpus_pipeline.discard
+    monkeypatch.setattr(corpus_pipeline, "discard", lambda df: seen.append(df.scratch_path) or real(df))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in seen] == [n for n, _ in corpus_pipeline.STAGES[:3]]
+
+
 def _repetitive(docs):
     out = set()
     for r in docs.collect():

@@ -55,6 +55,48 @@ def test_noisy_or_in_the_operator(spark):
     assert [o.sentence for o in got.offending] == [0, 2] and got.n_sentences == 3
 
 
+def _plain_fit(rows, least, steps):
+    """Features, noisy-or gradient and Adam steps written out document by document."""
+    bags = [[sorted(set(s)) for s in toxicity.sentences(t)] for _, t, _ in rows]
+    labels = [y for *_, y in rows]
+    n, n_toxic = len(rows), sum(labels)
+    seen = {}
+    for bag, y in zip(bags, labels):
+        for f in {f for s in bag for w in s for f in toxicity.features(w)}:
+            seen.setdefault(f, [0, 0])[y] += 1
+    names = []
+    for f, (clean, bad) in sorted(seen.items()):
+        table = [(bad, n_toxic), (clean, n - n_toxic)]
+        g = 2 * sum(x * math.log(x * n / ((bad + clean) * c)) for x, c in table if x)
+        g += 2 * sum((c - x) * math.log((c - x) * n / ((n - bad - clean) * c)) for x, c in table if c > x)
+        if g >= least and bad * (n - n_toxic) > clean * n_toxic:
+            names.append(f)
+    theta = {None: -4.0} | {f: 0.0 for f in names}  # None: the bias
+    m, v = dict.fromkeys(theta, 0.0), dict.fromkeys(theta, 0.0)
+    for step in range(1, steps + 1):
+        grad = {f: (0.0 if f is None else 1e-4 * theta[f]) for f in theta}
+        for bag, y in zip(bags, labels):
+            known = [[f for w in s for f in toxicity.features(w) if f in theta] for s in bag]
+            p = [1 / (1 + math.exp(-(theta[None] + sum(theta[f] for f in k)))) for k in known]
+            rest = math.prod(1 - x for x in p)
+            for k, x in zip(known, p):
+                g = (x if y == 0 else -x * rest / (1 - rest)) / n  # of the loss, by the sentence's sum
+                for f in [None, *k]:
+                    grad[f] += g
+        for f in theta:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * grad[f], 0.999 * v[f] + 0.001 * grad[f] ** 2
+            theta[f] -= 0.1 * (m[f] / (1 - 0.9**step)) / (math.sqrt(v[f] / (1 - 0.999**step)) + 1e-8)
+    return theta.pop(None), {f: w for f, w in theta.items() if abs(w) > 1e-3}
+
+
+def test_fit_equals_plain_steps(spark):
+    df, rows = made(spark, 160, seed=9)
+    bias, weights = toxicity.fit(df, least=6.0, steps=40)
+    want_bias, want = _plain_fit(rows, 6.0, 40)
+    assert abs(bias - want_bias) < 1e-6 and set(weights) == set(want) and len(want) > 3
+    assert all(abs(weights[f] - want[f]) < 1e-6 for f in want)
+
+
 def test_held_out_documents(spark):
     from codexframe.llm.queries import op7_instance_toxicity
 

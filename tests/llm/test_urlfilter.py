@@ -128,3 +128,24 @@ def test_every_link_outside_of_comments_counts(spark):
     )
     pages = spark.createDataFrame([(1, "http://s.io/", html), (2, "http://s.io/2", None), (3, None, html)], "page_id long, url string, html string")
     assert sorted((r.src, r.dst) for r in urlfilter.link_edges(pages).collect()) == [("http://s.io/", f"http://a.io/{i}") for i in (1, 2, 3)]
+
+
+def test_query_over_a_table_with_links(spark, tmp_path):
+    """The registered query: rules, blocks that spread over links, and an explicit allow that keeps its aliases."""
+    from codexframe.llm.queries import op5_redirect_equivalence
+
+    link = lambda to: f"<html><link rel='canonical' href='{to}'><p>text</p></html>"
+    rows = [
+        (1, "http://a.com/en/x", link("http://z.io/p")),
+        (2, "http://z.io/p", "<p>no link</p>"),
+        (3, "http://y.io/q", link("http://z.io/p")),
+        (4, "http://example.com/en/7x", link("http://w.io/1")),
+        (5, "http://w.io/1", "<meta http-equiv=refresh content='0; url=http://b.com/en/2'>"),
+        (6, "http://lonely.io/", link("http://else.io/")),
+        (7, None, link("http://z.io/p")),
+        *[(100 + i, f"http://many{i}.io/", link("http://hub.org/es/")) for i in range(300)],
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in op5_redirect_equivalence(spark, str(tmp_path)).collect()}
+    want = {1: ("com/en/", "block"), 2: (None, "block"), 3: (None, "block"), 4: ("example.com/en/7", "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow")}
+    assert got == want | {100 + i: (None, "block") for i in range(300)}
