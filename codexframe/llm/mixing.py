@@ -200,8 +200,8 @@ def repeat_documents(
 
     A reading that the target cuts counts if at least half of its words lie within the target
     (``by_half``), else whenever it takes any. Documents without words, null texts too, can't be taken.
-    Null sources are one source, null ids come last in it, repeated rows are read each, other columns may have
-    any names, and an empty table stays empty.
+    Null sources are one source, a null id counts as an empty one, repeated rows are read each, other columns
+    may have any names, and an empty table stays empty.
     The order follows ``schedule`` (see ``readings``), else that of ``curriculum``.
     """
     flat = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("s"), F.col(text_col).alias("t"), F.col(id_col).alias("i"))
