@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,21 @@ def _run_folder(spark: SparkSession) -> str:
 ROWS_PER_FILE = 50_000
 
 
+#: Spark's own setting: remove an execution's shuffle files when it ends.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Executions planned here remove their shuffle files when they end; the session's own choice holds again afterwards."""
+    before = spark.conf.get(REMOVE_SHUFFLES, "false")
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -51,23 +67,20 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     are cores to write them.
 
     This cuts the lineage: a lost executor costs no recomputation of what was written, and what a
-    nondeterministic task (a row number by partition) gave stays as written.
+    nondeterministic task (a row number by partition) gave stays as written. Shuffle files of the write
+    go when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.select("*").write.parquet(path)  # a new plan, so that it takes the setting
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # type: ignore[attr-defined]
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished steps' shuffle files now: Spark removes them once the driver's heap has lost their plans."""
-    spark._jvm.System.gc()
-
-
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by :func:`materialize` that no later step reads."""
     for df in tables:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexframe.llm.common import discard, heavy_join, keyed, materialize, release, slices
+from codexframe.llm.common import discard, heavy_join, keyed, materialize, slices
 from codexframe.llm.components import connected_components
 from codexframe.llm.setjoin import central_pairs, common_shingles, cross_pairs, prefix, shared_prefixes, shingle_hashes, similar_pairs
 
@@ -182,7 +182,6 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, shingle_words: int
     common = common_shingles(rows.select("text"), shingle_words)
     single = _profiles(rows.select("ka", "kb", "text"), common, similarity, shingle_words).dropDuplicates(["ka", "kb"])
     texts = materialize(single.withColumn("uid", F.monotonically_increasing_id()), "texts")
-    release(spark)
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
@@ -190,11 +189,9 @@ def similar_classes(rows: DataFrame, similarity: float = 0.8, shingle_words: int
         bodies = keyed(rows.select("ka", "kb", "text"), wanted, ["ka", "kb"], "inner").groupBy("uid").agg(F.first("text").alias("text"))
         found = materialize(similar_pairs(pairs, bodies, similarity, shingle_words), label)
         discard(wanted, pairs)
-        release(spark)
         return found
 
     shared = materialize(shared_prefixes(texts.select("uid", "m", "rare", "hs")), "shared")
-    release(spark)
     heads = texts.groupBy("fp").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n"))
     close = leader_links(heads)
     by_bits = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
@@ -226,7 +223,6 @@ def keep_one(
     chosen = labelled.groupBy("label").agg(best, F.count(F.lit(1)).alias("n")).select("label", "n", F.col("best.id").alias("best"), F.col("best.ka").alias("bka"), F.col("best.kb").alias("bkb"))
     judged = heavy_join(labelled, chosen, ["label"]).withColumn("stays", F.expr("id <=> best and ka = bka and kb = bkb"))
     judged = materialize(judged.select("id", "ka", "kb", "times", "stays"), "judged")
-    release(docs.sparkSession)
     discard(known, labelled)
     left = keyed(rows, materialize(judged.where("not stays").select("id", "ka", "kb"), "dropped"), ["id", "ka", "kb"], "left_anti")
     tied = materialize(judged.where("stays and times > 1").select("id", "ka", "kb"), "tied")

@@ -224,3 +224,14 @@ def test_heavy_join_is_a_plain_join(spark, monkeypatch):
     keys = by_key.drop("n")
     assert sorted(common.heavy_join(rows, by_key, ["k"]).select("id", "k", "low").collect()) == sorted(rows.join(keys, "k").select("id", "k", "low").collect())
     assert common.heavy_join(rows.limit(0), by_key.limit(0), ["k"]).count() == 0
+
+
+def test_scratch_tables_leave_no_setting_and_read_the_same(spark):
+    from codexframe.llm.common import REMOVE_SHUFFLES, discard, materialize
+
+    before = spark.conf.get(REMOVE_SHUFFLES, "false")
+    counts = spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count()
+    held = materialize(counts, "counts")
+    assert spark.conf.get(REMOVE_SHUFFLES, "false") == before
+    assert sorted(held.collect()) == sorted(counts.collect())  # a plan whose shuffle files went is worked out anew
+    discard(held)
