@@ -136,7 +136,7 @@ def leader_links(fps: DataFrame, max_bits: int = MOST_BITS) -> DataFrame:
     index = ranked.select("fp", "leads", F.explode(F.expr(_variants())).alias("k"))
     close = f"bit_count(x.fp ^ y.fp) <= {max_bits} and {_first_shared('x.k', 'x.fp', 'y.fp')}"
     once = "x.fp != y.fp and (not x.leads or x.fp < y.fp)"
-    pairs = index.alias("x").join(index.where("leads").drop("leads").alias("y"), F.expr(f"x.k = y.k and {once} and {close}"))
+    pairs = index.alias("x").join(index.where("leads").drop("leads").alias("y").hint("merge"), F.expr(f"x.k = y.k and {once} and {close}"))  # the planner's estimate leaves out the 64 variants: without the hint it would send them all through the driver
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
