@@ -86,13 +86,14 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """All pairs ``a < b`` of distinct values ``fp`` that differ in at most ``max_bits`` bits, each once.
 
     A pair can meet under many variants; it counts only under the first that it shares, which the join
-    condition works out from the two values. So nothing is emitted twice and no distinct is needed.
+    condition works out from the two values. So nothing is emitted twice and no distinct is needed. The join is
+    a merge join by hint: the planner's estimate leaves out the 64 variants, and it would send them all through the driver.
     """
     if not 0 <= max_bits <= MOST_BITS:
         raise ValueError(f"max_bits must lie in 0..{MOST_BITS}")
     index = fps.select("fp").distinct().select("fp", F.explode(F.expr(_variants())).alias("k"))
     close = f"bit_count(x.fp ^ y.fp) <= {max_bits} and {_first_shared('x.k', 'x.fp', 'y.fp')}"
-    pairs = index.alias("x").join(index.alias("y"), F.expr(f"x.k = y.k and x.fp < y.fp and {close}"))
+    pairs = index.alias("x").join(index.alias("y").hint("merge"), F.expr(f"x.k = y.k and x.fp < y.fp and {close}"))
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
@@ -136,7 +137,7 @@ def leader_links(fps: DataFrame, max_bits: int = MOST_BITS) -> DataFrame:
     index = ranked.select("fp", "leads", F.explode(F.expr(_variants())).alias("k"))
     close = f"bit_count(x.fp ^ y.fp) <= {max_bits} and {_first_shared('x.k', 'x.fp', 'y.fp')}"
     once = "x.fp != y.fp and (not x.leads or x.fp < y.fp)"
-    pairs = index.alias("x").join(index.where("leads").drop("leads").alias("y").hint("merge"), F.expr(f"x.k = y.k and {once} and {close}"))  # the planner's estimate leaves out the 64 variants: without the hint it would send them all through the driver
+    pairs = index.alias("x").join(index.where("leads").drop("leads").alias("y").hint("merge"), F.expr(f"x.k = y.k and {once} and {close}"))  # as in links
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 

@@ -13,3 +13,9 @@ def test_crowd_links_never_send_their_variants_through_the_driver(spark):
     fps = common.materialize(spark.range(200).selectExpr("id * 7919 as fp"), "fps")
     shown = plan(simhash.leader_links(fps))
     assert "SortMergeJoin [k" in shown and "BroadcastHashJoin [k" not in shown
+
+
+def test_links_never_send_their_variants_through_the_driver(spark):
+    fps = common.materialize(spark.range(200).selectExpr("id * 7919 as fp"), "fps")
+    shown = plan(simhash.links(fps))
+    assert "SortMergeJoin [k" in shown and "BroadcastHashJoin [k" not in shown
