@@ -75,7 +75,7 @@ def op7_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labels."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_remainder(5) != 0)
-    model = toxicity.fit(docs.join(labels, "doc_id"))
+    model = toxicity.fit(docs.withColumn("chars", F.length("text")).join(labels, "doc_id"), chars_col="chars")
     scored = toxicity.score(docs, model)
     return scored.select(
         F.col("id").alias("doc_id"),

@@ -73,21 +73,24 @@ def fit(
     sample: int = SAMPLE,
     least: float = EVIDENCE,
     steps: int = 150,
+    chars_col: str | None = None,
 ) -> tuple[float, dict[str, float]]:
     """``(bias, feature weights)`` learned from rows labelled 0 or 1; other labels teach nothing.
 
     The driver gets about ``sample`` labelled rows, those whose key hashes lowest (all, if fewer), of about
     ``SAMPLE_CHARS`` characters in all, whatever the size of the input; texts above ``LONGEST_TEXT`` teach
-    nothing. Without a labelled row, or with label 0 only, the bias is -20 (any score is about 0); with label
+    nothing. ``chars_col`` holds the texts' lengths, if they are known: where ``df`` is a join, the labelled rows are
+    then counted without any text, and only those of the sample go through its shuffle. Without a labelled row, or with label 0 only, the bias is -20 (any score is about 0); with label
     1 only it is 0 (any sentence scores 0.5). No feature weighs then.
     """
     import numpy as np
 
+    chars = F.length(F.col(text_col).cast("string")) if chars_col is None else F.col(chars_col)
     rows = df.where(F.col(label_col).isin(0, 1)).select(
-        F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y"), F.col(key_col).alias("key")
+        F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y"), F.col(key_col).alias("key"), F.coalesce(chars, F.lit(0)).alias("chars")
     )
-    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_TEXT)
-    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    rows = rows.where(F.col("chars") <= LONGEST_TEXT)
+    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("chars"), F.lit(0))).first()
     dice = F.pmod(F.xxhash64(F.lit("toxicity"), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     part = rows.where(dice < F.lit(min(sample / max(n, 1), SAMPLE_CHARS / max(chars, 1)))).orderBy(F.xxhash64("key"), "key")
     got = part.select("text", "y").toPandas()
