@@ -221,12 +221,18 @@ def document_links(resolved: DataFrame) -> DataFrame:
 
 
 def reset_document_tags(document_tags: DataFrame, reviews: DataFrame, document_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Before a new resolution: the documents' AI and MERGED links and PENDING reviews go; USER links stay."""
-    known = document_ids.select("document_id").distinct().withColumn("__hit", F.lit(True))
-    links = document_tags.join(known, "document_id", "left")
-    links = links.where(F.col("__hit").isNull() | ~F.col("source").isin("AI", "MERGED")).select(*document_tags.columns)
-    kept = reviews.join(known, "document_id", "left").where(F.col("__hit").isNull() | (F.col("status") != "PENDING"))
-    return links, kept.select(*reviews.columns)
+    """Before a new resolution: the documents' AI and MERGED links and PENDING reviews go; USER links stay.
+
+    Only rows that may go meet the documents, and the documents are the side that is held in a task: nothing
+    is sorted, and a document's rows pass by.
+    """
+    known = document_ids.select("document_id").hint("shuffle_hash")
+
+    def left(rows: DataFrame, may_go: Column) -> DataFrame:
+        may_go = F.coalesce(may_go, F.lit(False))
+        return rows.where(~may_go).unionByName(rows.where(may_go).join(known, "document_id", "left_anti").select(*rows.columns))
+
+    return left(document_tags, F.col("source").isin("AI", "MERGED")), left(reviews, F.col("status") == "PENDING")
 
 
 def review_outcome(reviews: DataFrame, tags: DataFrame, action: str) -> DataFrame:

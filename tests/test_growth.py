@@ -33,3 +33,23 @@ def test_inserted_copies_with_the_number_of_another_part(spark, many_parts):
 
 def test_upserted_copies_with_the_number_of_another_part(spark, many_parts):
     same_as_sql(spark, many_parts, "upsert_rows")
+
+
+def test_resetting_tags_sorts_no_links(spark):
+    from codexframe.operators import taxonomy
+
+    rows = [(d, s) for d in ("a", "b", None) for s in ("AI", "MERGED", "USER", "PENDING")]
+    links = spark.createDataFrame(rows, "document_id string, source string")
+    reviews = spark.createDataFrame(rows, "document_id string, status string")
+    asked = spark.createDataFrame([("a",), ("a",), (None,)], "document_id string")
+    sent = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = taxonomy.reset_document_tags(links, reviews, asked)
+        shown = [df._jdf.queryExecution().executedPlan().toString() for df in left]
+        got = [sorted((tuple(r) for r in df.collect()), key=str) for df in left]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", sent)
+    assert got[0] == sorted((r for r in rows if r[0] != "a" or r[1] not in ("AI", "MERGED")), key=str)
+    assert got[1] == sorted((r for r in rows if r[0] != "a" or r[1] != "PENDING"), key=str)
+    assert all("ShuffledHashJoin" in s and "Sort" not in s.replace("SortAggregate", "") for s in shown)
