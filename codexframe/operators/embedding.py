@@ -19,6 +19,8 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 # fixed values: texts in a request, and characters in a text
 MOST_TEXTS, MOST_CHARS = 32, 20_000
+#: Most words whose hash the built-in model remembers.
+REMEMBERED = 100_000
 
 
 class BadInput(ValueError):
@@ -27,13 +29,21 @@ class BadInput(ValueError):
 
 def hashing_embedder(dim: int = 64) -> Embedder:
     """A deterministic model for tests and offline runs: signed word hashes, unit length."""
+    known: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        """Twice the component, and 1 more for a positive sign; hashed once while it is remembered."""
+        if len(known) >= REMEMBERED:
+            known.clear()
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        known[word] = found = h % dim * 2 + (h >> 63)
+        return found
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
         for row, text in enumerate(texts):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                out[row, h % dim] += 1.0 if h >> 63 else -1.0
+            times = np.bincount([known[w] if w in known else place(w) for w in text.lower().split()], minlength=2 * dim)
+            out[row] = times[1::2] - times[::2]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
 

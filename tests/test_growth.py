@@ -53,3 +53,29 @@ def test_resetting_tags_sorts_no_links(spark):
     assert got[0] == sorted((r for r in rows if r[0] != "a" or r[1] not in ("AI", "MERGED")), key=str)
     assert got[1] == sorted((r for r in rows if r[0] != "a" or r[1] != "PENDING"), key=str)
     assert all("ShuffledHashJoin" in s and "Sort" not in s.replace("SortAggregate", "") for s in shown)
+
+
+def test_the_built_in_model_hashes_a_word_once(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from codexframe.operators import embedding
+
+    calls = []
+
+    class Counted:
+        blake2b = staticmethod(lambda *a, **k: calls.append(1) or hashlib.blake2b(*a, **k))
+
+    monkeypatch.setattr(embedding, "hashlib", Counted)
+    monkeypatch.setattr(embedding, "REMEMBERED", 2)
+    texts = ["One one TWO", "", "two one two", "\ud800 three three"]
+    got = embedding.hashing_embedder(8)(texts)
+    assert len(calls) == 4  # the third and fourth word after forgetting
+    want = np.zeros((4, 8), np.float32)
+    for row, text in enumerate(texts):
+        for word in text.lower().split():
+            h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            want[row, h % 8] += 1.0 if h >> 63 else -1.0
+        want[row] /= max(np.linalg.norm(want[row]), 1e-9)
+    assert np.allclose(got, want, atol=1e-6)
