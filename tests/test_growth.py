@@ -79,3 +79,18 @@ def test_the_built_in_model_hashes_a_word_once(monkeypatch):
             want[row, h % 8] += 1.0 if h >> 63 else -1.0
         want[row] /= max(np.linalg.norm(want[row]), 1e-9)
     assert np.allclose(got, want, atol=1e-6)
+
+
+def test_tiles_hold_the_products_of_a_slab_alone(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from codexframe.operators import tiles
+
+    rows = spark.range(2000).selectExpr("1 as g", "2 as d", "id", "array(double(id), 1D) as v")
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        return pa.table({"n": np.array([x.num_rows * y.num_rows])})
+
+    got = [r.n for r in tiles.meet(rows, rows, compare, "n long").collect()]
+    assert sum(got) == 2000 * 2000 and max(got) <= 512 * tiles.TILE and len(got) == 4
