@@ -28,10 +28,12 @@ STATUS = {
     ("ANALYZE_DOCUMENT", "FAILED"): "READY",
 }
 _OUT = "document_id string, us long, stage string, status string, attempts int, message string"
-_STATE = "stage string, status string, attempts int, running boolean, since long"
+#: The state of a group of documents: a list per column, one place a document.
+_STATE = "document_id array<string>, stage array<string>, status array<string>, attempts array<int>, running array<boolean>, since array<long>"
+_NEW = (JOB_TYPE[0], "UPLOADED", 0, False, 0)
 
 
-def track(events: DataFrame, limit_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+def track(events: DataFrame, limit_ms: int = 3_600_000, late: str = "10 minutes", groups: int = 4096) -> DataFrame:
     """Status changes of documents from a stream of ``document_id, ts, stage, outcome, message, n``.
 
     ``outcome`` is STARTED, COMPLETED or FAILED; without a ``stage`` an event is of the document's present one, at first
@@ -39,44 +41,51 @@ def track(events: DataFrame, limit_ms: int = 3_600_000, late: str = "10 minutes"
     change of status, ``attempts`` counting the starts. A job that has started and then says nothing for ``limit_ms`` of event time
     fails with a message of its own. Events later than the watermark (``late``) or of no document, time or known outcome are left out.
 
-    The state of a document is one small row. Its events of one micro-batch are held at once; the source's
-    ``maxFilesPerTrigger`` bounds a batch.
+    A Python call takes the documents of one of ``groups`` groups by hash, since a call costs far more than a document.
+    A group's state holds a few values a document and is written anew when any of them has events; its events of one
+    micro-batch are held at once, and the source's ``maxFilesPerTrigger`` bounds a batch. ``groups`` stays as it was
+    for all runs with a checkpoint.
     """
     known = F.col("document_id").isNotNull() & F.col("outcome").isin("STARTED", "COMPLETED", "FAILED")
     known = known & F.col("ts").isNotNull() & (F.col("stage").isNull() | F.col("stage").isin(*JOB_TYPE))
-    given = events.where(known).select(F.col("document_id").cast("string").alias("document_id"), "ts", "stage", "outcome", F.col("message").cast("string").alias("message"), "n", F.unix_micros("ts").alias("us"))
+    message = F.when(F.col("outcome") == "FAILED", F.col("message").cast("string")).alias("message")
+    given = events.where(known).select(F.col("document_id").cast("string").alias("document_id"), "ts", "stage", "outcome", message, "n", F.unix_micros("ts").alias("us"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stage, status, attempts, running, since = state.get if state.exists else (JOB_TYPE[0], "UPLOADED", 0, False, 0)
+        held = {document: own for document, *own in zip(*state.get)} if state.exists else {}
         out: list[tuple] = []
 
-        def expire() -> None:
-            nonlocal status, running
-            status, running = STATUS[stage, "FAILED"], False
-            out.append((key[0], (since + limit_ms) * 1000, stage, status, attempts, "no answer in time"))
+        def expire(document: str, stage: str, attempts: int, since: int) -> str:
+            status = STATUS[stage, "FAILED"]
+            out.append((document, (since + limit_ms) * 1000, stage, status, attempts, "no answer in time"))
+            return status
 
-        if state.hasTimedOut:
-            expire()
-        else:
+        if not state.hasTimedOut:
             rows = pd.concat(frames).sort_values(["us", "n"])
-            for us, own, outcome, message in zip(rows["us"], rows["stage"], rows["outcome"], rows["message"]):
-                now = int(us) // 1000
+            for document, us, own, outcome, message in zip(*(rows[name].tolist() for name in ("document_id", "us", "stage", "outcome", "message"))):
+                stage, status, attempts, running, since = held.get(document, _NEW)
+                now = us // 1000
                 if running and now >= since + limit_ms:
-                    expire()
+                    status = expire(document, stage, attempts, since)
                 stage = own or stage
                 before, status = status, STATUS[stage, outcome]
-                running, since = outcome == "STARTED", now
+                running = outcome == "STARTED"
                 attempts += running
                 if running or status != before or outcome == "FAILED":
-                    out.append((key[0], int(us), stage, status, attempts, message if outcome == "FAILED" else None))
+                    out.append((document, us, stage, status, attempts, message))
+                held[document] = (stage, status, attempts, running, now)
+        waiting = []
+        for document, (stage, _, attempts, running, since) in held.items():
             if running and since + limit_ms <= state.getCurrentWatermarkMs():
-                expire()
-        state.update((stage, status, int(attempts), bool(running), int(since)))
-        if running:
-            state.setTimeoutTimestamp(since + limit_ms)
+                held[document] = (stage, expire(document, stage, attempts, since), attempts, False, since)
+            elif running:
+                waiting.append(since)
+        state.update(tuple(map(list, zip(*((document, *own) for document, own in held.items())))))
+        if waiting:
+            state.setTimeoutTimestamp(min(waiting) + limit_ms)
         yield pd.DataFrame(out, columns=["document_id", "us", "stage", "status", "attempts", "message"]).astype({"us": "int64", "attempts": "int32"})
 
-    keyed = given.withWatermark("ts", late).groupBy("document_id")
+    keyed = given.withColumn("documents", F.pmod(F.xxhash64("document_id"), F.lit(groups))).withWatermark("ts", late).groupBy("documents")
     changes = keyed.applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return changes.select("document_id", F.timestamp_micros("us").alias("ts"), "stage", "status", "attempts", "message")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 from codexframe.streaming import stages
 
@@ -53,3 +54,41 @@ def test_changes_survive_a_restart_and_stuck_jobs_end(spark, tmp_path):
 def test_a_batch_that_ran_twice_leaves_its_rows_once(spark, tmp_path):
     n = run(spark, str(tmp_path), FIRST, 0).count()
     assert run(spark, str(tmp_path), [], 1).count() == n
+
+
+def plainly(rows, limit, mark):
+    """The changes of each document, one event after the other, with all of them at hand."""
+    found, held = [], {}
+    for document, ts, own, outcome, message, _ in sorted(rows, key=lambda r: (r[1], r[5])):
+        stage, status, attempts, since = held.get(document, ("EXTRACT_TEXT", "UPLOADED", 0, None))
+        if since is not None and ts >= since + limit:
+            status = stages.STATUS[stage, "FAILED"]
+            found.append((document, since + limit, stage, status, attempts, "no answer in time"))
+        stage = own or stage
+        before, status = status, stages.STATUS[stage, outcome]
+        since, attempts = (ts, attempts + 1) if outcome == "STARTED" else (None, attempts)
+        if outcome != "COMPLETED" or status != before:
+            found.append((document, ts, stage, status, attempts, message if outcome == "FAILED" else None))
+        held[document] = (stage, status, attempts, since)
+    for document, (stage, _, attempts, since) in held.items():
+        if since is not None and since + limit <= mark:
+            found.append((document, since + limit, stage, stages.STATUS[stage, "FAILED"], attempts, "no answer in time"))
+    return sorted(found, key=str)
+
+
+def test_documents_share_calls_and_state_rows(spark, tmp_path):
+    draw = random.Random(3)
+    event = lambda n, start: (f"d{draw.randrange(200)}", at(start + draw.randrange(18_000) / 60), draw.choice([None, None, *stages.JOB_TYPE]), draw.choice(["STARTED", "STARTED", "COMPLETED", "FAILED"]), f"m{n}", n)
+    rounds = [[event(n, 0) for n in range(1500)], [event(n, 300) for n in range(1500, 2500)]]
+    for rows in rounds:  # the second goes on from the state of the first
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = stages.track(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), limit_ms=3_600_000, groups=8)
+        write = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint")
+        query = write.trigger(availableNow=True).start()
+        query.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert held and max(held) <= 8  # calls and rows of state don't grow with the documents
+    rows = rounds[0] + rounds[1]
+    want = plainly(rows, datetime.timedelta(hours=1), max(r[1] for r in rows) - datetime.timedelta(minutes=10))
+    assert sum(r[5] == "no answer in time" for r in want) > 100
+    assert sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=str) == want
